@@ -1,5 +1,5 @@
 """SQL statements that compute the registered queries independently."""
 
-from oracle import point_in_time
+from oracle import point_in_time, sources
 
-ALL_ORACLES = {**point_in_time.ORACLE}
+ALL_ORACLES = {**point_in_time.ORACLE, **sources.ORACLE}
