@@ -116,7 +116,7 @@ CTE = {
           || ' on ' || strftime(ts, '%Y-%m-%d') || '?' ELSE 'Song contest winner' END AS title,
         'slug-' || event_id AS slug, ts FROM events""",
     "c_trades": "SELECT * FROM c_trades_base UNION ALL SELECT * FROM c_trades_base WHERE event_id % 10 = 0",
-    "c_lambdas": f"""SELECT {MATCH_ID} AS match_id, CAST(0.2 AS DOUBLE) + l_quantity / 20 AS home_lambda,
+    "c_lambdas": f"""SELECT {MATCH_ID} AS match_id, CAST(0.2 AS DOUBLE) + l_quantity / 20 + l_extendedprice / CAST(7654321 AS DOUBLE) AS home_lambda,
         CAST(0.2 AS DOUBLE) + CAST(l_linenumber AS DOUBLE) / 3 AS away_lambda,
         CAST(l_partkey % 5 - 2 AS DOUBLE) / 2 AS handicap_line FROM lineitem WHERE {LI_MATCH}""",
 }

@@ -130,3 +130,20 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return hits.groupBy().agg(
         *[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in columns]
     )
+
+
+def running_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """Running sum of ``value`` inside each group in ``order``; a group may hold any share of rows.
+
+    Windows run per (group, sort partition); the sums of earlier partitions are carried in.
+    """
+    placed = _positions(df, [*by, *order])
+    part = [*by, "_part"]
+    totals = placed.groupBy(*part).agg(F.sum(value).alias("_n"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carry = totals.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carry"))
+    here = W.partitionBy(*part).orderBy("_idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        placed.withColumn("_sum", F.sum(value).over(here)).join(carry, part)
+        .withColumn(out, F.col("_sum") + F.col("_carry")).drop("_part", "_idx", "_sum", "_carry")
+    )

@@ -287,7 +287,56 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
 def goal_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _lineitem_matches(spark, folder).selectExpr(
         f"{MATCH_ID} as match_id",
-        "0.2 + l_quantity / 20 as home_lambda",
+        "0.2 + l_quantity / 20 + l_extendedprice / 7654321D as home_lambda",
         "0.2 + l_linenumber / 3 as away_lambda",
         "cast(l_partkey % 5 - 2 as double) / 2 as handicap_line",
     )
+
+
+def market_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per match with both pools' odds and probabilities, strength and mood signals."""
+    rows = _lineitem_matches(spark, folder).selectExpr(
+        f"{MATCH_ID} as match_id", "to_date(l_shipdate) as day",
+        "1 + l_linenumber + l_extendedprice / 7654321D as a", "cast(1 + l_partkey % 7 as double) as b", "cast(1 + l_suppkey % 5 as double) as c",
+        "1.1 + l_discount * 20 + l_extendedprice / 7654321D as home_odds", "2.6 + l_tax * 10 + l_extendedprice / 7654321D as draw_odds", "1.2 + l_quantity / 12 + l_extendedprice / 7654321D as away_odds",
+        "cast(l_partkey % 5 - 2 as double) / 2 as line",
+        *[f"1.3 + ((l_partkey + {i}) % 20) / 8 + l_extendedprice / 7654321D as hhad_{s}_odds" for i, s in enumerate(("home", "draw", "away"))],
+        *[f"((l_suppkey + {i}) % 7 - 3) / 20 as signal_{i}" for i in range(6)],
+        "case when l_partkey % 4 > 0 then (l_partkey % 13 - 6) / 2 end as sentiment_diff",
+        "case when l_linenumber % 3 = 0 then l_quantity * 40 - 1000 end as elo_diff",
+        "case when l_linenumber % 2 = 0 then l_extendedprice / 100 - 500 end as fifa_points_diff",
+        "l_quantity - 25 as rating_diff", "l_extendedprice * 100 as home_value", "(l_partkey % 50) * 100000D as away_value",
+        "case when l_linenumber > 4 then 1.5D end as closing_home_odds",
+        "case when l_linenumber > 4 then 3.5D end as closing_draw_odds",
+        "case when l_linenumber > 5 then 4.5D end as closing_away_odds",
+        "case when l_linenumber < 7 then (l_partkey % 11) / 10 end as home_pressure", "(l_suppkey % 11) / 10 as away_pressure",
+        "0.2 + l_quantity / 20 + l_extendedprice / 7654321D as home_lambda", "0.2 + l_linenumber / 3 as away_lambda",
+        "l_partkey", "l_suppkey", "l_linenumber",
+    )
+    total = F.col("a") + F.col("b") + F.col("c")
+    named = dict(zip(("home_prob", "draw_prob", "away_prob", "hhad_away_prob", "hhad_home_prob", "hhad_draw_prob"), "abcabc"))
+    rows = rows.withColumns({n: F.col(v) / total for n, v in named.items()})
+    best = F.greatest("home_prob", "draw_prob", "away_prob")
+    pick = F.when(F.col("home_prob") == best, "主胜").when(F.col("draw_prob") == best, "平局").otherwise("客胜")
+    return rows.withColumn("model_pick", pick).drop("a", "b", "c")
+
+
+def selections(spark: SparkSession, folder: str) -> DataFrame:
+    """Six selections per match (1X2, then handicap), with the match's own columns beside them."""
+    names = [("HAD 胜平负", s, label, f"{s}_prob", f"{s}_odds") for s, label in zip(("home", "draw", "away"), ("主胜", "平局", "客胜"))]
+    names += [("HHAD 让球胜平负", s, label, f"hhad_{s}_prob", f"hhad_{s}_odds") for s, label in zip(("home", "draw", "away"), ("让胜", "让平", "让负"))]
+    items = F.array(*[
+        F.struct(
+            F.lit(i).alias("pos"), F.lit(pool).alias("pool"), F.lit(label).alias("selection"), F.col(prob).alias("probability"),
+            F.col(odds).alias("odds"), F.col(f"signal_{i}").alias("signal"),
+            ((F.col("model_pick") == label) if i < 3 else F.lit(False)).alias("is_model_pick"))
+        for i, (pool, _, label, prob, odds) in enumerate(names)])
+    return market_matches(spark, folder).select("*", F.inline(items))
+
+
+def listed_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Five exact-score prices per match; a third of the matches list only far-fetched scores."""
+    labels = """element_at(array(array('1-0', '2-1', '0-0', '1-1', '0-1'), array('2-0', '0-0', '1-2', 'home_other', '0-2'),
+        array('6-6', '5-6', '6-0', '0-6', '5-5')), cast(l_partkey % 3 as int) + 1)"""
+    return market_matches(spark, folder).selectExpr("*", f"posexplode({labels}) as (pos, label)").withColumn(
+        "odds", F.expr("0.9 + ((l_partkey + 3 * pos) % 30) / 2"))
