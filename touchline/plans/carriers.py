@@ -334,9 +334,9 @@ def selections(spark: SparkSession, folder: str) -> DataFrame:
     return market_matches(spark, folder).select("*", F.inline(items))
 
 
-def listed_scores(spark: SparkSession, folder: str) -> DataFrame:
+def listed_scores(matches_: DataFrame) -> DataFrame:
     """Five exact-score prices per match; a third of the matches list only far-fetched scores."""
     labels = """element_at(array(array('1-0', '2-1', '0-0', '1-1', '0-1'), array('2-0', '0-0', '1-2', 'home_other', '0-2'),
         array('6-6', '5-6', '6-0', '0-6', '5-5')), cast(l_partkey % 3 as int) + 1)"""
-    return market_matches(spark, folder).selectExpr("*", f"posexplode({labels}) as (pos, label)").withColumn(
+    return matches_.selectExpr("*", f"posexplode({labels}) as (pos, label)").withColumn(
         "odds", F.expr("0.9 + ((l_partkey + 3 * pos) % 30) / 2"))

@@ -269,10 +269,11 @@ def favorite_guard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    rows = c.listed_scores(spark, folder)
-    grid = poisson.with_goal_probabilities(rows, "home_lambda", "away_lambda").withColumn(
+    games = c.market_matches(spark, folder).select(
+        "match_id", "day", *sel.PROBS, "model_pick", "home_lambda", "away_lambda", "l_partkey", "l_linenumber")
+    grid = poisson.with_goal_probabilities(games, "home_lambda", "away_lambda").withColumn(
         "top_scores", F.when(F.col("l_linenumber") < 7, poisson.top_scores(8)))
-    return sel.exact_score_candidates(grid.drop("_h", "_a"))
+    return sel.exact_score_candidates(c.listed_scores(grid.drop("_h", "_a")))
 
 
 def exact_score_candidates(spark: SparkSession, folder: str) -> DataFrame:
