@@ -35,15 +35,15 @@ CTE = {
       FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'""",
     "c_static": "SELECT 'T' || (s_suppkey % 100) AS team, s_acctbal AS elo, s_suppkey AS seq FROM supplier",
     "c_probs": f"""SELECT match_id, date, tournament, label,
-        a/(a+b+c) AS gbm_0, b/(a+b+c) AS gbm_1, c/(a+b+c) AS gbm_2,
-        b/(a+b+c) AS rf_0, c/(a+b+c) AS rf_1, a/(a+b+c) AS rf_2,
+        a*a*a/(a*a*a+b*b*b+c*c*c) AS gbm_0, b*b*b/(a*a*a+b*b*b+c*c*c) AS gbm_1, c*c*c/(a*a*a+b*b*b+c*c*c) AS gbm_2,
+        b*b/(a*a+b*b+c*c) AS rf_0, c*c/(a*a+b*b+c*c) AS rf_1, a*a/(a*a+b*b+c*c) AS rf_2,
         c/(a+b+c) AS logistic_0, a/(a+b+c) AS logistic_1, b/(a+b+c) AS logistic_2,
         CAST(1 AS DOUBLE)/3 AS poisson_0, CAST(1 AS DOUBLE)/3 AS poisson_1, CAST(1 AS DOUBLE)/3 AS poisson_2
       FROM (SELECT {MATCH_ID} AS match_id, CAST(l_shipdate AS DATE) AS date, {TOUR} AS tournament,
           CASE WHEN CAST(floor(l_quantity) AS INTEGER) % 5 > (l_partkey + l_linenumber) % 4 THEN 0
                WHEN CAST(floor(l_quantity) AS INTEGER) % 5 = (l_partkey + l_linenumber) % 4 THEN 1 ELSE 2 END AS label,
-          CAST(1 + l_linenumber AS DOUBLE) AS a, CAST(1 + l_partkey % 7 AS DOUBLE) AS b,
-          CAST(1 + l_suppkey % 5 AS DOUBLE) AS c FROM lineitem WHERE {LI_MATCH})""",
+          1 + l_linenumber + l_extendedprice / CAST(7654321 AS DOUBLE) AS a, 1 + l_partkey % 7 + l_extendedprice / CAST(17654321 AS DOUBLE) AS b,
+          1 + l_suppkey % 5 + l_extendedprice / CAST(27654321 AS DOUBLE) AS c FROM lineitem WHERE {LI_MATCH})""",
     "c_odds": f"""SELECT {MATCH_ID} AS seq, CAST(l_shipdate AS DATE) + CAST(l_orderkey % 3 - 1 AS INTEGER) AS date,
         CAST(l_shipdate AS DATE) + CAST(l_partkey % 2 AS INTEGER) AS shanghai_date,
         'T' || (l_suppkey % 100) AS home_team, 'T' || (l_partkey % 100) AS away_team,

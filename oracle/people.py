@@ -109,9 +109,9 @@ ORACLE = {
         UNION ALL SELECT player_id, method, round(match_score, 2), {r('overall')}, seq FROM fz""", **BASE,
         exact=PICK.format(rung(0, 1, "exact", "name = nm AND birthdate = dob AND team = nat")),
         fz="SELECT * EXCLUDE (fl) FROM (" + FUZZY + ") WHERE match_score >= 0.67 AND fl >= 2"),
-    "er_supplement": q(f"SELECT {OUT} FROM sup", **BASE, lad=LADDER,
+    "er_supplement": q(f"SELECT {OUT} FROM sup", **BASE, exact=EXACT,
         ext=f"""SELECT player_id AS seq, team AS nat, {person("last_names || ', ' || first_names")} AS nm, shooting AS overall, CASE WHEN player_id % 2 = 0 THEN birthdate END AS dob FROM c_players""",
-        left_="SELECT * FROM nms WHERE player_id NOT IN (SELECT player_id FROM lad)",
+        left_="SELECT * FROM nms WHERE player_id NOT IN (SELECT player_id FROM exact)",
         sup=PICK.format("""SELECT player_id, 'name_dob_team' AS method, 1 AS st, pos, 0 AS ru, -seq AS o, seq, overall FROM left_ JOIN ext ON name = nm AND birthdate = dob AND team = nat
           UNION ALL SELECT player_id, 'name_team', 2, pos, 1, -seq, seq, overall FROM left_ JOIN ext ON name = nm AND team = nat""")),
     "player_stat_preagg": q(f"""SELECT team_norm, player_norm, club_name, source, {r('minutes')} AS minutes, {r('goals')} AS goals, {r('xg')} AS xg, CAST(0 AS DOUBLE) AS npxg FROM merged""",

@@ -30,6 +30,8 @@ def _foldings() -> tuple[str, str, str]:
         if unicodedata.combining(char):
             marks.append(char)
             continue
+        if not unicodedata.decomposition(char):
+            continue
         plain = _plain(char)
         if not re.search("[a-z0-9]", plain):
             continue

@@ -96,14 +96,17 @@ def model_probabilities(spark: SparkSession, folder: str) -> DataFrame:
         f"{TOURNAMENT} as tournament",
         """case when floor(l_quantity) % 5 > (l_partkey + l_linenumber) % 4 then 0
            when floor(l_quantity) % 5 = (l_partkey + l_linenumber) % 4 then 1 else 2 end as label""",
-        "cast(1 + l_linenumber as double) as a",
-        "cast(1 + l_partkey % 7 as double) as b",
-        "cast(1 + l_suppkey % 5 as double) as c",
+        "1 + l_linenumber + l_extendedprice / 7654321D as a",
+        "1 + l_partkey % 7 + l_extendedprice / 17654321D as b",
+        "1 + l_suppkey % 5 + l_extendedprice / 27654321D as c",
     )
-    third = F.lit(1.0) / 3
-    s = F.col("a") + F.col("b") + F.col("c")
-    p, q, r = F.col("a") / s, F.col("b") / s, F.col("c") / s
-    parts = {"gbm": (p, q, r), "rf": (q, r, p), "logistic": (r, p, q), "poisson": (third, third, third)}
+    def shares(*weights):
+        total = weights[0] + weights[1] + weights[2]
+        return tuple(w / total for w in weights)
+
+    x, y, z = F.col("a"), F.col("b"), F.col("c")
+    parts = {"gbm": shares(x * x * x, y * y * y, z * z * z), "rf": shares(y * y, z * z, x * x), "logistic": shares(z, x, y),
+             "poisson": shares(F.lit(1.0), F.lit(1.0), F.lit(1.0))}
     return base.select(
         "match_id", "date", "tournament", "label",
         *[part[i].alias(f"{name}_{i}") for name, part in parts.items() for i in range(3)],

@@ -99,7 +99,7 @@ def er_ratings_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def er_supplement(spark: SparkSession, folder: str) -> DataFrame:
-    rest = people(spark, folder).join(ratings_ladder(spark, folder), "player_id", "left_anti")
+    _, rest, _ = blocks(spark, folder)
     extra = c.players(spark, folder).selectExpr(
         "player_id as seq", "team as nationality", "concat(last_names, ', ', first_names) as full_name", "shooting as overall",
         "case when player_id % 2 = 0 then birthdate end as source_dob").withColumn("name_norm", norm("full_name"))
