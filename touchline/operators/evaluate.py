@@ -57,7 +57,8 @@ def decide(threshold: Column | float | None = None, columns: Sequence[str] = P)
 def _losses(columns: Sequence[str] = P) -> dict[str, Column]:
     probs = [F.col(c) for c in columns]
     own = F.when(F.col("label") == 0, probs[0]).when(F.col("label") == 1, probs[1]).otherwise(probs[2])
-    squares = [F.pow(p - (F.col("label") == i).cast("double"), 2) for i, p in enumerate(probs)]
+    errors = [p - (F.col("label") == i).cast("double") for i, p in enumerate(probs)]
+    squares = [e * e for e in errors]
     # Fixed value: smallest probability the logarithm sees.
     return {"log_loss": F.avg(-F.ln(F.greatest(F.lit(2.220446049250313e-16), own))), "brier": F.avg(squares[0] + squares[1] + squares[2])}
 

@@ -31,8 +31,8 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str
 def _positions(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Globally sorted rows with ``_part`` (sort partition) and ``_idx`` (0-based row in it).
 
-    The sort's range partitions are balanced by sampling, whatever the keys look like. They are
-    checkpointed, because a recomputed sort may cut the ranges elsewhere.
+    The sort's range partitions are balanced by sampling, whatever the keys look like. The rows are
+    written out, because a recomputed sort may cut the ranges elsewhere.
     """
     placed = df.orderBy(*order).withColumn("_pos", F.monotonically_increasing_id())
     return cut_lineage(placed).withColumns(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from touchline.functions.numbers import clip
 from touchline.functions.text import score_outcome
 from touchline.operators.scan import keep_one, running_within
+from touchline.session import cut_lineage
 
 HAD, HHAD, CRS = "HAD 胜平负", "HHAD 让球胜平负", "CRS 比分"
 
@@ -285,7 +286,10 @@ def betting_package(candidates: DataFrame, rules: PackageRules) -> DataFrame:
     ``candidates``: day, match_id, pos (place in the match), pool, selection, probability, odds,
     expected_value, kelly, is_model_pick, model_pick, signal, conflict.
     """
-    options = trim_to_cost(package_options(candidates, rules), rules)
+    options = package_options(candidates, rules)
+    if rules.max_cost is not None:
+        # Trimming reads the options three times; they are written once instead of computed thrice.
+        options = trim_to_cost(cut_lineage(options), rules)
     groups = options.groupBy("day", "match_id").agg(
         F.count("*").alias("n"), F.min("odds").alias("low"), F.max("odds").alias("high"),
         F.least(F.lit(0.98), F.sum("probability")).alias("hit"), F.sum(F.col("probability") * F.col("odds")).alias("ret"),

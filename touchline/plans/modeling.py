@@ -160,28 +160,28 @@ def scored_probabilities(df: DataFrame, prefix: str) -> DataFrame:
 
 def fit_gbm(spark: SparkSession, folder: str) -> DataFrame:
     train, test = model_table(spark, folder)
-    return scored_probabilities(models.fit_gbm(train.persist(), ROUNDS).transform(test, "gbm"), "gbm")
+    return scored_probabilities(models.fit_gbm(train, ROUNDS).transform(test, "gbm"), "gbm")
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = model_table(spark, folder)
-    values = models.fit_gbm(train.persist(), ROUNDS).importances()
+    values = models.fit_gbm(train, ROUNDS).importances()
     return spark.createDataFrame(list(zip(MODEL_FEATURES, values)), "feature string, importance double").orderBy(F.desc("importance"))
 
 
 def fit_rf(spark: SparkSession, folder: str) -> DataFrame:
     train, test = model_table(spark, folder)
-    return scored_probabilities(models.class_probabilities(models.fit_rf(train.persist(), TREES), test, "rf"), "rf")
+    return scored_probabilities(models.class_probabilities(models.fit_rf(train, TREES), test, "rf"), "rf")
 
 
 def fit_logistic(spark: SparkSession, folder: str) -> DataFrame:
     train, test = model_table(spark, folder)
-    return scored_probabilities(models.class_probabilities(models.fit_logistic(train.persist()), test, "logistic"), "logistic")
+    return scored_probabilities(models.class_probabilities(models.fit_logistic(train), test, "logistic"), "logistic")
 
 
 def fit_poisson(spark: SparkSession, folder: str) -> DataFrame:
     train, test = model_table(spark, folder)
-    out = models.fit_poisson(train.persist()).transform(test, "poisson")
+    out = models.fit_poisson(train).transform(test, "poisson")
     return show(out, ["match_id"], ["home_lambda", "away_lambda", *[f"poisson_{i}" for i in range(3)]])
 
 
@@ -222,7 +222,7 @@ def batch_score(spark: SparkSession, folder: str) -> DataFrame:
 def match_score_serving(spark: SparkSession, folder: str) -> DataFrame:
     """The same with serving semantics: ratings of the match day count, pressure moves, the higher floor."""
     train, _ = model_table(spark, folder)
-    model = models.fit_logistic(train.persist())
+    model = models.fit_logistic(train)
     rows = match_flags(c.matches(spark, folder)).withColumn("label", result_label())
     rated = ratings.elo_columns(ratings.dated_elo(rows, c.ratings(spark, folder), strict=False))
     rated = form.recent_form(rated)

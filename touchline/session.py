@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +39,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="touchline-checkpoint-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there (survives executor loss)."""
-    context = df.sparkSession.sparkContext
-    folder = checkpoint_dir(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to a table in the checkpoint folder and go on from there.
+
+    Survives executor loss like ``checkpoint()``, which would compute the rows twice (once to count
+    them, once to write them), and keeps column pruning and file statistics. The folder's owner
+    cleans it up, as with other checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/touchline-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
