@@ -16,37 +16,32 @@ def as_of(probes: DataFrame, state: DataFrame, by: Sequence[str], at: str, paylo
     ``strict`` sees only rows before the moment. Rows of one key and moment are settled by ``seq``
     (highest wins). The latest *row* is found: its null values stay null.
 
-    State and probes are first merged map-side to one row per (key, moment). With day moments that
-    bounds every window by the calendar. For finer clocks pass ``bucket``, an expression of ``at``
-    that rises with it: windows then run per (key, bucket) and the last row of earlier buckets is
-    carried in, so a hot key still spreads over many tasks.
+    State is first reduced to one row per (key, moment) and probes to distinct moments, both
+    map-side. With day moments that bounds every window by the calendar. For finer clocks pass
+    ``bucket``, an expression of ``at`` that rises with it: windows then run per (key, bucket) and
+    the last row of earlier buckets is carried in, so a hot key still spreads over many tasks.
     """
     known = state.where(" and ".join(f"`{c}` is not null" for c in [*by, at]))
-    asked = probes.where(" and ".join(f"`{c}` is not null" for c in [*by, at]))
+    asked = probes.where(" and ".join(f"`{c}` is not null" for c in [*by, at])).select(*by, at).distinct()
     order = F.struct(*seq) if seq else F.struct(*payload)
-    merged = (
-        known.select(*by, at, F.struct(*payload).alias("_row"), order.alias("_seq"), F.lit(False).alias("_asked"))
-        .unionByName(
-            asked.select(*by, at, F.lit(True).alias("_asked")), allowMissingColumns=True
-        )
-        .groupBy(*by, at)
-        .agg(F.max_by("_row", "_seq").alias("_row"), F.max("_asked").alias("_asked"))
-    )
-    frame_end = -1 if strict else W.currentRow
+    latest = known.groupBy(*by, at).agg(F.max_by(F.struct(*payload), order).alias("_row"))
+    # At one moment the probe comes before the state row when strict, after it when not.
+    rows = latest.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    place = [at, F.col("_asked").desc() if strict else F.col("_asked").asc()]
     if bucket is None:
-        window = W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, frame_end)
-        found = merged.withColumn("_found", F.last("_row", ignorenulls=True).over(window))
+        window = W.partitionBy(*by).orderBy(*place).rowsBetween(W.unboundedPreceding, W.currentRow)
+        found = rows.withColumn("_found", F.last("_row", ignorenulls=True).over(window))
     else:
         part = [*by, "_bucket"]
-        merged = merged.withColumn("_bucket", bucket)
-        window = W.partitionBy(*part).orderBy(at).rowsBetween(W.unboundedPreceding, frame_end)
-        ends = merged.groupBy(*part).agg(
+        rows = rows.withColumn("_bucket", bucket)
+        window = W.partitionBy(*part).orderBy(*place).rowsBetween(W.unboundedPreceding, W.currentRow)
+        ends = rows.groupBy(*part).agg(
             F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col(at))).alias("_end")
         )
         earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
         carry = ends.select(*part, F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
         found = (
-            merged.withColumn("_local", F.last("_row", ignorenulls=True).over(window))
+            rows.withColumn("_local", F.last("_row", ignorenulls=True).over(window))
             .join(carry, part, "left")
             .withColumn("_found", F.coalesce("_local", "_carry"))
         )
