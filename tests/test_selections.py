@@ -63,6 +63,8 @@ def test_grid_sums_to_one(spark):
     for r in poisson.handicap_probabilities(poisson.with_goal_probabilities(df, "h", "a", 8), "line").collect():
         assert r.handicap_home + r.handicap_draw + r.handicap_away == pytest.approx(1)
         assert (r.handicap_draw > 1e-9) == (r.line == int(r.line))
+    none = poisson.handicap_probabilities(poisson.with_goal_probabilities(df.selectExpr("h", "a", "cast(null as double) as line"), "h", "a", 8), "line").first()
+    assert none.handicap_home is None and none.handicap_draw is None
 
 
 def test_history_and_snapshot_sinks(spark, tmp_path):

@@ -38,8 +38,9 @@ def half_even(col: Column) -> Column:
 
 def clamp_score(col: Column | str, low: int = -3, high: int = 3) -> Column:
     """Rounded score inside ``[low, high]``; anything unreadable is 0."""
+    # Clipped one step too wide first, so that no value is out of an integer's range when rounded.
     value = half_even(clip(to_number(col), low - 1.0, high + 1.0))
-    return F.coalesce(F.least(F.greatest(value, F.lit(low)), F.lit(high)), F.lit(0))
+    return F.when(value.isNull(), 0).when(value < low, low).when(value > high, high).otherwise(value)
 
 
 def mean_available(df_columns: list[str], wanted: list[str]) -> Column:
