@@ -12,8 +12,8 @@ MAX_ROUNDS = 60
 
 
 def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
-    # The minus sign makes Spark deal both sides anew, so that adaptive execution can split a hot node.
-    return edges.withColumn("_k", -F.col("u")).join(least.select((-F.col("u")).alias("_k"), "m"), "_k")
+    # The negated key makes Spark deal both sides anew, so that adaptive execution can split a hot node.
+    return edges.withColumn("_k", F.bitwise_not("u")).join(least.select(F.bitwise_not("u").alias("_k"), "m"), "_k")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

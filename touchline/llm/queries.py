@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import packing, pieces, token_counts
+from touchline.llm import minhash, packing, pieces, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_pack_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(docs, "doc_id", "text", vocabulary("word_bpe_49k.json"))
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), "doc_id", "text", (85, 100))
+
+
 def op6_encode_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs, path = _table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")
     return pieces.decode(pieces.encode(docs, "doc_id", "text", path), path).select(
@@ -36,5 +40,6 @@ def op9_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
         _table(spark, folder, "documents"), "doc_id", "text", vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_best_fit, op6_encode_pieces, op9_count_tokens)}
+QUERIES = {f.__name__: f for f in (
+    op2_pack_best_fit, op5_near_duplicates, op6_encode_pieces, op9_count_tokens)}
 ORACLE: dict[str, str] = {}
