@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import minhash, packing, pieces, token_counts
+from touchline.llm import covertree, minhash, packing, pieces, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_pack_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(docs, "doc_id", "text", vocabulary("word_bpe_49k.json"))
 
 
+def op3_cosine_links(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.cosine_links(_table(spark, folder, "embeddings"), "vec_id", "embedding", "label", 0.98)
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), "doc_id", "text", (85, 100))
 
@@ -41,5 +45,5 @@ def op9_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_pack_best_fit, op5_near_duplicates, op6_encode_pieces, op9_count_tokens)}
+    op2_pack_best_fit, op3_cosine_links, op5_near_duplicates, op6_encode_pieces, op9_count_tokens)}
 ORACLE: dict[str, str] = {}
