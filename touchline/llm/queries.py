@@ -45,13 +45,12 @@ def op1_weighted_samples(spark: SparkSession, folder: str) -> DataFrame:
     drawn = samples_by_side(sampling.samples(both, ["key", "side"], "body"))
     prints = cut_lineage(
         edited.select("key", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256")).join(drawn, "key", "left")
-        .select("key", "edited_sha256", sampling.fingerprint("own").alias("fingerprint"),
-                sampling.fingerprint("other").alias("edited_fingerprint")))
-    following = prints.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
+        .select("key", "edited_sha256", sampling.whole("own").alias("own"), sampling.whole("other").alias("other")))
+    following = prints.select(F.col("key").alias("next_key"), F.col("own").alias("next"))
     return links.join(prints, "key").join(following, "next_key").select(
-        "doc_id", F.col("n").cast("bigint").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
-        sampling.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        sampling.likeness("fingerprint", "next_fingerprint").alias("near_next"))
+        "doc_id", F.col("n").cast("bigint").alias("n_chars"), "edited_sha256",
+        sampling.fingerprint("own").alias("fingerprint"), sampling.fingerprint("other").alias("edited_fingerprint"),
+        sampling.likeness("own", "other").alias("near_edited"), sampling.likeness("own", "next").alias("near_next"))
 
 
 def samples_by_side(drawn: DataFrame) -> DataFrame:
