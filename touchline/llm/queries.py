@@ -87,9 +87,11 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_encode_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs, path = _table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")
-    return pieces.decode(pieces.encode(docs, "doc_id", "text", path), path).select(
+    # The spans are digested before decoding, so that they do not travel through its workers.
+    encoded = pieces.encode(docs, "doc_id", "text", path).select("doc_id", "ids", F.crc32("spans").alias("spans_crc32"))
+    return pieces.decode(encoded, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"), F.crc32("spans").alias("spans_crc32"))
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"), "spans_crc32")
 
 
 def op9_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
