@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import covertree, langid, minhash, packing, pieces, quality, sampling, secrets, token_counts
+from touchline.llm import covertree, langid, minhash, packing, passages, pieces, quality, sampling, secrets, token_counts
 from touchline.operators.scan import rank_all
 from touchline.session import cut_lineage
 
@@ -94,6 +94,11 @@ def op6_encode_pieces(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"), "spans_crc32")
 
 
+def op7_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.passages(_table(spark, folder, "documents"), "doc_id", "text").withColumnsRenamed(
+        {"doc": "doc_id", "home": "home_doc_id"})
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(_table(spark, folder, "documents"), "doc_id", "text", "lang")
 
@@ -109,5 +114,5 @@ def op9_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_weighted_samples, op2_pack_best_fit, op3_cosine_links, op4_owned_secrets, op5_near_duplicates, op6_encode_pieces,
-    op8_language, op9_count_tokens, op10_quality)}
+    op7_shared_passages, op8_language, op9_count_tokens, op10_quality)}
 ORACLE: dict[str, str] = {}
