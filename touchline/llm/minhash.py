@@ -111,6 +111,12 @@ def _set(text: str, width: int) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)]), width)[0]
 
 
+def _texts(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of ``docs`` whose _id is among the at most ``n`` ``ids``; stored."""
+    ids = ids.distinct()
+    return cut_lineage(docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "_id", "left_semi"))
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: tuple[int, int],
                least: int) -> DataFrame:
     """The pairs (a, b) that pass the signature check and then the check of full sets; stored."""
@@ -118,70 +124,104 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     two = classes.select(F.col("rep").alias("b"), F.col("sig").alias("_s2"))
     likely = cut_lineage(pairs.join(one, "a").join(two, "b").select("a", "b", "_s1", "_s2")
                          .mapInArrow(_agreeing(least), pairs.select("a", "b").schema))
-    ids = likely.select(F.col("a").alias("_id")).union(likely.select("b")).distinct()
-    if likely.count() * 2 <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = cut_lineage(docs.join(ids, "_id", "left_semi"))
+    texts = _texts(docs, likely.select(F.col("a").alias("_id")).union(likely.select("b")), 2 * likely.count())
     one = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_t1"))
     two = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_t2"))
     return cut_lineage(likely.join(two, "b").join(one, "a").select("a", "b", "_t1", "_t2")
                        .mapInArrow(_alike(width, *threshold), likely.schema))
 
 
-def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) that share a band and ``least`` minima but no component.
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, words): the full shingle set of each text as sorted 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [s.tobytes() for _, data, offsets in blocks(column(batch, "_text"))
+                   for s in shingle_sets(data, offsets, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "words"])
+
+    return texts.select("_id", "_text").mapInArrow(run, "rep bigint, words binary").dropDuplicates(["rep"])
+
+
+def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
+          threshold: tuple[int, int], least: int, rows: int) -> DataFrame:
+    """Links (a, b) between classes that share a band but no component yet; stored.
 
-    In each band, O are the classes outside the hub's component. Pairs needed are O x O and O x the hub's. Both kinds are
-    dealt to blocks; a class goes to each pair of blocks that needs it, and only agreeing pairs come out.
+    In each band, O are the classes outside the band's main component. Pairs needed are O x O and O x main. Both kinds are
+    dealt to blocks, and a class goes with its set to each pair of blocks that needs it. A pair is checked in the first band
+    it shares, by signature and then by sets; only confirmed links come out, and only those that join components.
     """
     named = (
         members.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
         .withColumn("c", F.coalesce("c", "rep"))
     )
-    # Components are their least node, so the least component of a band is its hub's or a smaller stranger's.
+    # Any component of the band may be the main one: the least is easily found, and mostly the hub's.
     mixed = (
-        named.groupBy("band").agg(F.min("c").alias("main"), F.max("c").alias("_hi"), F.count("*").alias("_n"))
-        .where("main < _hi").drop("_hi")
+        named.groupBy("band").agg(F.min("c").alias("main"), F.max("c").alias("_hi")).where("main < _hi").drop("_hi")
     )
     deal = lambda df: df.withColumn("_band", F.bitwise_not("band"))  # noqa: E731  dealt anew: a hot band can be split
-    rows = cut_lineage(deal(named).join(deal(mixed).drop("band"), "_band").drop("_band")
-                       .withColumn("_out", F.col("c") != F.col("main")))
-    if rows.isEmpty():
-        return members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    sizes = rows.groupBy("band").agg(
+    found = cut_lineage(deal(named).join(deal(mixed).drop("band"), "_band").drop("_band")
+                        .withColumn("_out", F.col("c") != F.col("main")))
+    ids = cut_lineage(found.select(F.col("rep").alias("_id")).distinct())
+    full = cut_lineage(_sets(_texts(docs, ids, ids.count()), width))
+    sizes = found.groupBy("band").agg(
         F.ceil(F.sum(F.col("_out").cast("long")) / BLOCK).alias("_o"),
         F.ceil(F.sum((~F.col("_out")).cast("long")) / BLOCK).alias("_m"))
     own = F.when(F.col("_out"), F.pmod(F.xxhash64("rep"), "_o")).otherwise(
         F.col("_o") + F.pmod(F.xxhash64("rep"), F.greatest("_m", F.lit(1))))
     last = F.when(F.col("_out"), F.col("_o") + F.col("_m")).otherwise(F.col("_o")) - 1
     dealt = (
-        deal(rows).join(deal(sizes).drop("band"), "_band").withColumn("own", own.cast("long"))
+        deal(found).join(deal(sizes).drop("band"), "_band").withColumn("own", own.cast("long"))
         .withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-        .select("band", F.least("own", "_p").alias("lo"), F.greatest("own", "_p").alias("hi"), "own", "rep", "c")
-        .join(classes.select("rep", "sig"), "rep")
-        .select("band", "lo", "hi", "own", "rep", "c", "sig")
+        .select("band", F.least("own", "_p").alias("lo"), F.greatest("own", "_p").alias("hi"), "n", "own", "rep", "c")
+        .join(classes.select("rep", "sig"), "rep").join(full, "rep")
+        .select("band", "lo", "hi", "n", "own", "rep", "c", "sig", "words")
     )
-    key = members.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, whole = threshold
         for group in _groups(batches, 3):
-            own, rep, c = (group.column(i).to_numpy() for i in (3, 4, 5))
-            sig = _minima(group.column(6))
+            band = group.column(3)[0].as_py()
+            own, rep, c = (group.column(i).to_numpy() for i in (4, 5, 6))
+            sig = _minima(group.column(7))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(8)]
+            lengths = np.fromiter(map(len, sets), np.int64, len(sets))
             apart = group.column(1)[0].as_py() != group.column(2)[0].as_py()
-            found = []
+            joined, links = dict(zip(c.tolist(), c.tolist(), strict=True)), []
+
+            def root(x: int, joined=joined) -> int:
+                while joined[x] != x:
+                    x = joined[x]
+                return x
+
             for i in range(len(rep) - 1):
                 other = c[i + 1:] != c[i]
                 if apart:
                     other &= own[i + 1:] != own[i]
                 at = i + 1 + np.flatnonzero(other)
-                at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
-                found += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in at]
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                equal = sig[at] == sig[i]
+                at, equal = at[(keep := equal.sum(axis=1) >= least)], equal[keep]
+                if not len(at):
+                    continue
+                at = at[equal.reshape(len(at), -1, rows).all(axis=2).argmax(axis=1) == band]
+                # Sets of very different sizes can't be alike enough.
+                at = at[whole * np.minimum(lengths[at], lengths[i]) >= part * np.maximum(lengths[at], lengths[i])]
+                if not len(at):
+                    continue
+                flat = np.concatenate([sets[j] for j in at])
+                place = np.minimum(np.searchsorted(sets[i], flat), lengths[i] - 1)
+                both = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.cumsum(lengths[at]) - lengths[at])
+                for j in at[whole * both >= part * (lengths[at] + lengths[i] - both)]:
+                    x, y = root(int(c[i])), root(int(c[j]))
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                        links.append((int(rep[i]), int(rep[j])))
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     keys = ["band", "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {key}, b {key}").distinct()
+    return cut_lineage(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -226,15 +266,15 @@ def near_duplicates(docs: DataFrame, id: str, text: str, threshold: tuple[int, i
         sigs.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles", "sig").agg(F.min("_id").alias("rep"))
         .where("rep is not null"))
     keys = [F.xxhash64(F.lit(b), F.substring("sig", 4 * rows * b + 1, 4 * rows)) for b in range(bands)]
-    banded = classes.select("rep", F.explode(F.array(*keys)).alias("band"))
+    banded = classes.select("rep", F.posexplode(F.array(*keys)).alias("n", "band"))
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("_hi")).where("hub < _hi")
     members = cut_lineage(
         banded.withColumn("_k", F.bitwise_not("band"))
-        .join(hubs.select(F.bitwise_not("band").alias("_k"), "hub"), "_k").select("band", "rep", "hub"))
+        .join(hubs.select(F.bitwise_not("band").alias("_k"), "hub"), "_k").select("band", "n", "rep", "hub"))
     star = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(star, classes, docs, width, threshold, least)
     comp = components(links)
-    rest = _confirmed(_rest(members, comp, classes, least), classes, docs, width, threshold, least)
+    rest = _rest(members, comp, classes, docs, width, threshold, least, rows)
     if not rest.isEmpty():
         comp = components(links.union(rest))
     labels = (

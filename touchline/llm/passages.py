@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.llm.arrow_text import blocks, column, mix, shingles, words
-from touchline.llm.minhash import BROADCAST_IDS, _groups
+from touchline.llm.minhash import _groups, _texts
 from touchline.session import cut_lineage
 
 WIDTH, WINDOW = 5, 12
@@ -303,11 +303,8 @@ def passages(docs: DataFrame, id: str, text: str, min_words: int = MIN_WORDS, al
         found.select("doc", "home", "pos", "home_pos").repartition("doc", "home")
         .sortWithinPartitions("doc", "home", "pos", "home_pos")
         .mapInArrow(_chained(min_words, width, window), "doc bigint, home bigint, runs array<bigint>"))
-    ids = linked.select(F.col("doc").alias("_id")).union(linked.select("home")).distinct()
-    if linked.count() * 2 <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = cut_lineage(
-        docs.select(docs[id].cast("long").alias("_id"), docs[text].alias("_text")).join(ids, "_id", "left_semi"))
+    texts = _texts(docs.select(docs[id].cast("long").alias("_id"), docs[text].alias("_text")),
+                   linked.select(F.col("doc").alias("_id")).union(linked.select("home")), 2 * linked.count())
     own = texts.select(F.col("_id").alias("doc"), F.col("_text").alias("_one"))
     other = texts.select(F.col("_id").alias("home"), F.col("_text").alias("_two"))
     return (
