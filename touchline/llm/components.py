@@ -31,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the least node that each node of ``edges`` can reach.
+    """(node, component): the least node that each node of ``edges`` can reach; least nodes themselves have no row.
 
     Links are undirected; loops, repeats and nulls are ignored; no links give no rows. Each round is written to the
     shared checkpoint folder, and rounds end when the links no longer change (compared by count and hash sums).

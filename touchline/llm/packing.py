@@ -220,8 +220,8 @@ def pack(pieces: DataFrame, length: str = "length", size: int = 4096, order: tup
     if any(n is None or not 1 <= n <= size for n in totals):
         raise ValueError(f"lengths must be 1 to {size}")
     runs = np.array(best_fit_runs(totals, size), np.int64).reshape(-1, 5)
-    borders = np.flatnonzero(np.r_[True, runs[1:, 0] != runs[:-1, 0]]) if len(runs) else np.zeros(0, np.int64)
-    where = {int(runs[a, 0]): (int(a), int(b)) for a, b in zip(borders, [*borders[1:], len(runs)], strict=True)}
+    borders = [0, *np.flatnonzero(np.diff(runs[:, 0])) + 1, len(runs)]
+    where = {int(runs[a, 0]): (int(a), int(b)) for a, b in zip(borders[:-1], borders[1:], strict=True) if b > a}
     plan = spark.sparkContext.broadcast((runs, where))
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
@@ -230,9 +230,11 @@ def pack(pieces: DataFrame, length: str = "length", size: int = 4096, order: tup
         out = np.zeros((len(length), 2), np.int64)
         values, ranks = length.to_numpy(), rank.to_numpy()
         order = np.argsort(values, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(values[order]) != 0]) if len(order) else np.zeros(0, np.int64)
-        for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        cuts = [0, *np.flatnonzero(np.diff(values[order])) + 1, len(order)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             rows = order[lo:hi]
+            if not len(rows):
+                continue
             n = int(values[rows[0]])
             a, b = where[n]
             run = runs[a + np.searchsorted(runs[a:b, 1], ranks[rows], side="right") - 1]

@@ -219,12 +219,13 @@ _CHAIN = pa.schema([("doc", pa.int64()), ("home", pa.int64()), ("runs", pa.list_
 def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, reach: int = REACH) -> tuple[int, int, int, int, int] | None:
     """The best stretch around a chain: (first, end) word in ``one``, (first, end) in ``two``, number of equal words.
 
-    ``runs``: where the chain enters each diagonal (x, y), then its last match. Words are compared along the diagonals; a
-    word of ``one`` belongs to the diagonal that was entered last. Equal words count 1 - ``alike``, others -``alike``, a
+    ``runs``: where the chain enters each diagonal (x, y), then its last match. Words are compared along the diagonals; from
+    one to the next it changes where most words are equal. Equal words count 1 - ``alike``, others -``alike``, a
     change of diagonal as many words as it shifts; the stretch with the greatest sum is taken.
     """
     starts = [(runs[i], runs[i + 1]) for i in range(0, len(runs) - 2, 2)]
-    low = max(0, starts[0][0] - min(reach, starts[0][0], starts[0][1]))
+    low = starts[0][0] - min(reach, *starts[0])
+    starts = starts[:1] + [_change(one, two, a, b) for a, b in zip(starts[:-1], starts[1:], strict=True)]
     parts = []
     for n, (x, y) in enumerate(starts):
         first = low if n == 0 else x
@@ -251,6 +252,18 @@ def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, reach
     return int(place[first]), int(place[end]) + 1, int(there[first]), int(there[end]) + 1, int(same[first:end + 1].sum())
 
 
+def _change(one: np.ndarray, two: np.ndarray, old: tuple[int, int], new: tuple[int, int]) -> tuple[int, int]:
+    """Where to enter the diagonal of ``new`` on the way from ``old``."""
+    x = np.arange(old[0], new[0])
+    before, after = x - old[0] + old[1], x - new[0] + new[1]
+    stay = (before < len(two)) & (one[x] == two[np.minimum(before, len(two) - 1)])
+    go = (after >= 0) & (one[x] == two[np.maximum(after, 0)])
+    # Words before the change count on the old diagonal, the others on the new one.
+    equal = np.concatenate([[0], np.cumsum(stay)]) + np.concatenate([np.cumsum(go[::-1])[::-1], [0]])
+    at = old[0] + len(x) - int(equal[::-1].argmax())
+    return at, at - new[0] + new[1]
+
+
 def _aligned(min_words: int, alike: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
