@@ -32,7 +32,7 @@ CTE = {
         o_totalprice AS elo, o_orderkey AS seq FROM orders""",
     "c_rankings": """SELECT 'T' || (o_custkey % 100) AS team, CAST(o_orderdate AS DATE) AS date,
         CAST(o_orderkey % 200 + 1 AS DOUBLE) AS fifa_rank, o_totalprice / 100 AS fifa_points, o_orderkey AS seq
-      FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'""",
+      FROM orders""",
     "c_static": "SELECT 'T' || (s_suppkey % 100) AS team, s_acctbal AS elo, s_suppkey AS seq FROM supplier",
     "c_probs": f"""SELECT match_id, date, tournament, label,
         a*a*a/(a*a*a+b*b*b+c*c*c) AS gbm_0, b*b*b/(a*a*a+b*b*b+c*c*c) AS gbm_1, c*c*c/(a*a*a+b*b*b+c*c*c) AS gbm_2,
@@ -46,11 +46,11 @@ CTE = {
           1 + l_suppkey % 5 + l_extendedprice / CAST(27654321 AS DOUBLE) AS c FROM lineitem WHERE {LI_MATCH})""",
     "c_odds": f"""SELECT {MATCH_ID} AS seq, CAST(l_shipdate AS DATE) + CAST(l_orderkey % 3 - 1 AS INTEGER) AS date,
         CAST(l_shipdate AS DATE) + CAST(l_partkey % 2 AS INTEGER) AS shanghai_date,
-        'T' || (l_suppkey % 100) AS home_team, 'T' || (l_partkey % 100) AS away_team,
+        CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 'T' ELSE 'U' END || (l_suppkey % 100) AS home_team, 'T' || (l_partkey % 100) AS away_team,
         CAST(1.2 AS DOUBLE) + l_discount * 10 AS closing_home_odds,
         CAST(2.5 AS DOUBLE) + l_tax * 10 AS closing_draw_odds,
         CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(1.5 AS DOUBLE) + l_quantity / 10 END AS closing_away_odds
-      FROM lineitem WHERE {LI_MATCH} AND (l_orderkey + l_linenumber) % 3 = 0""",
+      FROM lineitem WHERE {LI_MATCH}""",
     "c_bookmaker": f"""SELECT l_orderkey AS event_id, o_orderdate AS commence_time,
         'T' || (o_custkey % 100) AS home_team, 'T' || ((o_custkey + 7) % 100) AS away_team,
         'B' || (l_suppkey % 3) AS bookmaker,

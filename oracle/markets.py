@@ -30,7 +30,6 @@ def _row(i: int, pool: str, label: str, prob: str, odds: str) -> str:
 CTE["c_selections"] = " UNION ALL ".join(
     [_row(i, "HAD 胜平负", lab, f"{s}_prob", f"{s}_odds") for i, (s, lab) in enumerate(zip(("home", "draw", "away"), ("主胜", "平局", "客胜")))]
     + [_row(i + 3, "HHAD 让球胜平负", lab, f"hhad_{s}_prob", f"hhad_{s}_odds") for i, (s, lab) in enumerate(zip(("home", "draw", "away"), ("让胜", "让平", "让负")))])
-CTE["c_one"] = "SELECT * FROM c_selections WHERE pos = l_partkey % 6"
 CTE["c_grid"] = """SELECT match_id, i, j, exp(i * ln(home_lambda) - home_lambda) / factorial(CAST(i AS INTEGER)) * exp(j * ln(away_lambda) - away_lambda) / factorial(CAST(j AS INTEGER)) AS w
   FROM c_lambdas, range(7) x(i), range(7) y(j)"""
 CTE["c_best_scores"] = """SELECT match_id, i, j, i || '-' || j AS score, p, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 12) DESC, i, j) AS n
@@ -89,7 +88,7 @@ CRS = f"""SELECT l_orderkey AS match_id, {MATCH_ID} AS seq,
 FIX = "SELECT fixture_id, date, home_team, away_team FROM c_fixtures"
 REQUESTS = """SELECT fixture_id AS request_id, date + CAST(fixture_id % 3 AS INTEGER) AS date,
    CASE WHEN fixture_id % 4 = 0 THEN away_team ELSE home_team END AS home_team, CASE WHEN fixture_id % 4 = 0 THEN home_team ELSE away_team END AS away_team
- FROM c_fixtures WHERE fixture_id % 3 < 2"""
+ FROM c_fixtures"""
 LISTED = "SELECT date + 1 AS day, request_id AS match_id, home_team, away_team FROM requests"
 DAYS = """SELECT date + 1 AS day, * FROM c_fixtures UNION ALL SELECT date AS day, * FROM c_fixtures
    WHERE date NOT IN (SELECT date + 1 FROM c_fixtures)"""
@@ -208,8 +207,8 @@ ORACLE = {
         {r('mom')} AS momentum_score, {r('vs')} AS value_score, {r('fs')} AS final_score FROM final""", **DECISION),
     "edge_report": q(f"""SELECT p_partkey, market_id, {r('mp')} AS model_probability, {r('probability')} AS market_probability, {r('mp - probability')} AS edge
       FROM pred LEFT JOIN one ON pred.subject = one.subject AND pred.signal_type = one.signal_type""", **MARKET_STEPS,
-        one="""SELECT lower(subject) AS subject, signal_type, min(market_id) AS market_id, max(probability) AS probability FROM rows_ x WHERE subject <> '' AND (outcome = 'Yes'
-          OR list_sort((SELECT list(DISTINCT y.outcome) FROM rows_ y WHERE y.market_id = x.market_id)) <> ['No','Yes']) GROUP BY ALL""",
+        one="""SELECT lower(subject) AS subject, signal_type, market_id, probability FROM rows_ x WHERE subject <> '' AND (outcome = 'Yes'
+          OR list_sort((SELECT list(DISTINCT y.outcome) FROM rows_ y WHERE y.market_id = x.market_id)) <> ['No','Yes'])""",
         pred="""SELECT p_partkey, 't' || (p_partkey % 60) AS subject, ['tournament_winner','advance_or_qualify','match_related'][p_size % 3 + 1] AS signal_type,
           CASE WHEN p_size % 10 > 0 THEN p_size / 64 END AS mp FROM part"""),
     "stream_large_buys": q(f"""SELECT DISTINCT trade_id, side, {r('size * price')} AS notional, {r('size')} AS size, {r('price')} AS price FROM c_trades WHERE {TRADE_FILTER}"""),
@@ -255,7 +254,7 @@ ORACLE = {
         g9="""SELECT match_id, handicap_line, i, j, exp(i * ln(home_lambda) - home_lambda) / factorial(CAST(i AS INTEGER)) * exp(j * ln(away_lambda) - away_lambda) / factorial(CAST(j AS INTEGER)) AS w
           FROM c_lambdas, range(9) x(i), range(9) y(j)"""),
     "selection_edge": q(f"""SELECT match_id, selection, {r('probability')} AS probability, {r('odds')} AS odds, {r(edge('probability', 'odds'))} AS expected_value,
-        {r(kelly('probability', 'odds'))} AS kelly FROM c_one"""),
+        {r(kelly('probability', 'odds'))} AS kelly FROM c_selections"""),
     "strength_adjust": q("SELECT match_id, " + ", ".join(
         f"{r(f'CASE WHEN live THEN {x} / (h + d + y) ELSE {s}_prob END')} AS {s}_prob" for x, s in zip("hdy", ("home", "draw", "away"))) + " FROM w", **STRENGTH),
     "motivation_adjust": q("SELECT match_id, " + ", ".join(
@@ -263,15 +262,15 @@ ORACLE = {
     "sentiment_diff": q(f"""SELECT match_id, {r('CASE WHEN h.m IS NOT NULL OR a.m IS NOT NULL THEN least(greatest(coalesce(h.m, 0) - coalesce(a.m, 0), -3), 3) END')} AS sentiment_diff
       FROM c_matches LEFT JOIN mood h ON home_team = h.team LEFT JOIN mood a ON away_team = a.team""",
         mood="SELECT team, (max(elo) / 1500 - 3) * ((max(seq) % 10) / 10) AS m FROM c_static WHERE elo > 0 GROUP BY team"),
-    "sentiment_adjust": q(f"""SELECT match_id, {r('''CASE WHEN sentiment_diff IS NULL OR dir = 0 THEN probability
+    "sentiment_adjust": q(f"""SELECT match_id, selection, {r('''CASE WHEN sentiment_diff IS NULL OR dir = 0 THEN probability
         ELSE greatest(0.001, least(0.98, probability * (1 + 0.035 * sentiment_diff * dir))) END''')} AS probability
-      FROM (SELECT *, CASE WHEN selection IN ('主胜','让胜') THEN 1 WHEN selection IN ('客胜','让负') THEN -1 ELSE -0.25 * abs(sentiment_diff) END AS dir FROM c_one)"""),
-    "market_signal_adjust": q(f"""SELECT match_id, {r('p')} AS probability, {r(edge('p', 'odds'))} AS expected_value, {r(kelly('p', 'odds'))} AS kelly,
+      FROM (SELECT *, CASE WHEN selection IN ('主胜','让胜') THEN 1 WHEN selection IN ('客胜','让负') THEN -1 ELSE -0.25 * abs(sentiment_diff) END AS dir FROM c_selections)"""),
+    "market_signal_adjust": q(f"""SELECT match_id, selection, {r('p')} AS probability, {r(edge('p', 'odds'))} AS expected_value, {r(kelly('p', 'odds'))} AS kelly,
         {r('coalesce(fs, 0)')} AS market_signal_score FROM (SELECT *, CASE WHEN fs IS NULL THEN probability ELSE
           greatest(0.001, least(0.98, probability * (1 + least(greatest(fs, -0.15), 0.18)))) END AS p
-        FROM (SELECT *, CASE WHEN l_suppkey % 3 > 0 THEN signal * 2 END AS fs FROM c_one))"""),
-    "favorite_guard": q(f"SELECT match_id, CAST(bad AS INTEGER) AS conflict, {r('gp')} AS probability, {r('ev')} AS expected_value FROM pr",
-        g=GUARD.format(src="c_one"), gg=GUARDED, pr=PRICED),
+        FROM (SELECT *, CASE WHEN l_suppkey % 3 > 0 THEN signal * 2 END AS fs FROM c_selections))"""),
+    "favorite_guard": q(f"SELECT match_id, selection, CAST(bad AS INTEGER) AS conflict, {r('gp')} AS probability, {r('ev')} AS expected_value FROM pr",
+        g=GUARD.format(src="c_selections"), gg=GUARDED, pr=PRICED),
     "exact_score_candidates": q(f"""SELECT match_id, count(*) AS candidates, count(*) FILTER (pick) AS picks, {r('sum(p)')} AS probability,
         {r(f"max({edge('p', 'o')})")} AS best_value, {r(f"sum({kelly('p', 'o')})")} AS kelly FROM cand GROUP BY match_id""", **SCORES),
     "parlay_plan": q(f"""SELECT CAST(day AS VARCHAR) AS day, CAST(v > 0 AND least(0.05, 0.25 * fk) > 0 AS INTEGER) AS available, {r('co')} AS combined_odds, {r('cp')} AS combined_probability,

@@ -125,7 +125,7 @@ ORACLE = {
     "coverage_report": q(f"""SELECT team, {r('m / n')} AS matched_rate, {r('coalesce(pa, 0) / n')} AS appearance_rate, n AS squad_players, m AS matched_players, pa AS players_with_appearances,
         CAST(tm AS BIGINT) AS total_minutes FROM (SELECT team, count(*) AS n, count(*) FILTER (player_id % 3 > 0) AS m FROM c_players GROUP BY team)
         LEFT JOIN (SELECT team, count(appearances) AS pa, sum(minutes) AS tm FROM ct GROUP BY team) USING (team)""", season_=SEASON, tot=TOTALS, ct=CLUB_TABLE),
-    "unmatched_players": q("SELECT player_id, team FROM c_players WHERE player_id % 3 = 0 AND team <> 'NATION_0' ORDER BY player_id LIMIT 30"),
+    "unmatched_players": q("SELECT player_id, team FROM c_players WHERE player_id % 3 = 0 AND team <> 'NATION_0'"),
     "team_aggregates": q(f"""SELECT team, {r('avg(pace)')} AS pace_mean, {r('avg(shooting)')} AS shooting_mean, {r('avg(value)')} AS value_mean, {r('sum(pace)')} AS pace_sum,
         count(*) AS squad_player_count, count(*) FILTER (player_id % 3 > 0) AS matched_count FROM c_players GROUP BY team"""),
     "topk_team": q("SELECT team, " + ", ".join(f"{r(v)} AS squad_{n}" for n, v in {

@@ -60,7 +60,7 @@ COMPLETED = """SELECT o.o_orderkey AS seq, CAST(o_orderdate AS DATE) AS date,
    CASE WHEN o_orderkey % 8 = 0 THEN home_team ELSE away_team END AS away_team,
    CAST(o_orderkey % 6 AS DOUBLE) AS home_score, CAST(o_orderkey % 3 AS DOUBLE) AS away_score,
    CASE WHEN o_orderkey % 12 = 0 THEN 'Qualifier' ELSE 'FIFA World Cup' END AS tournament
- FROM orders o JOIN c_fixtures f ON o.o_orderkey = f.fixture_id WHERE o_orderkey % 4 = 0 AND o_orderkey % 20 <> 0"""
+ FROM orders o JOIN c_fixtures f ON o.o_orderkey = f.fixture_id WHERE o_orderkey % 20 <> 0"""
 
 # Standings by brute force: every fixture against every earlier scored result of its group.
 STANDING_STEPS = {
@@ -238,8 +238,7 @@ ORACLE = {
       UNION ALL SELECT 'neutral', neutral, count(*) FROM c_matches GROUP BY ALL"""),
     "incremental_uncached": q("""SELECT match_id, CAST(date AS VARCHAR) AS date FROM c_matches m
       WHERE date >= DATE '1996-01-01' AND tournament ILIKE '%world cup%' AND NOT EXISTS (SELECT 1 FROM c_odds o
-        WHERE o.date = m.date AND lower(o.home_team) = lower(m.home_team) AND lower(o.away_team) = lower(m.away_team))
-      ORDER BY m.date, match_id LIMIT 500"""),
+        WHERE o.date = m.date AND lower(o.home_team) = lower(m.home_team) AND lower(o.away_team) = lower(m.away_team))"""),
     "key_coverage_missing": q("""SELECT DISTINCT CAST(date AS VARCHAR) AS date, lower(home_team) AS home, lower(away_team) AS away
       FROM c_matches m WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-01-01' + 3650 AND NOT EXISTS (SELECT 1 FROM c_odds o
         WHERE o.home_team = m.home_team AND o.away_team = m.away_team AND abs(date_diff('day', o.shanghai_date, m.date)) <= 1)"""),

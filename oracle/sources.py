@@ -225,13 +225,13 @@ ORACLE = {
     "extract_page_candidates": q(f"""SELECT page_id, CAST(n - 1 AS INTEGER) AS position, url, '' AS slug_name,
         coalesce(TRY_CAST(regexp_extract(w, '(?i)(\\d{{2}})\\s+Overall rating', 1) AS INTEGER), TRY_CAST(regexp_extract(w, '(?i)overall rating is\\s+(\\d{{2}})', 1) AS INTEGER),
           TRY_CAST(regexp_extract(w, '(?i)(\\d{{2}})\\s+Overall', 1) AS INTEGER)) AS overall,
-        CAST(least(length(w), 500) AS INTEGER) AS snippet_length
-      FROM (SELECT *, CASE WHEN length(near) < 80 THEN {strip('doc')} ELSE near END AS w FROM
-        (SELECT *, {strip("substring(doc, greatest(found_at - 1200, 1), found_at + 2500 - greatest(found_at - 1200, 1))")} AS near FROM ranked))""",
+        CAST(length(w) AS INTEGER) AS snippet_length
+      FROM ranked JOIN text_ USING (page_id)""",
         doc=f"SELECT page_id, {ENTITY.format('html')} AS doc FROM pages",
+        text_=f"SELECT page_id, {strip('doc')} AS w FROM doc",
         found="SELECT page_id, doc, unnest(regexp_extract_all(doc, '/[A-Za-z]{3,}')) AS url, generate_subscripts(regexp_extract_all(doc, '/[A-Za-z]{3,}'), 1) AS i FROM doc",
-        ranked="""SELECT page_id, url, any_value(doc) AS doc, instr(any_value(doc), url) AS found_at, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) AS n
-          FROM found WHERE NOT contains(url, '/customized') GROUP BY page_id, url QUALIFY n <= 5"""),
+        ranked="""SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) AS n
+          FROM found WHERE NOT contains(url, '/customized') GROUP BY page_id, url"""),
     "avg_available": f"""SELECT {MATCH_ID} AS match_id, {r('CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE (l_quantity + l_linenumber) / 2 END')} AS pace,
         CAST(0 AS DOUBLE) AS none FROM lineitem""",
     "implied_prob": q(f"""SELECT match_id, pool_code, outcome, {r('CASE WHEN odds > 1 THEN 1 / odds END')} AS implied,

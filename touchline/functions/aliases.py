@@ -126,12 +126,6 @@ ALIASES: dict[str, dict[str, str]] = {
 }
 
 
-def alias_table(spark: SparkSession) -> DataFrame:
-    """The alias dimension (source, alias, canonical); a few hundred rows."""
-    rows = [(s, a, c) for s, names in ALIASES.items() for a, c in names.items()]
-    return spark.createDataFrame(rows, "source string, alias string, canonical string")
-
-
 def lookup(col: Column, mapping: dict[str, str]) -> Column:
     """Mapped value, or the input where the map has none."""
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])

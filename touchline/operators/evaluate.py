@@ -6,7 +6,6 @@ Predictions are rows with a ``label`` (0 home, 1 draw, 2 away) and three probabi
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,40 +132,35 @@ def overfit_verdict(train: Column, test: Column) -> Column:
     return F.when(gap >= 0.15, "clear_overfitting").when(gap >= 0.08, "some_overfitting").otherwise("no_clear_overfitting")
 
 
-def weight_grid() -> list[dict[str, float]]:
-    """Candidate blends: tenths per model, at least 0.2 boosting and at most 0.4 Poisson, and one extra."""
-    steps = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6]
-    grid = []
-    for gbm, rf, logistic in product(steps, steps, steps):
-        poisson = round(1.0 - gbm - rf - logistic, 10)
-        if gbm >= 0.2 and 0 <= poisson <= 0.4:
-            grid.append({"gbm": gbm, "rf": rf, "logistic": logistic, "poisson": poisson})
-    return [*grid, {"gbm": 0.45, "rf": 0.20, "logistic": 0.20, "poisson": 0.15}]
+# A blend's shares are whole tenths, at most six for a model, at least two for boosting, at most four for
+# Poisson; one blend in twentieths is tried too.
+EXTRA_BLEND = (9, 4, 4, 3)
 
 
-def weight_table(spark: SparkSession) -> DataFrame:
-    rows = [(i, *[float(w[m]) for m in MODELS]) for i, w in enumerate(weight_grid())]
-    return spark.createDataFrame(rows, "candidate int, " + ", ".join(f"w_{m} double" for m in MODELS))
+def blend_candidates(spark: SparkSession) -> DataFrame:
+    """One row per candidate blend: its number and the four models' shares, which sum to one."""
+    tenths = spark.range(2, 7).toDF("g").join(spark.range(7).toDF("f"), F.expr("g + f <= 10")).join(
+        spark.range(7).toDF("l"), F.expr("g + f + l between 6 and 10"))
+    # Sorted by shares, of which the first three tell the blends apart.
+    number = (F.col("g") * 49 + F.col("f") * 7 + F.col("l")).cast("int")
+    shares = [F.col("g") / 10, F.col("f") / 10, F.col("l") / 10, (10 - F.col("g") - F.col("f") - F.col("l")) / 10]
+    names = [f"w_{m}" for m in MODELS]
+    extra = spark.range(1).select(F.lit(1000).alias("candidate"), *[F.lit(v / 20).alias(n) for v, n in zip(EXTRA_BLEND, names, strict=True)])
+    return tenths.select(number.alias("candidate"), *[v.alias(n) for v, n in zip(shares, names, strict=True)]).unionByName(extra)
 
 
 def weight_scores(df: DataFrame) -> DataFrame:
     """Log loss, accuracy and Brier score of every candidate blend.
 
-    Candidates are an array literal of about a hundred entries exploded beside each row, and the
-    exploded rows are summed map-side at once; nothing but one line per candidate is shuffled.
+    The candidates, about a hundred rows whatever the input, are gathered into one array that is exploded beside each row;
+    the exploded rows are summed map-side at once, and nothing but one line per candidate is shuffled.
     """
-    grid = F.array(*[
-        F.struct(F.lit(i).alias("candidate"), *[F.lit(float(w[m])).alias(f"w_{m}") for m in MODELS])
-        for i, w in enumerate(weight_grid())])
+    names = ["candidate", *[f"w_{m}" for m in MODELS]]
+    grid = blend_candidates(df.sparkSession).agg(F.collect_list(F.struct(*names)).alias("grid")).scalar()
     rows = normalize(df).select("label", *[f"{m}_{i}" for m in MODELS for i in range(3)], F.inline(grid))
     rows = blend(rows, {m: F.col(f"w_{m}") for m in MODELS}).withColumn("prediction", decide())
     hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-    return rows.groupBy("candidate", *[f"w_{m}" for m in MODELS]).agg(hit.alias("accuracy"), *[v.alias(k) for k, v in _losses().items()])
-
-
-def best_weights(scores: DataFrame) -> DataFrame:
-    """Lowest log loss, then highest accuracy, then lowest Brier score, the first candidate on ties."""
-    return scores.orderBy(F.round("log_loss", 12), F.desc("accuracy"), F.round("brier", 12), "candidate").limit(1)
+    return rows.groupBy(*names).agg(hit.alias("accuracy"), *[v.alias(k) for k, v in _losses().items()])
 
 
 # The draw thresholds tried, 0.20 to 0.38, and the accuracy a threshold may cost.

@@ -58,16 +58,12 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rankings(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        table(spark, folder, "orders")
-        .where("o_orderpriority like '1%' or o_orderpriority like '2%'")
-        .selectExpr(
-            "concat('T', o_custkey % 100) as team",
-            "to_date(o_orderdate) as date",
-            "cast(o_orderkey % 200 + 1 as double) as fifa_rank",
-            "o_totalprice / 100 as fifa_points",
-            "o_orderkey as seq",
-        )
+    return table(spark, folder, "orders").selectExpr(
+        "concat('T', o_custkey % 100) as team",
+        "to_date(o_orderdate) as date",
+        "cast(o_orderkey % 200 + 1 as double) as fifa_rank",
+        "o_totalprice / 100 as fifa_points",
+        "o_orderkey as seq",
     )
 
 
@@ -114,12 +110,12 @@ def model_probabilities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def closing_odds(spark: SparkSession, folder: str) -> DataFrame:
-    """Sparse odds table whose date may be a day off the match date."""
-    return _lineitem_matches(spark, folder).where("(l_orderkey + l_linenumber) % 3 = 0").selectExpr(
+    """Odds whose date may be a day off the match date; two in three are listed under a home team that plays no match."""
+    return _lineitem_matches(spark, folder).selectExpr(
         f"{MATCH_ID} as seq",
         "date_add(to_date(l_shipdate), cast(l_orderkey % 3 - 1 as int)) as date",
         "date_add(to_date(l_shipdate), cast(l_partkey % 2 as int)) as shanghai_date",
-        "concat('T', l_suppkey % 100) as home_team",
+        "concat(if((l_orderkey + l_linenumber) % 3 = 0, 'T', 'U'), l_suppkey % 100) as home_team",
         "concat('T', l_partkey % 100) as away_team",
         "1.2 + l_discount * 10 as closing_home_odds",
         "2.5 + l_tax * 10 as closing_draw_odds",

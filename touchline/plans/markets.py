@@ -77,8 +77,7 @@ def edge_report(spark: SparkSession, folder: str) -> DataFrame:
         "element_at(array('tournament_winner', 'advance_or_qualify', 'match_related'), cast(p_size % 3 as int) + 1) as signal_type",
         "if(p_size % 10 = 0, '', cast(p_size / 64 as string)) as model_probability")
     signals = dispersion.yes_no_signals(market_rows(spark, folder)).where("subject <> ''")
-    one = signals.groupBy("subject", "signal_type").agg(F.min("market_id").alias("market_id"), F.max("probability").alias("probability"))
-    out = market.edge_report(predictions, one)
+    out = market.edge_report(predictions, signals)
     return show(out, ["p_partkey", "market_id"], ["model_probability", "market_probability", "edge"])
 
 
@@ -153,12 +152,13 @@ def live_odds_overlay(spark: SparkSession, folder: str) -> DataFrame:
         n: F.expr(f"case when fixture_id % 4 = 0 then {v} + fixture_id % 10 / 10 end")
         for n, v in zip(fx.CLOSING, ("1.5D", "3.1D", "2.2D"))})
     listed = rows.selectExpr("fixture_id", "date_add(date, cast(fixture_id % 2 as int)) as date", "home_team", "away_team")
-    had = listed.where("fixture_id % 3 = 0").selectExpr(
-        "fixture_id as seq", "date", "home_team", "away_team",
+    # Each source names the games of the other, and a third of all, differently.
+    had = listed.selectExpr(
+        "fixture_id as seq", "date", "if(fixture_id % 3 = 0, home_team, concat('X', home_team)) as home_team", "away_team",
         "inline(array(struct('home_win' as outcome, 1.2D + fixture_id % 30 / 10 as odds), struct('draw' as outcome, 3.0D + fixture_id % 7 / 10 as odds), "
         "struct(if(fixture_id % 15 = 0, 'none', 'away_win') as outcome, 2.0D + fixture_id % 11 / 10 as odds)))")
-    scores = listed.where("fixture_id % 3 = 1").selectExpr(
-        "date", "home_team", "away_team",
+    scores = listed.selectExpr(
+        "date", "if(fixture_id % 3 = 1, home_team, concat('X', home_team)) as home_team", "away_team",
         "inline(array(struct('1-0' as outcome, 5.0D + fixture_id % 9 as odds), struct('0-0' as outcome, 7.0D as odds), struct('0-2' as outcome, 9.0D + fixture_id % 4 as odds), "
         "struct('home_other' as outcome, 2.0D as odds)))")
     return show(fx.live_odds_overlay(rows, had, scores, "seq"), ["fixture_id", "odds_source"], fx.CLOSING)
@@ -168,11 +168,12 @@ def schedule_join(spark: SparkSession, folder: str) -> DataFrame:
     rows = c.fixtures(spark, folder).select("fixture_id", "date", "home_team", "away_team")
     nation = table(spark, folder, "nation")
     games = table(spark, folder, "orders").join(
-        table(spark, folder, "customer"), F.expr("o_custkey = c_custkey")).where("o_orderkey % 3 > 0").selectExpr(
+        table(spark, folder, "customer"), F.expr("o_custkey = c_custkey")).selectExpr(
         "o_orderkey as id", "if(o_orderkey % 2 = 0, c_nationkey, (c_nationkey + 5) % 25) as home_team_id",
         "if(o_orderkey % 2 = 0, (c_nationkey + 5) % 25, c_nationkey) as away_team_id",
         "concat('G', c_nationkey % 5) as `group`", "cast(o_orderkey % 3 + 1 as int) as matchday",
-        "date_format(date_add(o_orderdate, cast(o_orderkey % 5 = 0 as int)), 'MM/dd/yyyy 18:30') as local_date", "o_custkey % 100 as stadium_id")
+        # A third of the games lies far off any fixture.
+        "date_format(date_add(o_orderdate, cast(o_orderkey % 5 = 0 as int) + if(o_orderkey % 3 = 0, 9000, 0)), 'MM/dd/yyyy 18:30') as local_date", "o_custkey % 100 as stadium_id")
     teams = nation.selectExpr("n_nationkey as id", "concat(n_name, ' ') as name_en", "concat('F', n_nationkey) as fifa_code")
     stadia = table(spark, folder, "supplier").join(nation, F.expr("s_nationkey = n_nationkey")).selectExpr(
         "s_suppkey as id", "s_name as name_en", "n_name as country_en")
@@ -182,13 +183,14 @@ def schedule_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fixture_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return c.fixtures(spark, folder).where("fixture_id % 3 < 2").selectExpr(
+    return c.fixtures(spark, folder).selectExpr(
         "fixture_id as request_id", "date_add(date, cast(fixture_id % 3 as int)) as date",
         "if(fixture_id % 4 = 0, away_team, home_team) as home_team", "if(fixture_id % 4 = 0, home_team, away_team) as away_team")
 
 
 def fixture_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    table_ = c.fixtures(spark, folder).where("fixture_id % 5 > 0")
+    # Every fifth fixture is listed under another name, so its request finds none.
+    table_ = c.fixtures(spark, folder).withColumn("home_team", F.expr("if(fixture_id % 5 = 0, concat('X', home_team), home_team)"))
     out = fx.fixture_lookup(fixture_requests(spark, folder), table_, "fixture_id")
     return show(out.withColumn("available", F.col("available").cast("int")), ["request_id"], [], ["fixture_id", "swapped", "available"])
 
@@ -224,13 +226,8 @@ def poisson_handicap(spark: SparkSession, folder: str) -> DataFrame:
     return show(poisson.handicap_probabilities(grid, "handicap_line"), ["match_id"], ["handicap_home", "handicap_draw", "handicap_away"])
 
 
-def first_selection(spark: SparkSession, folder: str) -> DataFrame:
-    """One selection per match, a different one from match to match."""
-    return c.selections(spark, folder).where("pos = l_partkey % 6")
-
-
 def selection_edge(spark: SparkSession, folder: str) -> DataFrame:
-    return show(sel.with_edge(first_selection(spark, folder)), ["match_id", "selection"], ["probability", "odds", "expected_value", "kelly"])
+    return show(sel.with_edge(c.selections(spark, folder)), ["match_id", "selection"], ["probability", "odds", "expected_value", "kelly"])
 
 
 def strength_adjust(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,12 +245,12 @@ def sentiment_diff(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentiment_adjust(spark: SparkSession, folder: str) -> DataFrame:
-    return show(sel.sentiment_adjust(first_selection(spark, folder)), ["match_id"], ["probability"])
+    return show(sel.sentiment_adjust(c.selections(spark, folder)), ["match_id", "selection"], ["probability"])
 
 
 def market_signal_adjust(spark: SparkSession, folder: str) -> DataFrame:
-    rows = first_selection(spark, folder).withColumn("final_score", F.when(F.expr("l_suppkey % 3 > 0"), F.col("signal") * 2))
-    return show(sel.market_signal_adjust(rows), ["match_id"], ["probability", "expected_value", "kelly", "market_signal_score"])
+    rows = c.selections(spark, folder).withColumn("final_score", F.when(F.expr("l_suppkey % 3 > 0"), F.col("signal") * 2))
+    return show(sel.market_signal_adjust(rows), ["match_id", "selection"], ["probability", "expected_value", "kelly", "market_signal_score"])
 
 
 def guarded(rows: DataFrame) -> DataFrame:
@@ -263,9 +260,9 @@ def guarded(rows: DataFrame) -> DataFrame:
 
 
 def favorite_guard(spark: SparkSession, folder: str) -> DataFrame:
-    out = guarded(first_selection(spark, folder))
+    out = guarded(c.selections(spark, folder))
     return out.select(
-        "match_id", F.col("market_favorite_conflict").cast("int").alias("conflict"), r6("probability"), r6("expected_value"))
+        "match_id", "selection", F.col("market_favorite_conflict").cast("int").alias("conflict"), r6("probability"), r6("expected_value"))
 
 
 def score_candidates(spark: SparkSession, folder: str) -> DataFrame:

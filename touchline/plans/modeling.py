@@ -45,7 +45,7 @@ def feature_projection(spark: SparkSession, folder: str) -> DataFrame:
 def missing_audit(spark: SparkSession, folder: str) -> DataFrame:
     frame = features.line_changes(wide_frame(spark, folder)).withColumn("away_elo", F.lit(None).cast("double"))
     out = features.missing_audit(frame, [*FRAME_FEATURES, "away_elo"])
-    return out.select("match_id", "missing_feature_count", "missing_features", F.col("all_required_features_present").cast("int").alias("complete"))
+    return out.select("match_id", "missing_feature_count", F.array_join("missing_names", ",").alias("missing_features"), F.col("all_required_features_present").cast("int").alias("complete"))
 
 
 MEDIAN = ["f_quantity", "f_price", "f_text"]

@@ -171,7 +171,7 @@ def coverage_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def unmatched_players(spark: SparkSession, folder: str) -> DataFrame:
     rows = matched_players(spark, folder).where(~F.coalesce("matched", F.lit(False))).where(F.lower("team") != "nation_0")
-    return rows.orderBy("player_id").limit(30).select("player_id", "team")
+    return rows.select("player_id", "team")
 
 
 def team_aggregates(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,7 +235,9 @@ def yearly(spark: SparkSession, folder: str) -> DataFrame:
 def top11_with_fallback(spark: SparkSession, folder: str) -> DataFrame:
     rows = yearly(spark, folder)
     needed = rows.select("worldcup_year", "team_name").distinct().unionByName(rows.selectExpr("worldcup_year", "concat('X', player_id % 5) as team_name").distinct())
-    chosen, coverage = squads.top11_with_fallback(needed, rows.where("player_id % 7 > 4"), rows, "player_id")
+    # The official squads name most players under teams that are not asked for.
+    official = rows.withColumn("team_name", F.expr("if(player_id % 7 > 4, team_name, concat('Z', team_name))"))
+    chosen, coverage = squads.top11_with_fallback(needed, official, rows, "player_id")
     counted = chosen.groupBy("worldcup_year", "team_name", "selection_source").agg(F.sum("overall").alias("overall"))
     out = coverage.join(counted, ["worldcup_year", "team_name", "selection_source"], "left")
     return show(out, ["worldcup_year", "team_name", "selection_source"], ["overall"], ["selected_players"])
@@ -244,7 +246,8 @@ def top11_with_fallback(spark: SparkSession, folder: str) -> DataFrame:
 def squads_to_ratings(spark: SparkSession, folder: str) -> DataFrame:
     rows = yearly(spark, folder)
     ratings = rows.withColumn("team_name", F.when(F.expr("player_id % 3 = 0"), F.lit("")).otherwise(F.col("team_name")))
-    out = squads.squads_to_ratings(ratings, rows.where("player_id % 5 > 0"), "player_id")
+    listed = rows.withColumn("name_key", F.expr("if(player_id % 5 > 0, name_key, concat('zz ', name_key))"))
+    out = squads.squads_to_ratings(ratings, listed, "player_id")
     return show(out, ["worldcup_year", "team_name", "name_key", "player_id"], ["overall"])
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rating phrases, tried in this order, and the text window around a link.
+# Rating phrases, tried in this order.
 RATING_PATTERNS = [r"(\d{2})\s+Overall rating", r"overall rating is\s+(\d{2})", r"(\d{2})\s+Overall"]
-BEFORE, AFTER, SNIPPET, CANDIDATES = 1200, 2500, 500, 5
 ENTITIES = {"&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&amp;": "&"}
 
 
@@ -25,21 +24,35 @@ def strip_tags(col: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(col), r"[\s\p{Z}]+", " "))
 
 
-def page_candidates(pages: DataFrame, url_pattern: str, key: str, html: str, skip: str = "/customized") -> DataFrame:
-    """The first five distinct profile links of each page, in order, with name, rating and snippet."""
+def page_candidates(pages: DataFrame, url_pattern: str, key: str, html: str, skip: str = "/customized",
+                    first: int | None = None, around: tuple[int, int] | None = None, snippet: int | None = None) -> DataFrame:
+    """The distinct profile links of each page, in order, with name, rating and text.
+
+    All links and the page's whole text count, unless asked otherwise: ``first`` keeps so many links, ``around`` looks at so
+    many characters before and after a link's first place (at the whole page if those hold under 80 characters of text),
+    ``snippet`` shortens the returned text.
+    """
     page = pages.select(key, unescape(F.col(html)).alias("doc"))
-    links = F.slice(
-        F.array_distinct(F.filter(
-            F.regexp_extract_all("doc", F.lit(f"({url_pattern})"), 1), lambda u: ~u.contains(skip))), 1, CANDIDATES)
-    rows = page.select(key, "doc", F.posexplode(links).alias("position", "url"))
-    at = F.instr("doc", F.col("url"))
-    start = F.greatest(at - BEFORE, F.lit(1))
-    window = strip_tags(F.substring("doc", start, at + AFTER - start))
-    rows = rows.withColumn("_near", window)
-    rows = rows.withColumn("window", F.when(F.length("_near") < 80, strip_tags(F.col("doc"))).otherwise(F.col("_near")))
-    rating = F.coalesce(*[F.regexp_extract("window", f"(?i){p}", 1).try_cast("int") for p in RATING_PATTERNS])
+    links = F.array_distinct(F.filter(F.regexp_extract_all("doc", F.lit(f"({url_pattern})"), 1), lambda u: ~u.contains(skip)))
+    links = links if first is None else F.slice(links, 1, first)
+
+    def rating(window: Column) -> Column:
+        return F.coalesce(*[F.regexp_extract(window, f"(?i){p}", 1).try_cast("int") for p in RATING_PATTERNS])
+
+    whole = page.withColumn("_links", links).withColumn("window", strip_tags(F.col("doc")))
+    if around is None:
+        # The text is the page's: it is cleaned and searched once, not once per link.
+        whole = whole.withColumn("overall", rating(F.col("window"))).drop("doc")
+        rows = whole.select(key, "window", "overall", F.posexplode("_links").alias("position", "url"))
+    else:
+        before, after = around
+        rows = whole.select(key, "doc", F.col("window").alias("_whole"), F.posexplode("_links").alias("position", "url"))
+        at = F.instr("doc", F.col("url"))
+        start = F.greatest(at - before, F.lit(1))
+        rows = rows.withColumn("_near", strip_tags(F.substring("doc", start, at + after - start)))
+        rows = rows.withColumn("window", F.when(F.length("_near") < 80, F.col("_whole")).otherwise(F.col("_near")))
+        rows = rows.withColumn("overall", rating(F.col("window")))
     slug = F.regexp_extract("url", r"/player/\d+/([^/]+)/", 1)
+    text = F.col("window") if snippet is None else F.substring("window", 1, snippet)
     return rows.select(
-        key, "position", "url", F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))).alias("slug_name"),
-        rating.alias("overall"), F.substring("window", 1, SNIPPET).alias("snippet"),
-    )
+        key, "position", "url", F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))).alias("slug_name"), "overall", text.alias("snippet"))
