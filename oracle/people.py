@@ -152,7 +152,7 @@ ORACLE = {
         SELECT r.* FROM yr r WHERE player_id % 3 > 0 AND EXISTS (SELECT 1 FROM sq WHERE sq.y = r.y AND sq.t = r.t AND sq.nk = r.nk)
         UNION ALL SELECT r.player_id, r.y, sq.t, r.ov, r.nk FROM yr r JOIN sq ON sq.y = r.y AND sq.nk = r.nk WHERE r.player_id % 3 = 0)
       QUALIFY row_number() OVER (PARTITION BY y, t, nk ORDER BY ov DESC, player_id) = 1""", yr=YEARLY, sq="SELECT DISTINCT y, t, nk FROM yr WHERE player_id % 5 > 0"),
-    "clean_squad": q("SELECT player_id, team AS team_norm, CASE WHEN player_id % 9 > 0 THEN CAST(birthdate AS VARCHAR) END AS birthdate FROM c_players"),
+    "clean_squad": q("SELECT player_id, CASE WHEN player_id % 4 = 0 THEN ['Bosnia and Herzegovina','South Korea','iR irAN','Turkey','Nowhere'][player_id % 5 + 1] ELSE team END AS team_norm, CASE WHEN player_id % 9 > 0 THEN CAST(birthdate AS VARCHAR) END AS birthdate FROM c_players"),
     "squad_layout": q("SELECT player_id, t || '__' || y AS team_key, t AS real_team_name FROM yr", yr=YEARLY),
     "standardize_ratings": q(f"""SELECT seq, worldcup_year, team_name, player_name, simplified_position, club_name, {LEGACY.format('player_name')} AS name_key, {r('pace')} AS pace,
         {r('shooting')} AS shooting, {r('overall')} AS overall FROM st""", st=STANDARD),

@@ -185,16 +185,17 @@ ORACLE = {
     "scan_union_files": q(f"""SELECT mid AS match_id, seq, source_file, home_team, home_team_original, away_team, {r('hs')} AS home_score, {r('aws')} AS away_score
       FROM (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY f, seq) AS n FROM listed) WHERE n = 1 AND hs IS NOT NULL AND aws IS NOT NULL""",
         files=FILES, listed=FILE_ROWS),
-    "scan_union_years": q(f"""SELECT CAST(2014 + 4 * f AS INTEGER) AS worldcup_year, mid AS match_id, seq, home_team, home_team_original,
+    "scan_union_years": q(f"""SELECT CAST(2014 + 4 * f AS INTEGER) AS worldcup_year, mid AS match_id, seq,
+        CASE home_team WHEN 'South Korea' THEN 'Korea Republic' WHEN 'United States' THEN 'USA' WHEN 'Iran' THEN 'IR Iran' ELSE home_team END AS home_team, home_team_original,
         {r('hs')} AS home_score, {r('aws')} AS away_score
       FROM (SELECT *, row_number() OVER (PARTITION BY f, mid ORDER BY seq) AS n FROM listed) WHERE n = 1 AND hs IS NOT NULL AND aws IS NOT NULL""",
         files=FILES, listed=FILE_ROWS),
     "scan_keyed_large": q("""SELECT game_id, player_id, competition_id, CAST(minutes_played AS BIGINT) AS minutes_played, CAST(goals AS BIGINT) AS goals
       FROM c_appearances WHERE game_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-01-01')
         AND player_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"""),
-    "canonical_team": q(f"""SELECT c_custkey, {alias('raw', RESULTS_ALIAS)} AS results, {alias('raw', NATION_ALIAS)} AS nationality,
+    "canonical_team": q(f"""SELECT c_custkey, {alias('raw', RESULTS_ALIAS)} AS results, CASE trim(raw) WHEN 'côte d''ivoire' THEN 'Ivory Coast' WHEN 'T rkiye' THEN 'Turkey' ELSE {alias('raw', NATION_ALIAS)} END AS nationality,
         coalesce({alias('raw', CLUB_ALIAS)}, '') AS club_stats, {alias('raw', ODDS_ALIAS)} AS odds FROM spelled""",
-        spelled="""SELECT c_custkey, CASE WHEN c_custkey % 9 < 8 THEN ['USA',' Korea Republic ','Türkiye','Cote d''Ivoire','Congo DR','Brazil','Korea, South','IR Iran'][c_custkey % 9 + 1] END AS raw FROM customer"""),
+        spelled="""SELECT c_custkey, CASE WHEN c_custkey % 11 < 10 THEN ['USA',' Korea Republic ','Türkiye','Cote d''Ivoire','Congo DR','Brazil','Korea, South','IR Iran','côte d''ivoire','T rkiye'][c_custkey % 11 + 1] END AS raw FROM customer"""),
     "normalize_person": q(f"SELECT player_id, {person('display_name')} AS name_key FROM c_players"),
     "normalize_person_legacy": q("""SELECT player_id, trim(regexp_replace(translate(lower(display_name), 'øıđ', 'oid'), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM c_players"""),
     "normalize_subject": "SELECT p_partkey, ['usa','usa','ir iran','korea republic','spain'][p_partkey % 5 + 1] AS subject_key FROM part",

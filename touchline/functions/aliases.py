@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Alias -> canonical name, per source.
@@ -44,12 +44,11 @@ ALIASES: dict[str, dict[str, str]] = {
         "Türkiye": "Turkey",
         "USA": "United States",
     },
+    # Player files' nationalities: these after the squad names above.
     "nationality": {
         "Bosnia-Herzegovina": "Bosnia and Herzegovina",
         "Bosnia And Herzegovina": "Bosnia and Herzegovina",
         "Cabo Verde": "Cape Verde",
-        "Cape Verde Islands": "Cape Verde",
-        "Congo DR": "DR Congo",
         "Czechia": "Czech Republic",
         "Curaçao": "Curacao",
         "IR Iran": "Iran",
@@ -61,8 +60,38 @@ ALIASES: dict[str, dict[str, str]] = {
         "USA": "United States",
         "Cote d'Ivoire": "Ivory Coast",
         "Côte d'Ivoire": "Ivory Coast",
+        "Ivory Coast": "Ivory Coast",
+        "Cape Verde Islands": "Cape Verde",
         "Holland": "Netherlands",
     },
+    # The same by folded key, with keys of names whose accented letters were lost.
+    "nationality_key": {
+        "cote d ivoire": "Ivory Coast",
+        "c te d ivoire": "Ivory Coast",
+        "cape verde islands": "Cape Verde",
+        "cura ao": "Curacao",
+        "holland": "Netherlands",
+        "t rkiye": "Turkey",
+    },
+    # Club statistics' squads; three names are as the file has them, decoded wrongly.
+    "transfermarkt": {
+        "Bosnia-Herzegovina": "Bosnia and Herzegovina",
+        "Bosnia And Herzegovina": "Bosnia and Herzegovina",
+        "Cabo Verde": "Cape Verde",
+        "Czechia": "Czech Republic",
+        "Cote d'Ivoire": "Ivory Coast",
+        "C么te d'Ivoire": "Ivory Coast",
+        "Cura莽ao": "Curacao",
+        "DR Congo": "DR Congo",
+        "D.R. Congo": "DR Congo",
+        "IR Iran": "Iran",
+        "Korea Republic": "South Korea",
+        "Korea, South": "South Korea",
+        "Turkiye": "Turkey",
+        "T眉rkiye": "Turkey",
+        "USA": "United States",
+        "United States of America": "United States",
+    },
     "club_stats": {
         "Bosnia-Herzegovina": "Bosnia and Herzegovina",
         "Bosnia And Herzegovina": "Bosnia and Herzegovina",
@@ -132,6 +161,19 @@ def lookup(col: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, col), col)
 
 
+def title_cased(source: str) -> dict[str, str]:
+    """Lower-cased names of a source whose own spelling is the title case: what a title-cased name can be found by."""
+    return {name.lower(): canonical for name, canonical in ALIASES[source].items() if name.title() == name}
+
+
+def canonical_squad_team(col: Column | str) -> Column:
+    """Trimmed name by the club-statistics table, by title case where the spelling itself is unknown."""
+    name = F.trim(F.col(col) if isinstance(col, str) else col)
+    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(ALIASES["transfermarkt"].items())])
+    titled = F.create_map(*[F.lit(x) for x in chain.from_iterable(title_cased("transfermarkt").items())])
+    return F.coalesce(F.try_element_at(known, name), F.try_element_at(titled, F.lower(name)), name)
+
+
 def canonical_team(col: Column | str, source: str = "results", missing: str | None = None) -> Column:
     """Trimmed name with the source's aliases applied; ``missing`` replaces null."""
     col = F.col(col) if isinstance(col, str) else col

@@ -62,6 +62,19 @@ def normalize_person(col: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
+def canonical_nationality(col: Column | str) -> Column:
+    """A player's nationality as team name: the squad table first, then the nationality table, then that by folded key."""
+    name = lookup(F.trim(F.col(col) if isinstance(col, str) else col), ALIASES["squad"])
+    folded = {fold(alias): team for alias, team in ALIASES["nationality"].items()} | ALIASES["nationality_key"]
+    tables = [F.create_map(*[F.lit(x) for item in names.items() for x in item]) for names in (ALIASES["nationality"], folded)]
+    return F.coalesce(F.try_element_at(tables[0], name), F.try_element_at(tables[1], normalize_person(name)), name)
+
+
+def fold(name: str) -> str:
+    """The key that ``normalize_person`` gives a name."""
+    return " ".join(re.sub(r"[^a-z0-9]+", " ", "".join(_plain(c) for c in name)).split())
+
+
 def normalize_person_legacy(col: Column | str) -> Column:
     """Older key: three letters folded, every other non-ASCII letter is a gap."""
     col = F.col(col) if isinstance(col, str) else col

@@ -253,7 +253,8 @@ def squads_to_ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 def clean_squad(spark: SparkSession, folder: str) -> DataFrame:
     raw = c.players(spark, folder).selectExpr(
-        "player_id", "concat(' ', team) as team", "display_name",
+        "player_id", "if(player_id % 4 = 0, element_at(array('Bosnia-Herzegovina', 'Korea, South', 'iR irAN', 'turkiye', 'Nowhere'), "
+        "cast(player_id % 5 as int) + 1), concat(' ', team)) as team", "display_name",
         "if(player_id % 9 = 0, 'unknown', date_format(birthdate, 'd/M/yyyy')) as date_of_birth")
     return show(features.clean_squad(raw), ["player_id", "team_norm", "birthdate"], [])
 

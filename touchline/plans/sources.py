@@ -126,9 +126,14 @@ def scan_union_files(spark: SparkSession, folder: str) -> DataFrame:
     return show(out, ["match_id", "seq", "source_file", "home_team", "home_team_original", "away_team"], ["home_score", "away_score"])
 
 
+def federation_team(name: str):
+    """Names as the ratings of those years have them: from the page's names, then from the common English ones."""
+    return canonical(canonical(name, "chinese"), "ratings")
+
+
 def scan_union_years(spark: SparkSession, folder: str) -> DataFrame:
     files = match_files(spark, folder)
-    out = readers.union_sources(files, ["match_id"], "seq", chinese_team, year=dict(zip(files, (2014, 2018, 2022))))
+    out = readers.union_sources(files, ["match_id"], "seq", federation_team, year=dict(zip(files, (2014, 2018, 2022))))
     return show(out, ["worldcup_year", "match_id", "seq", "home_team", "home_team_original"], ["home_score", "away_score"])
 
 
@@ -140,13 +145,13 @@ def scan_keyed_large(spark: SparkSession, folder: str) -> DataFrame:
     return show(out, ["game_id", "player_id", "competition_id"], [], ["minutes_played", "goals"])
 
 
-SPELLINGS = ["USA", " Korea Republic ", "Türkiye", "Cote d'Ivoire", "Congo DR", "Brazil", "Korea, South", "IR Iran"]
+SPELLINGS = ["USA", " Korea Republic ", "Türkiye", "Cote d'Ivoire", "Congo DR", "Brazil", "Korea, South", "IR Iran", "côte d'ivoire", "T rkiye"]
 
 
 def canonical_team(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.element_at(F.array(*[F.lit(s) for s in SPELLINGS]), F.expr("cast(c_custkey % 9 as int) + 1"))
-    rows = table(spark, folder, "customer").select("c_custkey", F.when(F.expr("c_custkey % 9 < 8"), name).alias("raw"))
-    return rows.select("c_custkey", canonical("raw", "results").alias("results"), canonical("raw", "nationality").alias("nationality"),
+    name = F.element_at(F.array(*[F.lit(s) for s in SPELLINGS]), F.expr("cast(c_custkey % 11 % 10 as int) + 1"))
+    rows = table(spark, folder, "customer").select("c_custkey", F.when(F.expr("c_custkey % 11 < 10"), name).alias("raw"))
+    return rows.select("c_custkey", canonical("raw", "results").alias("results"), text.canonical_nationality("raw").alias("nationality"),
                        canonical("raw", "club_stats", "").alias("club_stats"), canonical("raw", "odds").alias("odds"))
 
 
