@@ -16,10 +16,14 @@ def _needed(text: str, found: list[str]) -> list[str]:
     return found
 
 
+#: Carriers that several steps read: computed once per statement.
+ONCE = {"c_sides", "c_history", "c_fixtures", "c_matches"}
+
+
 def q(body: str, **extra: str) -> str:
     """``WITH`` carriers, then the ``extra`` named steps in order, then ``body``."""
     names = _needed(" ".join([*extra.values(), body]), [])
-    steps = [f"{n} AS ({CTE[n]})" for n in names] + [f"{n} AS ({s})" for n, s in extra.items()]
+    steps = [f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({CTE[n]})" for n in names] + [f"{n} AS ({s})" for n, s in extra.items()]
     return (f"WITH {', '.join(steps)} " if steps else "") + body
 
 

@@ -14,7 +14,7 @@ def as_of(probes: DataFrame, state: DataFrame, by: Sequence[str], at: str, paylo
     """One row per distinct ``(by, at)`` of ``probes`` with the latest ``payload`` of ``state``.
 
     ``strict`` sees only rows before the moment. Rows of one key and moment are settled by ``seq``
-    (highest wins). The latest *row* is found: its null values stay null.
+    (highest wins; a single column must tell them apart). The latest *row* is found: its null values stay null.
 
     State is first reduced to one row per (key, moment) and probes to distinct moments, both
     map-side. With day moments that bounds every window by the calendar. For finer clocks pass
@@ -23,8 +23,13 @@ def as_of(probes: DataFrame, state: DataFrame, by: Sequence[str], at: str, paylo
     """
     known = state.where(" and ".join(f"`{c}` is not null" for c in [*by, at]))
     asked = probes.where(" and ".join(f"`{c}` is not null" for c in [*by, at])).select(*by, at).distinct()
-    order = F.struct(*seq) if seq else F.struct(*payload)
-    latest = known.groupBy(*by, at).agg(F.max_by(F.struct(*payload), order).alias("_row"))
+    if len(seq) == 1:
+        # Plain columns keep the sums in a hash table; a struct would make Spark sort all rows first.
+        best = known.groupBy(*by, at).agg(*[F.max_by(c, seq[0]).alias(f"_{c}") for c in payload])
+        latest = best.select(*by, at, F.struct(*[F.col(f"_{c}").alias(c) for c in payload]).alias("_row"))
+    else:
+        order = F.struct(*seq) if seq else F.struct(*payload)
+        latest = known.groupBy(*by, at).agg(F.max_by(F.struct(*payload), order).alias("_row"))
     # At one moment the probe comes before the state row when strict, after it when not.
     rows = latest.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
     place = [at, F.col("_asked").desc() if strict else F.col("_asked").asc()]

@@ -21,11 +21,12 @@ def exact_join(matches: DataFrame, extra: DataFrame, columns: Sequence[str], seq
 
 
 def tolerant_date_join(matches: DataFrame, extra: DataFrame, columns: Sequence[str], seq: str,
-                       date_columns: Sequence[str] = ("date", "shanghai_date"), drop_empty: bool = True) -> DataFrame:
+                       date_columns: Sequence[str] = ("date", "shanghai_date"), drop_empty: bool = False) -> DataFrame:
     """Left join on teams and a date that may be one day off.
 
     Each date column makes one pass; the nearest day wins inside a pass, an earlier pass wins per
-    column, so one row may take columns from different passes. Columns no match received are dropped.
+    column, so one row may take columns from different passes. ``drop_empty`` leaves out the columns that no match received,
+    for which it runs the join once more to count.
     """
     out, filled = matches, {c: [] for c in columns}
     for number, date_column in enumerate(d for d in date_columns if d in extra.columns):
