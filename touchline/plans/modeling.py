@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions import poisson
 from touchline.functions.numbers import to_number
-from touchline.operators import dispersion, evaluate as ev, features, form, models, ratings, scan, selections as sel, splits, squads
+from touchline.operators import bundle, dispersion, evaluate as ev, features, form, models, ratings, scan, selections as sel, splits, squads
 from touchline.operators.matchclean import match_flags, result_label
 from touchline.plans import carriers as c
 from touchline.plans.common import show
 from touchline.plans.markets import decisions, guarded, score_candidates
 from touchline.plans.people import lineup
 from touchline.plans.sources import latest_snapshots
+from touchline.session import checkpoint_dir, cut_lineage
 
 #: Smaller ensembles than the library defaults, for the registered fits only.
 ROUNDS, TREES = 10, 20
@@ -145,13 +149,29 @@ MODEL_FEATURES = ["home_elo", "away_elo", "elo_diff", "is_neutral", "is_world_cu
                   "away_recent5_points_avg", "recent5_points_avg_diff", "recent5_goal_diff_avg_diff"]
 
 
-def model_table(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def model_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = match_flags(c.matches(spark, folder)).withColumn("label", result_label())
     rows = form.recent_form(ratings.elo_features(rows, c.ratings(spark, folder)))
     rows = splits.time_split(rows, ["date", "match_id"])
-    train, test = (rows.where(f"split_80_20 = '{s}'") for s in ("train", "test"))
-    medians = scan.exact_medians(train, MODEL_FEATURES)
-    return tuple(models.assemble(features.impute(part, MODEL_FEATURES, medians), MODEL_FEATURES) for part in (train, test))
+    return tuple(rows.where(f"split_80_20 = '{s}'") for s in ("train", "test"))
+
+
+@cache
+def _fitted(application: str, folder: str, path: str, rounds: int, trees: int) -> None:
+    spark = SparkSession.getActiveSession()
+    train, _ = model_rows(spark, folder)
+    train = cut_lineage(train)
+    fitted = bundle.fit(train, MODEL_FEATURES, scan.exact_medians(train, MODEL_FEATURES), DEFAULT_WEIGHTS, rounds, trees)
+    fitted.save(path)
+
+
+def saved_models(spark: SparkSession, folder: str) -> bundle.Bundle:
+    """The models of a folder's matches, fitted once per application and saved where all executors see them."""
+    name = hashlib.sha256(f"{folder}|{ROUNDS}|{TREES}".encode()).hexdigest()[:16]
+    application = spark.sparkContext.applicationId
+    path = f"{checkpoint_dir(spark).rstrip('/')}/touchline-models-{application}-{name}"
+    _fitted(application, folder, path, ROUNDS, TREES)
+    return bundle.Bundle.load(spark, path)
 
 
 def scored_probabilities(df: DataFrame, prefix: str) -> DataFrame:
@@ -159,29 +179,29 @@ def scored_probabilities(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def fit_gbm(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = model_table(spark, folder)
-    return scored_probabilities(models.fit_gbm(train, ROUNDS).transform(test, "gbm"), "gbm")
+    models_, (_, test) = saved_models(spark, folder), model_rows(spark, folder)
+    return scored_probabilities(models_.components.gbm.transform(models_.ready(test), "gbm"), "gbm")
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    train, _ = model_table(spark, folder)
-    values = models.fit_gbm(train, ROUNDS).importances()
-    return spark.createDataFrame(list(zip(MODEL_FEATURES, values)), "feature string, importance double").orderBy(F.desc("importance"))
+    models_ = saved_models(spark, folder)
+    rows = list(zip(models_.features, models_.components.gbm.importances(), strict=True))
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
 
 
 def fit_rf(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = model_table(spark, folder)
-    return scored_probabilities(models.class_probabilities(models.fit_rf(train, TREES), test, "rf"), "rf")
+    models_, (_, test) = saved_models(spark, folder), model_rows(spark, folder)
+    return scored_probabilities(models.class_probabilities(models_.components.rf, models_.ready(test), "rf"), "rf")
 
 
 def fit_logistic(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = model_table(spark, folder)
-    return scored_probabilities(models.class_probabilities(models.fit_logistic(train), test, "logistic"), "logistic")
+    models_, (_, test) = saved_models(spark, folder), model_rows(spark, folder)
+    return scored_probabilities(models.class_probabilities(models_.components.logistic, models_.ready(test), "logistic"), "logistic")
 
 
 def fit_poisson(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = model_table(spark, folder)
-    out = models.fit_poisson(train).transform(test, "poisson")
+    models_, (_, test) = saved_models(spark, folder), model_rows(spark, folder)
+    out = models_.components.goals.transform(models_.ready(test), "poisson")
     return show(out, ["match_id"], ["home_lambda", "away_lambda", *[f"poisson_{i}" for i in range(3)]])
 
 
@@ -194,10 +214,8 @@ def fit_score_regression(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_components(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = model_table(spark, folder)
-    fitted = models.fit_components(train, ROUNDS, TREES)
-    out = ev.blend(ev.normalize(fitted.transform(test)), DEFAULT_WEIGHTS)
-    return out.withColumn("prediction", ev.decide())
+    models_, (_, test) = saved_models(spark, folder), model_rows(spark, folder)
+    return models_.score(test).withColumn("prediction", ev.decide())
 
 
 def fit_components(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,23 +233,19 @@ def adjusted(df: DataFrame, floor: float) -> DataFrame:
 
 
 def batch_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Latest fifth of the matches: blended, adjusted probabilities and the pick."""
-    return show(adjusted(scored_components(spark, folder), 0.001), ["match_id", "model_pick"], sel.PROBS)
+    """Latest fifth of the matches: blended, adjusted probabilities, the pick, and what the models had to fill in."""
+    out = adjusted(scored_components(spark, folder), 0.001)
+    return show(out, ["match_id", "model_pick", "model_source", "missing_features"], sel.PROBS, ["missing_feature_count"])
 
 
 def match_score_serving(spark: SparkSession, folder: str) -> DataFrame:
     """The same with serving semantics: ratings of the match day count, pressure moves, the higher floor."""
-    train, _ = model_table(spark, folder)
-    model = models.fit_logistic(train)
     rows = match_flags(c.matches(spark, folder)).withColumn("label", result_label())
-    rated = ratings.elo_columns(ratings.dated_elo(rows, c.ratings(spark, folder), strict=False))
-    rated = form.recent_form(rated)
-    medians = scan.exact_medians(train, MODEL_FEATURES)
-    ready = models.assemble(features.impute(rated, MODEL_FEATURES, medians), MODEL_FEATURES)
-    scored = models.class_probabilities(model, ready, "logistic").withColumnsRenamed({f"logistic_{i}": p for i, p in enumerate(ev.P)})
+    rated = form.recent_form(ratings.elo_columns(ratings.dated_elo(rows, c.ratings(spark, folder), strict=False)))
+    scored = saved_models(spark, folder).score(rated)
     pressure = c.market_matches(spark, folder).select("match_id", "home_pressure", "away_pressure")
     out = sel.motivation_adjust(adjusted(scored, 0.01).join(pressure, "match_id", "left"))
-    return show(out.withColumn("model_pick", models.model_pick(sel.PROBS)), ["match_id", "model_pick"], sel.PROBS)
+    return show(out.withColumn("model_pick", models.model_pick(sel.PROBS)), ["match_id", "model_pick", "model_source"], sel.PROBS)
 
 
 def advice_candidates(spark: SparkSession, folder: str) -> DataFrame:
