@@ -79,7 +79,9 @@ DECISION = {
 TRADE_FILTER = "lower(title || ' ' || slug) LIKE '%world cup%' AND upper(side) = 'BUY' AND size * price >= 500"
 GAMES = f"""SELECT DISTINCT concat_ws('/', user_id % 100, {K}, strftime(ts, '%Y-%m-%d')) AS match_key, strftime(ts, '%Y-%m-%d') AS date,
    't' || (user_id % 100) AS h, 't' || {K} AS a FROM events"""
-NAMED = """contains(lower(title), 'exact score') AND contains(title, g.date) AND contains(lower(title), h) AND contains(lower(title), a)"""
+TOLD = """SELECT *, regexp_extract(title, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS day, string_split_regex(lower(title), '[^a-z0-9]+') AS w
+   FROM c_trades_base WHERE contains(lower(title), 'exact score')"""
+NAMED = "g.date = t.day AND list_contains(w, h) AND list_contains(w, a)"
 
 CRS = f"""SELECT l_orderkey AS match_id, {MATCH_ID} AS seq,
    CASE WHEN l_partkey % 9 = 0 THEN 'home_other' ELSE (CAST(l_quantity AS INTEGER) % 4) || '-' || (l_linenumber % 3) END AS outcome,
@@ -212,8 +214,8 @@ ORACLE = {
         pred="""SELECT p_partkey, 't' || (p_partkey % 60) AS subject, ['tournament_winner','advance_or_qualify','match_related'][p_size % 3 + 1] AS signal_type,
           CASE WHEN p_size % 10 > 0 THEN p_size / 64 END AS mp FROM part"""),
     "stream_large_buys": q(f"""SELECT DISTINCT trade_id, side, {r('size * price')} AS notional, {r('size')} AS size, {r('price')} AS price FROM c_trades WHERE {TRADE_FILTER}"""),
-    "trade_to_match": q(f"SELECT DISTINCT trade_id, match_key FROM c_trades_base JOIN games g ON {NAMED}", games=GAMES),
-    "match_large_buys": q(f"SELECT trade_id, match_key, {r('size * price')} AS notional FROM c_trades_base JOIN games g ON {NAMED} WHERE {TRADE_FILTER}", games=GAMES),
+    "trade_to_match": q(f"SELECT DISTINCT trade_id, match_key FROM told t JOIN games g ON {NAMED}", games=GAMES, told=TOLD),
+    "match_large_buys": q(f"SELECT trade_id, match_key, {r('size * price')} AS notional FROM told t JOIN games g ON {NAMED} WHERE {TRADE_FILTER}", games=GAMES, told=TOLD),
     "signal_attach": q(f"""SELECT match_id, CASE WHEN pool_code = 'had' THEN 'HAD 胜平负' ELSE 'HHAD 让球胜平负' END AS pool,
         CASE pool_code || outcome WHEN 'hadhome_win' THEN '主胜' WHEN 'haddraw' THEN '平局' WHEN 'hadaway_win' THEN '客胜'
           WHEN 'hhadhome_win' THEN '让胜(-1)' WHEN 'hhaddraw' THEN '让平(-1)' ELSE '让负(-1)' END AS selection, {r('arg_min(odds, event_id)')} AS final_score
