@@ -75,6 +75,14 @@ def test_spans_cover_the_text(spark, library):
                 assert data[a:b].decode() == piece
 
 
+def test_both_ways_to_places_agree():
+    model, normal, sizes = token_counts.merger(PATH), pieces.normaliser(PATH), pieces._byte_sizes(PATH)
+    for t in TEXTS:
+        ids = np.array([i for x in model.encode(model.pretokens(normal.text(t))) for i in x], np.int64)
+        edges = np.cumsum([0, *sizes[0][ids]])
+        assert (pieces._places(normal, sizes, t, ids) == normal.aligned(t)[1][edges]).all()
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
 def test_normalisation_with_compiled_maps(rule):
     from sentencepiece import sentencepiece_model_pb2 as proto

@@ -16,9 +16,6 @@ from pyspark.sql import DataFrame
 from touchline.llm.arrow_text import column
 from touchline.llm.token_counts import SPACE, Remembered, grouped, merger
 
-#: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 400_000
-
 
 class CharacterMap:
     """Longest-prefix replacement by a compiled map: a double-array trie, then its replacement texts.
@@ -137,16 +134,34 @@ def _library(path: str):
 @lru_cache(maxsize=2)
 def _known(path: str) -> Remembered:
     model = merger(path)
-    return Remembered(lambda tokens: [x.tobytes() for x in model.encode(tokens)], REMEMBERED)
+    return Remembered(lambda tokens: [x.tobytes() for x in model.encode(tokens)])
 
 
 @lru_cache(maxsize=2)
-def _byte_sizes(path: str) -> np.ndarray:
-    """Normalised bytes that each id stands for: its piece's, or 1 for an id of a single byte."""
+def _byte_sizes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised bytes that each id stands for, its piece's or 1 for an id of a single byte; and how many of them are space
+    signs."""
     library, model = _library(path), merger(path)
-    sizes = np.array([len(library.id_to_piece(i).encode()) for i in range(model.vocabulary)])
+    pieces = [library.id_to_piece(i) for i in range(model.vocabulary)]
+    sizes = np.array([len(p.encode()) for p in pieces])
     sizes[model.byte_ids] = 1
-    return sizes
+    return sizes, np.array([p.count(SPACE) for p in pieces])
+
+
+def _places(normal: Normaliser, sizes: tuple[np.ndarray, np.ndarray], text: str, ids: np.ndarray) -> np.ndarray:
+    """The original byte at which each id's share of the text begins, and the text's end.
+
+    Where normalisation only writes spaces as signs, the alignment is plain sums: a sign stands for one byte, the leading one
+    for none. Else it is looked up in the text's alignment.
+    """
+    whole, signs = sizes
+    edges = np.zeros(len(ids) + 1, np.int64)
+    if normal.plain and normal.sign == SPACE and SPACE not in text:
+        np.cumsum((whole - (len(SPACE.encode()) - 1) * signs)[ids], out=edges[1:])
+        edges[1:] -= normal.prefix and len(ids) > 0
+        return edges
+    np.cumsum(whole[ids], out=edges[1:])
+    return normal.aligned(text)[1][edges]
 
 
 def encode(docs: DataFrame, id: str, text: str, path: str, ends: bool = True) -> DataFrame:
@@ -167,20 +182,17 @@ def encode(docs: DataFrame, id: str, text: str, path: str, ends: bool = True) ->
         for batch in batches:
             texts, done = column(batch, "_text").to_pylist(), 0
             for group in grouped(texts):
-                both = [normal.aligned(t) for t in group]
-                parts = [model.pretokens(n) for n, _ in both]
+                parts = [model.pretokens(normal.text(t)) for t in group]
                 found = known([t for p in parts for t in p])
                 at, ids, spans = 0, [], []
-                for p, (_, source) in zip(parts, both, strict=True):
+                for p, t in zip(parts, group, strict=True):
                     own = np.frombuffer(b"".join(found[at:at + len(p)]), np.uint32)
                     at += len(p)
-                    edges = np.zeros(len(own) + 1, np.int64)
-                    np.cumsum(sizes[own], out=edges[1:])
-                    place = source[edges]
+                    place = _places(normal, sizes, t, own)
                     span = np.empty((len(own) + 2 * ends, 2), np.uint32)
                     span[ends:len(own) + ends, 0], span[ends:len(own) + ends, 1] = place[:-1], place[1:]
                     if ends:
-                        span[0], span[-1] = 0, source[-1]
+                        span[0], span[-1] = 0, place[-1]
                     ids.append(np.concatenate([begin, own, end]).tobytes())
                     spans.append(span.tobytes())
                 yield pa.RecordBatch.from_arrays(
