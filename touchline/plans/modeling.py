@@ -20,8 +20,8 @@ from touchline.plans.people import lineup
 from touchline.plans.sources import latest_snapshots
 from touchline.session import checkpoint_dir, cut_lineage
 
-#: Smaller ensembles than the library defaults, for the registered fits only.
-ROUNDS, TREES = 10, 20
+#: Ensemble sizes of the registered fits: boosting rounds, trees, and rounds of the score models.
+ROUNDS, TREES, SCORE_ROUNDS = 140, 450, 300
 
 
 def wide_frame(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,7 +208,7 @@ def fit_poisson(spark: SparkSession, folder: str) -> DataFrame:
 def fit_score_regression(spark: SparkSession, folder: str) -> DataFrame:
     rows = squads.matchup_features(c.matches(spark, folder), squads.line_power(lineup(spark, folder)))
     marked = splits.stratified_split(rows.withColumn("year", F.year("date")), ["match_id"], ["year"], 0.75, 42)
-    model = models.fit_score_regression(marked.where("split = 'train'"), ROUNDS)
+    model = models.fit_score_regression(marked.where("split = 'train'"), SCORE_ROUNDS)
     out = model.transform(models.assemble(marked.where("split = 'test'"), squads.MATCHUP))
     return models.score_errors(out)
 
