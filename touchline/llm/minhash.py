@@ -148,8 +148,8 @@ def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFra
     """Links (a, b) between classes that share a band but no component yet; stored.
 
     In each band, O are the classes outside the band's main component. Pairs needed are O x O and O x main. Both kinds are
-    dealt to blocks, and a class goes with its set to each pair of blocks that needs it. A pair is checked in the first band
-    it shares, by signature and then by sets; only confirmed links come out, and only those that join components.
+    dealt to blocks, and a class goes to each pair of blocks that needs it. A pair is checked in the first band it shares, by
+    signature and then by sets; only confirmed links come out, and only those that join components.
     """
     named = (
         members.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
@@ -162,21 +162,14 @@ def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFra
     deal = lambda df: df.withColumn("_band", F.bitwise_not("band"))  # noqa: E731  dealt anew: a hot band can be split
     found = cut_lineage(deal(named).join(deal(mixed).drop("band"), "_band").drop("_band")
                         .withColumn("_out", F.col("c") != F.col("main")))
+    keys = ["band", "lo", "hi"]
+    by_key = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
+    # Signatures first: only classes that some stranger of their band resembles go on with their sets.
+    near = cut_lineage(by_key(_dealt(found, classes, None)).mapInArrow(
+        _resembling(least, rows), "band bigint, rep bigint").distinct())
+    found = cut_lineage(found.join(near, ["band", "rep"], "left_semi"))
     ids = cut_lineage(found.select(F.col("rep").alias("_id")).distinct())
     full = cut_lineage(_sets(_texts(docs, ids, ids.count()), width))
-    sizes = found.groupBy("band").agg(
-        F.ceil(F.sum(F.col("_out").cast("long")) / BLOCK).alias("_o"),
-        F.ceil(F.sum((~F.col("_out")).cast("long")) / BLOCK).alias("_m"))
-    own = F.when(F.col("_out"), F.pmod(F.xxhash64("rep"), "_o")).otherwise(
-        F.col("_o") + F.pmod(F.xxhash64("rep"), F.greatest("_m", F.lit(1))))
-    last = F.when(F.col("_out"), F.col("_o") + F.col("_m")).otherwise(F.col("_o")) - 1
-    dealt = (
-        deal(found).join(deal(sizes).drop("band"), "_band").withColumn("own", own.cast("long"))
-        .withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-        .select("band", F.least("own", "_p").alias("lo"), F.greatest("own", "_p").alias("hi"), "n", "own", "rep", "c")
-        .join(classes.select("rep", "sig"), "rep").join(full, "rep")
-        .select("band", "lo", "hi", "n", "own", "rep", "c", "sig", "words")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, whole = threshold
@@ -195,15 +188,7 @@ def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFra
                 return x
 
             for i in range(len(rep) - 1):
-                other = c[i + 1:] != c[i]
-                if apart:
-                    other &= own[i + 1:] != own[i]
-                at = i + 1 + np.flatnonzero(other)
-                equal = sig[at] == sig[i]
-                at, equal = at[(keep := equal.sum(axis=1) >= least)], equal[keep]
-                if not len(at):
-                    continue
-                at = at[equal.reshape(len(at), -1, rows).all(axis=2).argmax(axis=1) == band]
+                at = _partners(i, own if apart else None, c, sig, least, rows, band)
                 # Sets of very different sizes can't be alike enough.
                 at = at[whole * np.minimum(lengths[at], lengths[i]) >= part * np.maximum(lengths[at], lengths[i])]
                 if not len(at):
@@ -220,8 +205,60 @@ def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFra
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    keys = ["band", "lo", "hi"]
-    return cut_lineage(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint"))
+    return cut_lineage(by_key(_dealt(found, classes, full)).mapInArrow(run, "a bigint, b bigint"))
+
+
+def _dealt(found: DataFrame, classes: DataFrame, full: DataFrame | None) -> DataFrame:
+    """The classes of ``found``, each once for each pair of blocks of its band that needs it, with signatures (and sets)."""
+    deal = lambda df: df.withColumn("_band", F.bitwise_not("band"))
+    sizes = found.groupBy("band").agg(
+        F.ceil(F.sum(F.col("_out").cast("long")) / BLOCK).alias("_o"),
+        F.ceil(F.sum((~F.col("_out")).cast("long")) / BLOCK).alias("_m"))
+    own = F.when(F.col("_out"), F.pmod(F.xxhash64("rep"), F.greatest("_o", F.lit(1)))).otherwise(
+        F.col("_o") + F.pmod(F.xxhash64("rep"), F.greatest("_m", F.lit(1))))
+    last = F.when(F.col("_out"), F.col("_o") + F.col("_m")).otherwise(F.col("_o")) - 1
+    spread = (
+        deal(found).join(deal(sizes).drop("band"), "_band").where("_o > 0").withColumn("own", own.cast("long"))
+        .withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+        .select("band", F.least("own", "_p").alias("lo"), F.greatest("own", "_p").alias("hi"), "n", "own", "rep", "c")
+        .join(classes.select("rep", "sig"), "rep")
+    )
+    columns = ["band", "lo", "hi", "n", "own", "rep", "c", "sig"]
+    return spread.select(*columns) if full is None else spread.join(full, "rep").select(*columns, "words")
+
+
+def _partners(i: int, own: np.ndarray | None, c: np.ndarray, sig: np.ndarray, least: int, rows: int, band: int) -> np.ndarray:
+    """Later classes of a block that resemble class ``i``, lie in other components (and, given ``own``, in the other block)
+    and share no band with it before this one."""
+    other = c[i + 1:] != c[i]
+    if own is not None:
+        other &= own[i + 1:] != own[i]
+    at = i + 1 + np.flatnonzero(other)
+    equal = sig[at] == sig[i]
+    keep = equal.sum(axis=1) >= least
+    at, equal = at[keep], equal[keep]
+    return at[equal.reshape(len(at), -1, rows).all(axis=2).argmax(axis=1) == band] if len(at) else at
+
+
+def _resembling(least: int, rows: int):
+    """(band, rep) of the classes of sorted blocks that have a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            band = group.column(3)[0].as_py()
+            own, rep, c = (group.column(i).to_numpy() for i in (4, 5, 6))
+            sig = _minima(group.column(7))
+            apart = group.column(1)[0].as_py() != group.column(2)[0].as_py()
+            met = np.zeros(len(rep), bool)
+            for i in range(len(rep) - 1):
+                at = _partners(i, own if apart else None, c, sig, least, rows, band)
+                met[at] = True
+                met[i] |= len(at) > 0
+            if met.any():
+                yield pa.RecordBatch.from_arrays(
+                    [group.column(0).filter(pa.array(met)), pa.array(rep[met], pa.int64())], ["band", "rep"])
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
