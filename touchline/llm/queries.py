@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import covertree, langid, minhash, packing, passages, pieces, quality, sampling, secrets, token_counts
+from touchline.llm.oracle import ORACLE  # noqa: F401
 from touchline.operators.scan import rank_all
 from touchline.session import cut_lineage
 
@@ -115,4 +116,4 @@ def op9_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_weighted_samples, op2_pack_best_fit, op3_cosine_links, op4_owned_secrets, op5_near_duplicates, op6_encode_pieces,
     op7_shared_passages, op8_language, op9_count_tokens, op10_quality)}
-ORACLE: dict[str, str] = {}
+
