@@ -29,7 +29,7 @@ PART = 1 << 20
 @lru_cache
 def _letters() -> np.ndarray:
     """For each code point, itself if it is a letter, else 32: words are told apart, signs are not."""
-    return np.array([i if chr(i).isalpha() else 32 for i in range(0x110000)], np.uint32)
+    return np.fromiter((i if chr(i).isalpha() else 32 for i in range(0x110000)), np.uint32, 0x110000)
 
 
 def character_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def counted(docs: DataFrame, text: str, keep: list[str], count: Callable = chara
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [count(t) for t in column(batch, "_text").to_pylist()]
+            rows = [count(t.as_py()) for t in column(batch, "_text")]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([a.astype(np.uint16).tobytes() for a, _ in rows], pa.binary()),
                  pa.array([c.astype(np.uint32).tobytes() for _, c in rows], pa.binary())], [*keep, "at", "n"])
@@ -158,8 +158,8 @@ def document_frequencies(docs: DataFrame, text: str, count: Callable = character
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS) + 1, np.int64)
         for batch in batches:
-            for t in column(batch, "_text").to_pylist():
-                at, _ = count(t)
+            for t in column(batch, "_text"):
+                at, _ = count(t.as_py())
                 total[at] += 1
                 total[-1] += len(at) > 0
         found = np.flatnonzero(total)
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str, keep: list[str]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = [shared.value.predict(t) for t in column(batch, "_text").to_pylist()]
+            told = [shared.value.predict(t.as_py()) for t in column(batch, "_text")]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([a for a, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())],
                 [*keep, "lang_pred", "score"])

@@ -25,7 +25,7 @@ WIDTH, WINDOW = 5, 12
 #: A passage has so many words, this share of them alike.
 MIN_WORDS, ALIKE = 50, 0.8
 #: Seeds that a task gathers before it reduces them.
-GATHERED = 1_000_000
+GATHERED = 300_000
 #: A match is worth 1; a word of either text that a chain skips costs this.
 GAP = 1 / 60
 #: Words beyond a chain's ends that alignment looks at: seeds near a passage's end may have other homes.
