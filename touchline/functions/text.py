@@ -119,6 +119,13 @@ POSITION_CODES = [
     ("MID", ["CM", "CDM", "CAM", "LM", "RM"]),
     ("FW", ["ST", "CF", "LW", "RW", "LF", "RF"]),
 ]
+# Position codes of squad layouts.
+LAYOUT_CODES = [
+    ("GK", ["GK"]),
+    ("DF", ["CB", "LB", "RB", "LWB", "RWB", "DF"]),
+    ("MID", ["CM", "CDM", "CAM", "LM", "RM", "MID"]),
+    ("FW", ["ST", "CF", "LW", "RW", "LF", "RF", "FW"]),
+]
 POSITION_WORDS = [("GK", "GOALKEEPER"), ("DF", "DEFENDER"), ("MID", "MIDFIELDER"), ("FW", "FORWARD")]
 
 
@@ -140,8 +147,7 @@ def simplify_position(col: Column | str, mode: str) -> Column:
         table = F.create_map(*[F.lit(x) for pair in POSITION_NAMES.items() for x in pair])
         return F.coalesce(F.try_element_at(table, text), pieces)
     if mode == "layout":
-        codes = {label: [c for c in words if c != "SW"] + [label] for label, words in POSITION_CODES}
-        pairs = [(upper.isin(words), label) for label, words in codes.items()]
+        pairs = [(upper.isin(codes), label) for label, codes in LAYOUT_CODES]
         return _cases(pairs + [(upper.contains(word), label) for label, word in POSITION_WORDS])
     if mode == "rating":
         first = F.split(upper, "[,/ ]+")[0]
