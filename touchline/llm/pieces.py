@@ -17,6 +17,10 @@ from touchline.llm.arrow_text import column
 from touchline.llm.token_counts import SPACE, Remembered, grouped, merger
 
 
+#: Rows that a task decodes before it hands them on.
+DECODED = 500
+
+
 class CharacterMap:
     """Longest-prefix replacement by a compiled map: a double-array trie, then its replacement texts.
 
@@ -180,8 +184,8 @@ def encode(docs: DataFrame, id: str, text: str, path: str, ends: bool = True) ->
         begin = np.array([library.bos_id()] * ends, np.uint32)
         end = np.array([library.eos_id()] * ends, np.uint32)
         for batch in batches:
-            texts, done = column(batch, "_text").to_pylist(), 0
-            for group in grouped(texts):
+            done = 0
+            for group in grouped(t.as_py() for t in column(batch, "_text")):
                 parts = [model.pretokens(normal.text(t)) for t in group]
                 found = known([t for p in parts for t in p])
                 at, ids, spans = 0, [], []
@@ -214,10 +218,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _library(path)
-        for batch in batches:
-            source = batch.column(names.index(ids))
-            texts = [None if not x.is_valid else library.decode(np.frombuffer(x.as_buffer(), np.uint32).tolist())
-                     for x in source]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODED):
+                batch = whole.slice(at, DECODED)
+                texts = [None if not x.is_valid else library.decode(np.frombuffer(x.as_buffer(), np.uint32).tolist())
+                         for x in batch.column(names.index(ids))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
     return encoded.mapInArrow(run, schema)

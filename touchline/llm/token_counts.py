@@ -7,7 +7,7 @@ all at once; what remains are its pieces. Results of pre-tokens are kept in a bo
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -285,7 +285,7 @@ def count_tokens(docs: DataFrame, id: str, text: str, path: str, limit: int = 40
         run, f"`{id}` {key}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
-def grouped(texts: list[str], limit: int = 1_000_000) -> Iterator[list[str]]:
+def grouped(texts: Iterable[str], limit: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of whole texts of about ``limit`` characters."""
     group, size = [], 0
     for t in texts:
