@@ -53,6 +53,35 @@ def test_planted_passages(spark):
     assert covered >= 85 and all(r.home == 1 for r in rows if r.doc == 3)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_stretches_equal_recursion(seed):
+    rnd = random.Random(seed)
+    worth = np.array([rnd.choice([2, 1, -1, -3, -4]) for _ in range(rnd.randint(0, 60))])
+
+    def plain(lo, hi):
+        best = max(((worth[a:b].sum(), a - b, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0,))
+        return plain(lo, best[2]) + [best[2:]] + plain(best[3], hi) if best[0] > 0 else []
+
+    # Sums may tie, but what the stretches are worth does not.
+    value = lambda found: sorted(int(worth[a:b].sum()) for a, b in found)
+    found = passages.stretches(worth)
+    assert all(a[1] <= b[0] for a, b in zip(found[:-1], found[1:], strict=True))
+    assert sum(value(found)) == sum(value(plain(0, len(worth)))) and max(value(found), default=0) == max(value(plain(0, len(worth))), default=0)
+
+
+def test_two_passages_in_one_pair(spark):
+    rnd = random.Random(4)
+    texts, want = [], []
+    for gap in (20, 80, 150):
+        one, two = " ".join(prose(rnd, 60)), " ".join(prose(rnd, 55))
+        for _ in range(2):
+            texts.append(" ".join([*prose(rnd, 40), one, *prose(rnd, gap), two, *prose(rnd, 40)]))
+        want += [(len(texts) - 1, one), (len(texts) - 1, two)]
+    rows = passages.passages(table(spark, texts), "doc_id", "text").collect()
+    assert sorted((r.doc, texts[r.doc][r.start:r.stop]) for r in rows) == sorted(want)
+    assert all(r.home == r.doc - 1 for r in rows)
+
+
 def test_removal(spark):
     rnd = random.Random(2)
     passage = " ".join(prose(rnd, 55))

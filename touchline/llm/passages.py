@@ -216,12 +216,12 @@ def _chained(min_words: int, width: int, window: int):
 _CHAIN = pa.schema([("doc", pa.int64()), ("home", pa.int64()), ("runs", pa.list_(pa.int64()))])
 
 
-def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, reach: int = REACH) -> tuple[int, int, int, int, int] | None:
-    """The best stretch around a chain: (first, end) word in ``one``, (first, end) in ``two``, number of equal words.
+def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, reach: int = REACH) -> list[tuple[int, int, int, int, int]]:
+    """The stretches along a chain: (first, end) word in ``one``, (first, end) in ``two``, number of equal words.
 
     ``runs``: where the chain enters each diagonal (x, y), then its last match. Words are compared along the diagonals; from
     one to the next it changes where most words are equal. Equal words count 1 - ``alike``, others -``alike``, a
-    change of diagonal as many words as it shifts; the stretch with the greatest sum is taken.
+    change of diagonal as many words as it shifts; the stretch with the greatest sum is taken, then those left and right of it.
     """
     starts = [(runs[i], runs[i + 1]) for i in range(0, len(runs) - 2, 2)]
     low = starts[0][0] - min(reach, *starts[0])
@@ -243,13 +243,30 @@ def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, reach
     for (a, b, d), (_, _, e) in zip(parts[:-1], parts[1:], strict=True):
         at += b - a
         worth[at] -= abs(d - e) * alike
+    return [(int(place[a]), int(place[b - 1]) + 1, int(there[a]), int(there[b - 1]) + 1, int(same[a:b].sum()))
+            for a, b in stretches(worth)]
+
+
+def stretches(worth: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the stretch with the greatest sum, and so on left and right of it while there are sums above 0.
+
+    Ruzzo and Tompa's way: one pass over the runs of gains; a run joins an earlier stretch that starts lower and ends lower.
+    """
     total = np.concatenate([[0.0], np.cumsum(worth)])
-    gain = total[1:] - np.minimum.accumulate(total[:-1])
-    end = int(gain.argmax())
-    if gain[end] <= 0:
-        return None
-    first = int(total[:end + 1].argmin())
-    return int(place[first]), int(place[end]) + 1, int(there[first]), int(there[end]) + 1, int(same[first:end + 1].sum())
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (worth > 0).astype(np.int8), [0]])))
+    held: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum at the end, the last that starts lower
+    for first, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        low, high, at = total[first], total[end], len(held) - 1
+        while True:
+            while at >= 0 and held[at][2] >= low:
+                at = held[at][4]
+            if at < 0 or held[at][3] >= high:
+                held.append((first, end, low, high, at))
+                break
+            first, _, low, _, former = held[at]
+            del held[at:]
+            at = former
+    return [(first, end) for first, end, *_ in held]
 
 
 def _change(one: np.ndarray, two: np.ndarray, old: tuple[int, int], new: tuple[int, int]) -> tuple[int, int]:
@@ -278,12 +295,10 @@ def _aligned(min_words: int, alike: float):
                 runs = runs.as_py()
                 if runs[-2] >= len(own) or max(runs[1::2]) >= len(there):
                     continue  # another row's text under a repeated id
-                found = align(own, there, runs, alike)
-                if found is None or found[1] - found[0] < min_words or found[4] < alike * (found[1] - found[0]):
-                    continue
-                a, b, c, d, equal = found
-                rows.append((doc.as_py(), int(at[a]), int(at[b - 1] + size[b - 1]), home.as_py(), int(there_at[c]),
-                             int(there_at[d - 1] + there_size[d - 1]), b - a, equal))
+                for a, b, c, d, equal in align(own, there, runs, alike):
+                    if b - a >= min_words and equal >= alike * (b - a):
+                        rows.append((doc.as_py(), int(at[a]), int(at[b - 1] + size[b - 1]), home.as_py(), int(there_at[c]),
+                                     int(there_at[d - 1] + there_size[d - 1]), b - a, equal))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], _PASSAGE)
 
