@@ -82,6 +82,25 @@ def test_two_passages_in_one_pair(spark):
     assert all(r.home == r.doc - 1 for r in rows)
 
 
+def _padded(rnd, *parts):
+    return " ".join([*prose(rnd, 40), *(" ".join(p) for p in parts), *prose(rnd, 40)])
+
+
+def test_passage_whose_parts_come_first_elsewhere(spark, monkeypatch):
+    rnd = random.Random(5)
+    whole, lines = prose(rnd, 50), [prose(rnd, 10) for _ in range(6)]
+    texts = [_padded(rnd, prose(rnd, 9)), _padded(rnd, whole[:25]), _padded(rnd, whole[25:]), _padded(rnd, whole), _padded(rnd, whole)]
+    texts += [_padded(rnd, line) for line in lines] + [_padded(rnd, *lines), _padded(rnd, *lines)]
+    found = []
+    for gathered, parts in ((300_000, 1), (60, 5)):
+        monkeypatch.setattr(passages, "GATHERED", gathered)
+        rows = passages.passages(table(spark, texts).repartition(parts), "doc_id", "text").collect()
+        assert {(r.doc, r.home, texts[r.doc][r.start:r.stop]) for r in rows} == {
+            (4, 3, " ".join(whole)), (12, 11, " ".join(w for line in lines for w in line))}
+        found.append(sorted(rows))
+    assert found[0] == found[1]
+
+
 def test_removal(spark):
     rnd = random.Random(2)
     passage = " ".join(prose(rnd, 55))

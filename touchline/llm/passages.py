@@ -2,8 +2,9 @@
 
 Every text gives minimiser seeds: of each ``WINDOW`` runs of ``WIDTH`` words in a row, the one with the least hash. A seed's
 home is its first document, so a document meets homes, not all that share a seed. Seeds are reduced to their first document
-within every task before they are dealt by hash, and what they hid is linked to that document: a common passage gives as
-many rows as documents have it, never pairs among them. Matches of a document and a home are chained in order, with gap
+within every task before they are dealt by hash, and what they hid is linked to that document and on to its home: a common
+passage gives as many rows as documents have it, never pairs among them. Where adjoining seeds have different homes, all
+shared seeds within a passage's length are dealt as one, to the first document that has them together. Matches of a document and a home are chained in order, with gap
 costs, by a Fenwick tree; chains are aligned word by word along their diagonals.
 """
 
@@ -69,69 +70,138 @@ def _seeds(data: np.ndarray, offsets: np.ndarray, width: int, window: int) -> tu
     new = np.r_[True, (seeds[order][1:] != seeds[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
     turn = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     seeds[order] = np.where(turn > 0, mix(seeds[order] + turn.astype(np.uint64)), seeds[order])
-    return seeds, owner, chosen - at[owner]
+    return seeds, owner, chosen - at[owner] << 2
 
 
-_FOUND = ["hash", "doc", "pos", "home", "home_pos"]
+_FOUND = ["hash", "doc", "mark", "home", "home_mark"]
+_KINDS = "hash bigint, doc bigint, mark bigint, home bigint, home_mark bigint"
+#: A mark is a word's place in the upper bits, then whether other documents of the task have the seed, and whether it is numbered.
+SHARED, NUMBERED = 2, 1
 
 
-def _reduced(hash: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """First occurrences of each seed (home null), and the others with that as their home."""
-    order = np.lexsort((pos, doc, hash))
-    hash, doc, pos = hash[order], doc[order], pos[order]
-    new = np.r_[True, hash[1:] != hash[:-1]]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    keep = new | (doc[first] != doc)
-    home, home_pos = doc[first][keep], pos[first][keep]
-    own = new[keep]
+def _reduced(hash: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    """What a seed's first document has of it (home null), and the other documents' with its first place there as home."""
+    order = np.lexsort((mark, doc, hash))
+    hash, doc, mark = hash[order], doc[order], mark[order]
+    start = np.flatnonzero(np.r_[True, hash[1:] != hash[:-1]])
+    group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(hash)]))
+    own = doc[start][group] == doc
+    mark = np.where(own & np.logical_or.reduceat(~own, start)[group], mark | SHARED, mark)
     return pa.RecordBatch.from_arrays(
-        [pa.array(hash[keep].view(np.int64)), pa.array(doc[keep]), pa.array(pos[keep]),
-         pa.array(home, mask=own), pa.array(home_pos, mask=own)], _FOUND)
+        [pa.array(hash.view(np.int64)), pa.array(doc), pa.array(mark), pa.array(doc[start][group], mask=own),
+         pa.array(mark[start][group], mask=own)], _FOUND)
+
+
+def _gathered(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """``_reduced`` of every ``GATHERED`` rows or so."""
+    held: list[tuple] = []
+    size = 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[0])
+        if size >= GATHERED:
+            yield _reduced(*map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield _reduced(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by seed, document, mark: all with their first one as home; first ones too if others share the seed."""
+    last = None  # (hash, home, its mark, doc) at the end of the former batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        hash, doc, mark = (batch.column(i).to_numpy() for i in range(3))
+        new = np.r_[last is None or hash[0] != last[0], hash[1:] != hash[:-1]]
+        at = np.cumsum(new) - 1
+        firsts = np.flatnonzero(new)
+        home = np.where(at >= 0, doc[firsts[at]] if len(firsts) else 0, last[1] if last else 0)
+        home_mark = np.where(at >= 0, mark[firsts[at]] if len(firsts) else 0, last[2] if last else 0)
+        former = np.r_[last[3] if last else 0, doc[:-1]]
+        last = (hash[-1], home[-1], home_mark[-1], doc[-1])
+        # The first one is told once more when the next document of the seed comes.
+        met = ~new & (doc != home) & (former == home)
+        keep = ~new | (mark & SHARED > 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([v[keep], w[met]])) for v, w in
+             ((hash, hash), (doc, home), (mark, home_mark), (home, home), (home_mark, home_mark))], _FOUND)
+
+
+def _homes(found: DataFrame) -> DataFrame:
+    """(hash, doc, mark, home, home_mark) of seeds that several documents share; a home is the first document of all.
+
+    What a task linked to its own first document goes on to that one's home: by keys of a seed and a task's document, so a
+    common seed's rows stay spread.
+    """
+    met = cut_lineage(found.where("home is null").select("hash", "doc", "mark").repartition("hash")
+                      .sortWithinPartitions("hash", "doc", "mark").mapInArrow(_meet, _KINDS))
+    onward = met.where("doc <> home").selectExpr("hash", "doc as home", "mark as home_mark", "home as _home", "home_mark as _mark")
+    linked = found.where("home is not null").join(onward, ["hash", "home", "home_mark"], "left").select(
+        "hash", "doc", "mark", F.coalesce("_home", "home").alias("home"), F.coalesce("_mark", "home_mark").alias("home_mark"))
+    return met.union(linked)
+
 
+_TURN = 0x9E3779B97F4A7C15
 
-def matches(docs: DataFrame, id: str, text: str, width: int = WIDTH, window: int = WINDOW) -> DataFrame:
+
+def _contexts(lengths: list[int], width: int):
+    """Per document: hashes of its shared seeds within each of ``lengths`` words, where these have no common home in line."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        power = back = np.ones(1, np.uint64)
+        for group in _groups(batches, 1):
+            doc = group.column(0)[0].as_py()
+            pos, hash, home, home_pos = (group.column(i).to_numpy() for i in range(1, 5))
+            pos, one = np.unique(pos >> 2, return_index=True)
+            hash, home, line = hash[one].view(np.uint64), home[one], (home_pos[one] >> 2) - pos
+            if len(pos) < 2:
+                continue
+            if pos[-1] >= len(power):
+                n = 2 * int(pos[-1]) + 2
+                power, back = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, x, np.uint64)])
+                               for x in (_TURN, pow(_TURN, -1, 2**64)))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hash) * power[pos], dtype=np.uint64)])
+            turns = np.concatenate([[0], np.cumsum((np.diff(home) != 0) | (np.diff(line) != 0))])
+            first = np.arange(len(pos))
+            for length in lengths:
+                end = np.searchsorted(pos, pos + length - width, side="right") - 1
+                a = np.flatnonzero(turns[end] > turns[first])
+                if len(a):
+                    b = end[a]
+                    sums = mix((total[b + 1] - total[a]) * back[pos[a]] + np.uint64(length))
+                    # Both ends are seeds, which the same context deals to the same home.
+                    yield (np.concatenate([sums, mix(sums)]), np.full(2 * len(a), doc), np.concatenate([pos[a], pos[b]]) << 2)
+
+    return lambda batches: _gathered(pieces(batches))
+
+
+def matches(docs: DataFrame, id: str, text: str, width: int = WIDTH, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, pos, home, home_pos): a seed at word ``pos`` of ``doc`` that an earlier document (smaller id), its home, has at
-    ``home_pos``. Seeds, 20 bytes for about every sixth word, are stored once and dealt once."""
-    kinds = "hash bigint, doc bigint, pos bigint, home bigint, home_pos bigint"
+    ``home_pos``. Seeds are stored once and dealt once.
 
+    Where adjoining seeds have different homes, or one home has them elsewhere, the shared seeds within part of ``min_words``
+    and within all of it are dealt as one to the first document that has them in line.
+    """
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for row, data, offsets in blocks(column(batch, "_text")):
-                hash, owner, pos = _seeds(data, offsets, width, window)
-                held.append((hash, ids[row + owner], pos))
-                size += len(hash)
-                if size >= GATHERED:
-                    yield _reduced(*map(np.concatenate, zip(*held, strict=True)))
-                    held, size = [], 0
-        if size:
-            yield _reduced(*map(np.concatenate, zip(*held, strict=True)))
+        def pieces():
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for row, data, offsets in blocks(column(batch, "_text")):
+                    hash, owner, mark = _seeds(data, offsets, width, window)
+                    yield hash, ids[row + owner], mark
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (hash, doc, pos) of the group that the former batch ended with
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hash, doc, pos = (batch.column(i).to_numpy() for i in range(3))
-            new = np.r_[last is None or hash[0] != last[0], hash[1:] != hash[:-1]]
-            at = np.cumsum(new) - 1
-            firsts = np.flatnonzero(new)
-            home = np.where(at >= 0, doc[firsts[at]] if len(firsts) else 0, last[1] if last else 0)
-            home_pos = np.where(at >= 0, pos[firsts[at]] if len(firsts) else 0, last[2] if last else 0)
-            last = (hash[-1], home[-1], home_pos[-1])
-            keep = home != doc
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v[keep]) for v in (doc, pos, home, home_pos)], ["doc", "pos", "home", "home_pos"])
+        return _gathered(pieces())
 
     found = cut_lineage(docs.where(docs[id].isNotNull()).select(docs[id].cast("long").alias("_id"), docs[text].alias("_text"))
-                        .mapInArrow(gather, kinds))
-    met = (
-        found.where("home is null").select("hash", "doc", "pos").repartition("hash")
-        .sortWithinPartitions("hash", "doc", "pos").mapInArrow(meet, "doc bigint, pos bigint, home bigint, home_pos bigint")
-    )
-    return met.union(found.where("home is not null").select("doc", "pos", "home", "home_pos"))
+                        .mapInArrow(gather, _KINDS))
+    homes = cut_lineage(_homes(found))
+    lengths = sorted({n for n in (-(-min_words * k // 20) for k in (10, 15, 18, 20)) if n > width})
+    longer = cut_lineage(
+        homes.where(f"mark & {NUMBERED} = 0").select("doc", "mark", "hash", "home", "home_mark").repartition("doc")
+        .sortWithinPartitions("doc", "mark").mapInArrow(_contexts(lengths, width), _KINDS))
+    return homes.union(_homes(longer)).where("doc <> home").selectExpr(
+        "doc", "shiftright(mark, 2) as pos", "home", "shiftright(home_mark, 2) as home_pos")
 
 
 class Fenwick:
@@ -326,7 +396,7 @@ def passages(docs: DataFrame, id: str, text: str, min_words: int = MIN_WORDS, al
     empty table gives an empty one. Repeats inside one document are not looked for.
     """
     width, window = WIDTH, WINDOW
-    found = matches(docs, id, text, width, window)
+    found = matches(docs, id, text, width, window, min_words)
     linked = cut_lineage(
         found.select("doc", "home", "pos", "home_pos").repartition("doc", "home")
         .sortWithinPartitions("doc", "home", "pos", "home_pos")
