@@ -101,6 +101,26 @@ def test_passage_whose_parts_come_first_elsewhere(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_second_copy_and_repeated_lines(spark):
+    rnd = random.Random(6)
+    passage, header, line = prose(rnd, 60), prose(rnd, 12), prose(rnd, 10)
+    other = header + prose(rnd, 9) + header + prose(rnd, 9) + header + prose(rnd, 9) + header
+    texts = [_padded(rnd, passage), _padded(rnd, passage, prose(rnd, 30), passage),
+             _padded(rnd, other), _padded(rnd, *[header] * 4, prose(rnd, 30), other),
+             _padded(rnd, line * 20), _padded(rnd, line * 20)]
+    got = {i: [] for i in range(len(texts))}
+    for r in passages.passages(table(spark, texts), "doc_id", "text").collect():
+        assert r.home == r.doc - 1
+        got[r.doc].append((r.start, r.stop))
+    second = " ".join(passage)
+    at = texts[1].index(second)
+    last = texts[1].rindex(second)
+    assert sorted(got[1]) == [(at, at + len(second)), (last, last + len(second))]
+    for doc, want in ((3, " ".join(other)), (5, " ".join(line * 20))):
+        at = texts[doc].rindex(want)
+        assert any(a <= at and b >= at + len(want) for a, b in got[doc])
+
+
 def test_removal(spark):
     rnd = random.Random(2)
     passage = " ".join(prose(rnd, 55))

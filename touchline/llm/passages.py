@@ -32,6 +32,9 @@ GAP = 1 / 60
 #: Words beyond a chain's ends that alignment looks at: seeds near a passage's end may have other homes.
 REACH = 200
 
+#: A mark is a word's place in the upper bits, then whether other documents of the task have the seed, and whether it is numbered.
+SHARED, NUMBERED = 2, 1
+
 
 def minimisers(kmers: np.ndarray, window: int) -> np.ndarray:
     """Positions that hold the least value of some ``window`` neighbours in a row (all of them, if there are fewer)."""
@@ -55,7 +58,7 @@ def _sliding(x: np.ndarray, window: int, pick) -> np.ndarray:
 
 
 def _seeds(data: np.ndarray, offsets: np.ndarray, width: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text of the block, first word) of the seeds of a block; texts of fewer than ``width`` words have none."""
+    """(hash, text of the block, mark) of the seeds of a block; texts of fewer than ``width`` words have none."""
     hashes, _, _, at = words(data, offsets)
     if len(hashes) < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -65,18 +68,19 @@ def _seeds(data: np.ndarray, offsets: np.ndarray, width: int, window: int) -> tu
     kmers[np.arange(len(kmers)) + width > at[owner + 1]] = np.uint64(2**64 - 1)
     chosen = minimisers(kmers, window)
     seeds, owner = kmers[chosen], owner[chosen]
-    # Repeats inside a text are told apart by their number, so that they meet the home's repeats one by one.
+    mark = chosen - at[owner] << 2
+    # Repeats inside a text meet the home's first one, and once more, told apart by their number, its repeats one by one.
     order = np.lexsort((chosen, seeds, owner))
     new = np.r_[True, (seeds[order][1:] != seeds[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
     turn = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    seeds[order] = np.where(turn > 0, mix(seeds[order] + turn.astype(np.uint64)), seeds[order])
-    return seeds, owner, chosen - at[owner] << 2
+    again, turn = order[turn > 0], turn[turn > 0]
+    numbered = mix(seeds[again] + turn.astype(np.uint64))
+    return (np.concatenate([seeds, numbered]), np.concatenate([owner, owner[again]]),
+            np.concatenate([mark, mark[again] | NUMBERED]))
 
 
 _FOUND = ["hash", "doc", "mark", "home", "home_mark"]
 _KINDS = "hash bigint, doc bigint, mark bigint, home bigint, home_mark bigint"
-#: A mark is a word's place in the upper bits, then whether other documents of the task have the seed, and whether it is numbered.
-SHARED, NUMBERED = 2, 1
 
 
 def _reduced(hash: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
