@@ -121,6 +121,36 @@ def test_second_copy_and_repeated_lines(spark):
         assert any(a <= at and b >= at + len(want) for a, b in got[doc])
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_edited_stretches_are_met(seed):
+    rnd = random.Random(seed)
+    same = np.array([rnd.random() < rnd.choice([0.1, 0.7, 0.9]) for _ in range(rnd.randint(0, 60))], bool)
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 0.2, -0.8))])
+    found = passages._long_enough(np.where(same, 0.2, -0.8), same, 10)
+    fits = {(a, b) for a in range(len(same)) for b in range(a + 10, len(same) + 1)
+            if same[a] and same[b - 1] and total[b] - total[a] >= -1e-9}
+    assert set(found) <= fits
+    free = [f for f in fits if all(f[1] <= a or f[0] >= b for a, b in found)]
+    assert not free and all(a[1] <= b[0] for a, b in zip(sorted(found)[:-1], sorted(found)[1:], strict=True))
+
+
+def test_recall_of_edited_passages(spark):
+    rnd = random.Random(7)
+    texts, kinds = [], []
+    for kind in [(n, alike, even) for n in (50, 60) for alike in (0.9, 0.85, 0.8) for even in (True, False)]:
+        for _ in range(50):
+            n, alike, even = kind
+            edits = round(n * (1 - alike) + 1e-9)
+            at = {int((i + 0.5) * n / edits) for i in range(edits)} if even else set(rnd.sample(range(1, n - 1), edits))
+            one = prose(rnd, n)
+            texts += [_padded(rnd, one), _padded(rnd, [f"edit{i}" if i in at else w for i, w in enumerate(one)])]
+            kinds.append(kind)
+    met = {r.doc // 2 for r in passages.passages(table(spark, texts), "doc_id", "text").collect() if r.home == r.doc - 1 and r.doc % 2}
+    recall = {k: sum(i in met for i, x in enumerate(kinds) if x == k) / 50 for k in kinds}
+    print(recall)
+    assert all(v >= (0.98 if k[1] > 0.8 else 0.7) for k, v in recall.items())
+
+
 def test_removal(spark):
     rnd = random.Random(2)
     passage = " ".join(prose(rnd, 55))

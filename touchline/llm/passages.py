@@ -22,7 +22,7 @@ from touchline.llm.arrow_text import blocks, column, mix, shingles, words
 from touchline.llm.minhash import _groups, _texts
 from touchline.session import cut_lineage
 
-WIDTH, WINDOW = 5, 12
+WIDTH, WINDOW = 4, 3
 #: A passage has so many words, this share of them alike.
 MIN_WORDS, ALIKE = 50, 0.8
 #: Seeds that a task gathers before it reduces them.
@@ -111,9 +111,16 @@ def _gathered(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by seed, document, mark: all with their first one as home; first ones too if others share the seed."""
+    """Of rows sorted by seed, document, mark: all with their first one as home; first ones too if others share the seed.
+
+    Rows that have a home already come first and go on as they are.
+    """
     last = None  # (hash, home, its mark, doc) at the end of the former batch
     for batch in batches:
+        told = batch.filter(batch.column(3).is_valid())
+        if told.num_rows:
+            yield told.append_column("linked", pa.array(np.ones(told.num_rows, bool)))
+        batch = batch.filter(batch.column(3).is_null())
         if not batch.num_rows:
             continue
         hash, doc, mark = (batch.column(i).to_numpy() for i in range(3))
@@ -129,7 +136,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = ~new | (mark & SHARED > 0)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([v[keep], w[met]])) for v, w in
-             ((hash, hash), (doc, home), (mark, home_mark), (home, home), (home_mark, home_mark))], _FOUND)
+             ((hash, hash), (doc, home), (mark, home_mark), (home, home), (home_mark, home_mark))]
+            + [pa.array(np.zeros(keep.sum() + met.sum(), bool))], [*_FOUND, "linked"])
 
 
 def _homes(found: DataFrame) -> DataFrame:
@@ -138,19 +146,25 @@ def _homes(found: DataFrame) -> DataFrame:
     What a task linked to its own first document goes on to that one's home: by keys of a seed and a task's document, so a
     common seed's rows stay spread.
     """
-    met = cut_lineage(found.where("home is null").select("hash", "doc", "mark").repartition("hash")
-                      .sortWithinPartitions("hash", "doc", "mark").mapInArrow(_meet, _KINDS))
+    dealt = cut_lineage(found.repartition(F.xxhash64("hash", "home"))
+                        .sortWithinPartitions(F.col("home").isNull(), "hash", "doc", "mark").mapInArrow(_meet, _KINDS + ", linked boolean"))
+    met = dealt.where("not linked").drop("linked")
     onward = met.where("doc <> home").selectExpr("hash", "doc as home", "mark as home_mark", "home as _home", "home_mark as _mark")
-    linked = found.where("home is not null").join(onward, ["hash", "home", "home_mark"], "left").select(
-        "hash", "doc", "mark", F.coalesce("_home", "home").alias("home"), F.coalesce("_mark", "home_mark").alias("home_mark"))
+    linked = cut_lineage(dealt.where("linked").join(onward, ["hash", "home", "home_mark"], "left").select(
+        "hash", "doc", "mark", F.coalesce("_home", "home").alias("home"), F.coalesce("_mark", "home_mark").alias("home_mark")))
     return met.union(linked)
 
 
+SPAN = 20
 _TURN = 0x9E3779B97F4A7C15
 
 
-def _contexts(lengths: list[int], width: int):
-    """Per document: hashes of its shared seeds within each of ``lengths`` words, where these have no common home in line."""
+def _contexts(lengths: list[int], width: int, window: int):
+    """Per document: hashes of its shared seeds within each of ``lengths`` words, where these have no common home in line.
+
+    A repeated run has seeds at most ``window`` words apart, all of them shared. The last seed's distance stands in the lower
+    ``SPAN`` bits of the place.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         power = back = np.ones(1, np.uint64)
@@ -167,22 +181,23 @@ def _contexts(lengths: list[int], width: int):
                                for x in (_TURN, pow(_TURN, -1, 2**64)))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hash) * power[pos], dtype=np.uint64)])
             turns = np.concatenate([[0], np.cumsum((np.diff(home) != 0) | (np.diff(line) != 0))])
+            breaks = np.concatenate([[0], np.cumsum(np.diff(pos) > window)])
             first = np.arange(len(pos))
             for length in lengths:
                 end = np.searchsorted(pos, pos + length - width, side="right") - 1
-                a = np.flatnonzero(turns[end] > turns[first])
+                full = pos[end] + width - pos + window > length
+                a = np.flatnonzero((turns[end] > turns[first]) & (breaks[end] == breaks[first]) & full)
                 if len(a):
                     b = end[a]
                     sums = mix((total[b + 1] - total[a]) * back[pos[a]] + np.uint64(length))
-                    # Both ends are seeds, which the same context deals to the same home.
-                    yield (np.concatenate([sums, mix(sums)]), np.full(2 * len(a), doc), np.concatenate([pos[a], pos[b]]) << 2)
+                    yield sums, np.full(len(a), doc), (pos[a] << SPAN | pos[b] - pos[a]) << 2
 
     return lambda batches: _gathered(pieces(batches))
 
 
 def matches(docs: DataFrame, id: str, text: str, width: int = WIDTH, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, pos, home, home_pos): a seed at word ``pos`` of ``doc`` that an earlier document (smaller id), its home, has at
-    ``home_pos``. Seeds are stored once and dealt once.
+    ``home_pos``. Seeds are dealt once; only shared ones are stored.
 
     Where adjoining seeds have different homes, or one home has them elsewhere, the shared seeds within part of ``min_words``
     and within all of it are dealt as one to the first document that has them in line.
@@ -197,15 +212,20 @@ def matches(docs: DataFrame, id: str, text: str, width: int = WIDTH, window: int
 
         return _gathered(pieces())
 
-    found = cut_lineage(docs.where(docs[id].isNotNull()).select(docs[id].cast("long").alias("_id"), docs[text].alias("_text"))
-                        .mapInArrow(gather, _KINDS))
-    homes = cut_lineage(_homes(found))
+    found = (docs.where(docs[id].isNotNull()).select(docs[id].cast("long").alias("_id"), docs[text].alias("_text"))
+             .mapInArrow(gather, _KINDS))
+    homes = _homes(found)
     lengths = sorted({n for n in (-(-min_words * k // 20) for k in (10, 15, 18, 20)) if n > width})
-    longer = cut_lineage(
+    longer = (
         homes.where(f"mark & {NUMBERED} = 0").select("doc", "mark", "hash", "home", "home_mark").repartition("doc")
-        .sortWithinPartitions("doc", "mark").mapInArrow(_contexts(lengths, width), _KINDS))
-    return homes.union(_homes(longer)).where("doc <> home").selectExpr(
+        .sortWithinPartitions("doc", "mark").mapInArrow(_contexts(lengths, width, window), _KINDS))
+    single = homes.where("doc <> home").selectExpr(
         "doc", "shiftright(mark, 2) as pos", "home", "shiftright(home_mark, 2) as home_pos")
+    # Both ends of a context are seeds.
+    ends = _homes(longer).where("doc <> home").selectExpr(
+        "doc", f"shiftright(mark, {SPAN + 2}) as pos", "home", f"shiftright(home_mark, {SPAN + 2}) as home_pos",
+        f"explode(array(0L, shiftright(mark, 2) & {(1 << SPAN) - 1})) as _more")
+    return single.union(ends.selectExpr("doc", "pos + _more as pos", "home", "home_pos + _more as home_pos"))
 
 
 class Fenwick:
@@ -260,10 +280,19 @@ def chains(x: np.ndarray, y: np.ndarray, gap: float = GAP) -> list[np.ndarray]:
     return out
 
 
-def _chained(min_words: int, width: int, window: int):
-    """Per (doc, home): the chains long enough to lie in a passage, as runs on one diagonal."""
-    # A passage has a seed within the first and the last window + width - 1 of its words, if those are clean.
-    shortest = max(width, min_words - 2 * (window + width))
+def _thinned(x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of each run of overlapping matches on one diagonal, and one for every ``width`` words in between."""
+    x, y = np.unique(np.stack([x - y, x]), axis=1)[::-1]
+    y = x - y
+    step = np.where(np.diff(x - y) == 0, np.diff(x), width + 1)
+    new = np.r_[True, step > width]
+    since = x - x[new][np.cumsum(new) - 1]
+    keep = new | np.r_[new[1:], True] | np.r_[True, since[1:] // width > since[:-1] // width]
+    return x[keep], y[keep]
+
+
+def _chained(width: int):
+    """Per (doc, home): the chains that have two seeds without common words, as runs on one diagonal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -271,10 +300,10 @@ def _chained(min_words: int, width: int, window: int):
             if group.num_rows < 2:
                 continue
             doc, home = group.column(0)[0].as_py(), group.column(1)[0].as_py()
-            x, y = group.column(2).to_numpy(), group.column(3).to_numpy()
+            x, y = _thinned(group.column(2).to_numpy(), group.column(3).to_numpy(), width)
             for chain in chains(x, y):
                 cx, cy = x[chain], y[chain]
-                if len(chain) < 2 or cx[-1] + width - cx[0] < shortest:
+                if len(chain) < 2 or cx[-1] - cx[0] < width:
                     continue
                 turn = np.flatnonzero(np.r_[True, np.diff(cx - cy) != 0, True])
                 rows.append((doc, home, [int(v) for a in turn[:-1] for v in (cx[a], cy[a])] + [int(cx[-1]), int(cy[-1])]))
@@ -290,8 +319,9 @@ def _chained(min_words: int, width: int, window: int):
 _CHAIN = pa.schema([("doc", pa.int64()), ("home", pa.int64()), ("runs", pa.list_(pa.int64()))])
 
 
-def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, reach: int = REACH) -> list[tuple[int, int, int, int, int]]:
-    """The stretches along a chain: (first, end) word in ``one``, (first, end) in ``two``, number of equal words.
+def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, min_words: int,
+          reach: int = REACH) -> list[tuple[int, int, int, int, int]]:
+    """The stretches of ``min_words`` or more along a chain: (first, end) word in ``one``, (first, end) in ``two``, number of equal words.
 
     ``runs``: where the chain enters each diagonal (x, y), then its last match. Words are compared along the diagonals; from
     one to the next it changes where most words are equal. Equal words count 1 - ``alike``, others -``alike``, a
@@ -318,7 +348,34 @@ def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, reach
         at += b - a
         worth[at] -= abs(d - e) * alike
     return [(int(place[a]), int(place[b - 1]) + 1, int(there[a]), int(there[b - 1]) + 1, int(same[a:b].sum()))
-            for a, b in stretches(worth)]
+            for a, b in _long_enough(worth, same, min_words)]
+
+
+def _long_enough(worth: np.ndarray, same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """``stretches`` of ``least`` words or more, and between them such whose sum is not below 0, from equal word to equal word.
+
+    The sum of a passage with many edits is greatest on a shorter part of it. One of twice ``least`` words has a half that will do.
+    """
+    total = np.concatenate([[0.0], np.cumsum(worth)])
+    out = [(a, b) for a, b in stretches(worth) if b - a >= least]
+    edge = [0, *(x for pair in out for x in pair), len(worth)]
+    todo = list(zip(edge[::2], edge[1::2], strict=True))
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < least:
+            continue
+        # ends[i]: the sum up to lo + least + i, if a stretch may end there.
+        ends = np.where(same[lo + least - 1:hi], total[lo + least:hi + 1], -np.inf)
+        reach = np.concatenate([ends, np.full(least, -np.inf)])
+        gain = _sliding(reach, least + 1, np.maximum) - total[lo:hi - least + 1]
+        gain = np.where(same[lo:hi - least + 1], gain, -np.inf)
+        a = int(gain.argmax())
+        if gain[a] < -1e-9:
+            continue
+        b = lo + least + a + int(reach[a:a + least + 1].argmax())
+        out.append((lo + a, b))
+        todo += [(lo, lo + a), (b, hi)]
+    return out
 
 
 def stretches(worth: np.ndarray) -> list[tuple[int, int]]:
@@ -369,8 +426,8 @@ def _aligned(min_words: int, alike: float):
                 runs = runs.as_py()
                 if runs[-2] >= len(own) or max(runs[1::2]) >= len(there):
                     continue  # another row's text under a repeated id
-                for a, b, c, d, equal in align(own, there, runs, alike):
-                    if b - a >= min_words and equal >= alike * (b - a):
+                for a, b, c, d, equal in align(own, there, runs, alike, min_words):
+                    if b - a >= min_words and equal >= alike * (b - a) - 1e-9:
                         rows.append((doc.as_py(), int(at[a]), int(at[b - 1] + size[b - 1]), home.as_py(), int(there_at[c]),
                                      int(there_at[d - 1] + there_size[d - 1]), b - a, equal))
             if rows:
@@ -404,7 +461,7 @@ def passages(docs: DataFrame, id: str, text: str, min_words: int = MIN_WORDS, al
     linked = cut_lineage(
         found.select("doc", "home", "pos", "home_pos").repartition("doc", "home")
         .sortWithinPartitions("doc", "home", "pos", "home_pos")
-        .mapInArrow(_chained(min_words, width, window), "doc bigint, home bigint, runs array<bigint>"))
+        .mapInArrow(_chained(width), "doc bigint, home bigint, runs array<bigint>"))
     texts = _texts(docs.select(docs[id].cast("long").alias("_id"), docs[text].alias("_text")),
                    linked.select(F.col("doc").alias("_id")).union(linked.select("home")), 2 * linked.count())
     own = texts.select(F.col("_id").alias("doc"), F.col("_text").alias("_one"))
