@@ -40,6 +40,25 @@ def test_collisions_follow_similarity(spark):
     assert max(map(abs, errors)) < 0.25
 
 
+def test_heavy_terms_keep_their_weight(spark):
+    rnd = random.Random(8)
+    texts, true = [], []
+    for i in range(24):
+        if i % 2:
+            one, two = (["line"] * 300 + [f"{side}{i}w{k}" for k in range(60)] for side in "ab")
+        else:
+            one = [f"z{int(rnd.paretovariate(0.8))}" for _ in range(400)]
+            two = [w if rnd.random() < 0.7 else f"z{int(rnd.paretovariate(0.8))}" for w in one]
+        a, b = Counter(one), Counter(two)
+        true.append(sum((a & b).values()) / sum((a | b).values()))
+        texts += [" ".join(one), " ".join(two)]
+    drawn = sampling.samples(table(spark, texts).select("doc_id", "text").repartition("doc_id"), ["doc_id"], "text")
+    by = {r.doc_id: r.samples for r in drawn.collect()}
+    errors = [sum(x == y for x, y in zip(by[2 * i], by[2 * i + 1], strict=True)) / 64 - t for i, t in enumerate(true)]
+    print(sum(errors[::2]) / 12, sum(errors[1::2]) / 12)
+    assert abs(sum(errors[::2]) / 12) < 0.06 and abs(sum(errors[1::2]) / 12) < 0.06
+
+
 def test_query_edits_with_the_next_document(spark, tmp_path):
     texts = ["abc def ghi", "ÄÖ 😀 xyz", None, "one two three four five six", "", "same same"]
     table(spark, texts).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")

@@ -3,8 +3,8 @@
 Every word of a text is a term, its count the weight. A draw takes for each term gamma variates r and c and a uniform b from
 a hash of the term, sets t = floor(ln w / r + b), and keeps the term with the least ln a = ln c - r * (t - b + 1). Its
 (term, t) is the sample; two texts agree in it with a probability equal to the generalised Jaccard similarity of their
-counts. Terms are dealt by hash to ``BINS`` bins and each bin has ``DRAWS`` draws, so a term takes part in a few draws
-instead of all, and a fingerprint's samples all see different parts or draws of the text.
+counts. A count's units are terms of weight 1, dealt by hash to ``BINS`` bins, which leaves minima and unions of counts as they
+are; each bin has ``DRAWS`` draws, so a unit takes part in a few draws instead of all, and a fingerprint's samples all see different parts or draws of the text.
 """
 
 from __future__ import annotations
@@ -54,7 +54,10 @@ def samples(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     counted = (
         texts.select(*keys, F.explode(F.split(F.lower(text), SEPARATORS)).alias("_word")).where("_word <> ''")
         .select(*keys, F.xxhash64("_word").alias("_term")).groupBy(*keys, "_term").agg(F.count("*").alias("_n"))
-        .select(*keys, F.pmod("_term", F.lit(BINS)).cast("int").alias("_bin"), F.log(F.col("_n").cast("double")).alias("_w"),
+        # Units of a count are dealt one by one, so a heavy term takes part in all bins.
+        .select(*keys, "_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_unit"), "_term")
+        .select(*keys, F.xxhash64("_term", "_unit").alias("_term"))
+        .select(*keys, F.pmod("_term", F.lit(BINS)).cast("int").alias("_bin"), F.lit(0.0).alias("_w"),
                 *[F.xxhash64("_term", F.lit(k)).alias(f"_h{k}") for k in range(DRAWS)])
     )
     pools = _pools(texts.sparkSession)
