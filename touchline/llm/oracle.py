@@ -51,4 +51,26 @@ OP5 = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(
 SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept FROM documents
   JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = doc_id LEFT JOIN n USING (doc_id)"""
 
-ORACLE = {"op3_cosine_links": OP3, "op4_owned_secrets": OP4, "op5_near_duplicates": OP5}
+OP12 = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+  o AS MATERIALIZED (SELECT lang, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b, unnest(list_concat(w[3:], [NULL, NULL])[1:len(w)]) AS c
+    FROM w WHERE len(w) > 0),
+  f AS MATERIALIZED (SELECT lang, a AS p, count(*) AS f FROM o GROUP BY ALL
+    UNION ALL SELECT lang, a || ' ' || b, count(*) FROM o WHERE b IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, a || ' ' || b || ' ' || c, count(*) FROM o WHERE c IS NOT NULL GROUP BY ALL),
+  t AS (SELECT lang, count(*) AS n FROM o GROUP BY lang),
+  c AS MATERIALIZED (SELECT lang, p, f, string_split(p, ' ') AS w FROM f WHERE f >= 10 AND contains(p, ' ')),
+  longer AS MATERIALIZED (SELECT lang, p, max(f) AS most FROM (
+    SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS p, f FROM c WHERE len(w) = 3) GROUP BY ALL),
+  kept AS MATERIALIZED (SELECT c.* FROM c LEFT JOIN longer USING (lang, p) WHERE coalesce(100 * most < 50 * f, true)),
+  parts AS MATERIALIZED (SELECT lang, p, f, 1 AS cut, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM kept
+    UNION ALL SELECT lang, p, f, 2, w[1] || ' ' || w[2], w[3] FROM kept WHERE len(w) = 3),
+  cut AS (SELECT parts.lang, parts.p, parts.f AS a, cut, x.f AS l, y.f AS r,
+      (1000000::HUGEINT * parts.f * parts.f) // (x.f::HUGEINT * y.f) AS score
+    FROM parts JOIN f x ON x.lang = parts.lang AND x.p = parts.x JOIN f y ON y.lang = parts.lang AND y.p = parts.y),
+  best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+  ranked AS (SELECT *, p AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN t USING (lang) WHERE rank <= 2000"""
+
+ORACLE = {"op3_cosine_links": OP3, "op4_owned_secrets": OP4, "op5_near_duplicates": OP5, "op12_collocations": OP12}
