@@ -73,4 +73,69 @@ OP12 = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_
   ranked AS (SELECT *, p AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM best)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN t USING (lang) WHERE rank <= 2000"""
 
-ORACLE = {"op3_cosine_links": OP3, "op4_owned_secrets": OP4, "op5_near_duplicates": OP5, "op12_collocations": OP12}
+#: Cheapest edits row by row: for each place in the pattern the least (cost, audit), with the text that it gives.
+_PLACES = "[0, 1, 2, 3]"
+_WAY = "struct_pack(c := s.c + {c}, a := s.a || '{a}', t := s.t || {t}, q := {q})"
+#: Insertions: (from, to, edits, rows).
+_INSERTED = ((0, 2, "u"), (0, 3, "ua"), (1, 2, "u"), (1, 3, "ua"), (2, 3, "a"), (3, 2, "u"))
+
+
+def _lines(initials: str) -> str:
+    return "".join({"u": "user:", "a": "assistant:"}[i] + chr(10) for i in initials)
+
+
+_NEXT = ((0, "s", 1), (0, "u", 2), (1, "u", 2), (2, "a", 3), (3, "u", 2))
+_CASE = "CASE WHEN {test} THEN {way} END"
+
+
+def _ways(pairs) -> str:
+    return ", ".join(_CASE.format(test=test, way=way) for test, way in pairs)
+
+
+_INSERT = _ways(
+    [("true", "s")] + [(f"s.q = {p}", _WAY.format(c=5 * len(i), a="I" * len(i), t="'" + _lines(i) + "'", q=q)) for p, q, i in _INSERTED])
+_EDIT = _ways(
+    [("true", _WAY.format(c=2, a="D", t="''", q="s.q"))]
+    + [(f"s.q = {p} AND NOT x.gone AND x.initial = '{i}'", _WAY.format(c="x.extra", a="K", t="x.line", q=q)) for p, i, q in _NEXT]
+    + [(f"s.q = {p} AND NOT x.gone", _WAY.format(c="x.extra + 1", a="R", t="'{}:' || x.text || chr(10)".format(
+        {"u": "user", "a": "assistant"}[i]), q=q)) for p, i, q in _NEXT if i != "s"])
+_LEAST = (f"list_filter(list_transform({_PLACES}, lambda q: list_min(list_filter({{}}, lambda w: w IS NOT NULL AND w.q = q))), "
+          "lambda w: w IS NOT NULL)")
+
+
+def _after(states: str, ways: str) -> str:
+    return _LEAST.format(f"flatten(list_transform({states}, lambda s: [{ways}]))")
+
+
+#: crc32 bit by bit: the polynomial's reflected form is a fixed value.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+  lambda h, b: list_reduce(list_prepend(xor(h, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"""
+
+OP13 = f"""WITH o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+  h AS MATERIALIZED (SELECT *, {_CRC} % 20 AS h FROM o),
+  d AS MATERIALIZED (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+      CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE h <> 0),
+  n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+  j AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, left(role, 1) AS initial,
+      lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS former, regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS said,
+      regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS ended FROM n),
+  f AS MATERIALIZED (SELECT *, NOT said OR again AS gone, CASE WHEN ended THEN 0 ELSE 5 END AS extra, role || ':' || text || chr(10) AS line FROM j),
+  g AS MATERIALIZED (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (NOT said) AS blank,
+      count(*) FILTER (said AND again) AS duplicate, count(*) FILTER (said AND NOT again AND NOT ended) AS truncated,
+      count(*) FILTER (former IS NOT NULL AND former || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+      list(struct_pack(gone, extra, initial, text, line) ORDER BY pos) AS xs FROM f GROUP BY conv_id),
+  r AS (WITH RECURSIVE w(conv_id, k, st) AS (SELECT conv_id, 0, [struct_pack(c := 0, a := '', t := '', q := 0)] FROM g
+    UNION ALL SELECT w.conv_id, k + 1, {_after(_after('st', _INSERT), _EDIT)}
+      FROM (SELECT w.*, g.xs[w.k + 1] AS x FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.k < len(g.xs)) w)
+    SELECT * FROM w),
+  e AS (SELECT g.*, list_min(list_filter({_after('st', _INSERT)}, lambda s: s.q IN (0, 3))) AS best
+    FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND r.k = len(g.xs))
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(best.t[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN e ON i.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+ORACLE = {"op3_cosine_links": OP3, "op4_owned_secrets": OP4, "op5_near_duplicates": OP5, "op12_collocations": OP12, "op13_repair_conversations": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import collocations, covertree, langid, minhash, packing, passages, pieces, quality, sampling, secrets, token_counts
+from touchline.llm import collocations, conversations, covertree, langid, minhash, packing, passages, pieces, quality, sampling, secrets, token_counts
 from touchline.llm.oracle import ORACLE  # noqa: F401
 from touchline.operators.scan import rank_all
 from touchline.session import cut_lineage
@@ -117,8 +117,12 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"), "text", "lang")
 
 
+def op13_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repaired_digests(_table(spark, folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_weighted_samples, op2_pack_best_fit, op3_cosine_links, op4_owned_secrets, op5_near_duplicates, op6_encode_pieces,
     op7_shared_passages, op8_language, op9_count_tokens, op10_quality,
-    op12_collocations)}
+    op12_collocations, op13_repair_conversations)}
 
