@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import collocations, conversations, covertree, langid, minhash, packing, passages, pieces, quality, sampling, secrets, token_counts
+from touchline.llm import (
+    collocations, conversations, covertree, langid, minhash, packing, passages, pieces, quality, rules, sampling, secrets,
+    token_counts)
 from touchline.llm.oracle import ORACLE  # noqa: F401
 from touchline.operators.scan import rank_all
 from touchline.session import cut_lineage
@@ -113,6 +115,12 @@ def op9_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
         _table(spark, folder, "documents"), "doc_id", "text", vocabulary("piece_bpe_32k.model"))
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    return rules.judged(docs, labels, "doc_id", "text", "doc_id", "quality").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"), "text", "lang")
 
@@ -124,5 +132,5 @@ def op13_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_weighted_samples, op2_pack_best_fit, op3_cosine_links, op4_owned_secrets, op5_near_duplicates, op6_encode_pieces,
     op7_shared_passages, op8_language, op9_count_tokens, op10_quality,
-    op12_collocations, op13_repair_conversations)}
+    op11_quality_rules, op12_collocations, op13_repair_conversations)}
 
