@@ -1,8 +1,8 @@
 """Entity resolution: ladders of exact rules and token rules inside (birthdate, country) blocks.
 
-No rule compares all members of a block. Exact rules meet on equal keys; token rules meet on equal
-token subsets, of which the right side keeps one row each, so a hot block or a block of copies
-costs what its rows cost, not the square.
+No rule compares all members of a block. Exact rules meet on equal keys. Fuzzy rules look names up in an inverted index:
+of the shorter token list only as many of its rarest tokens as a match can't do without, of a text that may be contained
+its rarest run of three letters. Candidates are then compared in full. Copies of a name in a block are one entry.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest token list whose subsets are enumerated; longer names are compared token by token.
-SUBSET_TOKENS = 8
+from touchline.session import cut_lineage
+
+#: Letters of the runs that containment is looked up by; shorter texts are their own key.
+RUN = 3
 
 
 @dataclass(frozen=True)
@@ -76,50 +78,54 @@ def ladder(left: DataFrame, right: DataFrame, left_id: str, names: str, rules: S
     )
 
 
-def _subsets(tokens: Column) -> Column:
-    """All non-empty subsets of a sorted distinct token array, as texts with their size."""
-    empty = F.array(F.struct(F.lit("").alias("key"), F.lit(0).alias("size")))
-    grown = F.aggregate(tokens, empty, lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.struct(
-        F.concat_ws(" ", F.nullif(s.key, F.lit("")), t).alias("key"), (s["size"] + 1).alias("size")))))
-    return F.filter(grown, lambda s: s["size"] > 0)
-
-
 def name_tokens(name: Column) -> Column:
     """Sorted distinct tokens of a normalized name."""
     return F.array_sort(F.array_distinct(F.filter(F.split(name, " "), lambda t: t != "")))
 
 
+def _rarest(entries: DataFrame, others: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """Per ``by``: ``_order``, its keys with their number of rows among ``others``, the rarest first. Block columns are
+    all of ``others`` but the key."""
+    shared = [c for c in others.columns]
+    seen = others.groupBy(*shared).agg(F.count("*").alias("_n"))
+    return entries.join(seen, shared, "left").groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col(key).alias("key")))).alias("_order"))
+
+
 def best_token_overlap(left: DataFrame, right: DataFrame, left_id: str, tokens: str, right_tokens: str,
                        block: Sequence[str], seq: str, payload: Sequence[str]) -> DataFrame:
     """Per left row the right row of the same block sharing most tokens (at least one), first ``seq`` on ties.
 
-    The best overlap is the largest common subset: both sides list their token subsets, the right
-    side keeps the first row per (block, subset), and each left subset meets at most one row. Rows
-    with long token lists, on either side, count shared tokens instead.
+    One shared token is looked up in an index that keeps the first row per (block, token). Two or more need a meeting
+    among all but the most frequent token of either list: these meet in the index and are counted in full. Null lists
+    and null blocks match nothing.
     """
     keys = list(block)
-    l, r = left.dropna(subset=keys), right.dropna(subset=keys)
-    short_l, short_r = F.size(tokens) <= SUBSET_TOKENS, F.size(right_tokens) <= SUBSET_TOKENS
-    row = F.struct(*payload).alias("_row")
-    offered = (
-        r.where(short_r).select(*keys, seq, row, F.explode(_subsets(F.col(right_tokens))).alias("_s"))
-        .groupBy(*keys, F.col("_s.key").alias("key"), F.col("_s.size").alias("size"))
-        .agg(F.min_by(F.struct(F.col(seq).alias("seq"), "_row"), seq).alias("_r"))
-    )
-    wanted = l.where(short_l).select(F.col(left_id).alias("_id"), *keys, F.explode(_subsets(F.col(tokens))).alias("_s")).select(
-        "_id", *keys, F.col("_s.key").alias("key"))
-    pairs = wanted.join(offered, [*keys, "key"]).select("_id", "size", "_r.seq", "_r._row")
-
-    def tokenwise(a: DataFrame, b: DataFrame) -> DataFrame:
-        x = a.select(F.col(left_id).alias("_id"), *keys, F.explode(tokens).alias("token"))
-        y = b.select(*keys, F.col(seq).alias("seq"), row, F.explode(right_tokens).alias("token"))
-        return x.join(y, [*keys, "token"]).groupBy("_id", "seq").agg(
-            F.count("*").cast("int").alias("size"), F.any_value("_row").alias("_row")).select("_id", "size", "seq", "_row")
-
-    # A subset key cannot see a long name, so a pair with one is compared here, and only here.
-    pairs = pairs.unionByName(tokenwise(l.where(~short_l), r)).unionByName(tokenwise(l.where(short_l), r.where(~short_r)))
-    return pairs.groupBy("_id").agg(F.min_by("_row", F.struct(-F.col("size"), "seq")).alias("_m")).select(
-        F.col("_id").alias(left_id), "_m.*")
+    l = left.dropna(subset=keys).select(F.col(left_id).alias("_id"), *keys, F.array_sort(F.array_distinct(tokens)).alias("_l"))
+    r = right.dropna(subset=keys).select(*keys, F.col(seq).alias("_seq"), F.array_sort(F.array_distinct(right_tokens)).alias("_r"),
+                                         F.struct(*payload).alias("_row"))
+    # Equal lists are one entry on either side; only blocks of both sides matter.
+    r = r.groupBy(*keys, "_r").agg(F.min("_seq").alias("_seq"), F.min_by("_row", "_seq").alias("_row")).join(
+        l.select(*keys).distinct(), keys, "left_semi")
+    r = cut_lineage(r)
+    l = cut_lineage(l.join(r.select(*keys).distinct(), keys, "left_semi"))
+    lists = l.select(*keys, "_l").distinct()
+    l_tokens = lists.select(*keys, "_l", F.explode("_l").alias("token"))
+    r_tokens = r.select(*keys, "_r", "_seq", F.explode("_r").alias("token"))
+    first = r_tokens.groupBy(*keys, "token").agg(F.min_by(F.struct("_seq", "_r"), "_seq").alias("_f"))
+    one = l_tokens.join(first, [*keys, "token"]).select(*keys, "_l", "_f._r", "_f._seq")
+
+    def prefix(entries: DataFrame, list_: str) -> DataFrame:
+        """All tokens but the most frequent one; both sides order them by their lists on the right."""
+        ordered = _rarest(entries, r_tokens.select(*keys, "token"), [*keys, list_], "token")
+        return ordered.where(F.size("_order") > 1).select(
+            *keys, list_, F.explode(F.slice("_order", F.lit(1), F.size("_order") - 1)["key"]).alias("token"))
+
+    more = prefix(l_tokens, "_l").join(prefix(r_tokens, "_r"), [*keys, "token"]).select(*keys, "_l", "_r").distinct()
+    more = more.join(r.select(*keys, "_r", "_seq"), [*keys, "_r"]).select(*keys, "_l", "_r", "_seq")
+    best = one.unionByName(more).withColumn("_size", F.size(F.array_intersect("_l", "_r"))).groupBy(*keys, "_l").agg(
+        F.min_by("_r", F.struct(-F.col("_size"), "_seq")).alias("_r"))
+    return l.join(best, [*keys, "_l"]).join(r.select(*keys, "_r", "_row"), [*keys, "_r"]).select(F.col("_id").alias(left_id), "_row.*")
 
 
 def sole_in_block(left: DataFrame, right: DataFrame, left_id: str, block: Sequence[str], payload: Sequence[str]) -> DataFrame:
@@ -129,62 +135,85 @@ def sole_in_block(left: DataFrame, right: DataFrame, left_id: str, block: Sequen
     return left.join(single, keys).select(left_id, "_row.*")
 
 
-def _pieces(name: Column) -> Column:
-    """All substrings of a name without blanks."""
-    text = F.replace(name, F.lit(" "), F.lit(""))
-    starts = F.sequence(F.lit(1), F.length(text))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substring(text, i, n)))))
+def _runs(text: Column, shortest: int, longest: int) -> Column:
+    """Distinct substrings of ``shortest`` to ``longest`` letters."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(shortest), F.greatest(F.lit(shortest), F.least(F.length(text), F.lit(longest)))),
+        lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, n)),
+                           lambda s: F.length(s) == n))))
 
 
 def fuzzy_block_match(left: DataFrame, right: DataFrame, left_id: str, names: str, right_name: str, block: Sequence[str],
                       seq: str, payload: Sequence[str], accept: float = 0.67, min_tokens: int = 2, contained: float = 0.92) -> DataFrame:
     """Best fuzzy name match inside a block, accepted from ``accept`` on.
 
-    The score of two names is the share of the shorter token list they have in common, at least
-    ``contained`` when one, written without blanks, contains the other. The first best right row
-    wins, and its shorter token list must have ``min_tokens``. Both parts are found by equal keys:
-    common token subsets, and the substrings of the longer text against the whole shorter one.
+    The score of two names is the share of the shorter token list they have in common, at least ``contained`` when one,
+    written without blanks, contains the other. The first best right row wins, and its shorter token list must have
+    ``min_tokens``.
+
+    A list of n tokens that shares ``accept`` of them can miss n - ceil(accept * n) only, so one more of its rarest tokens
+    are looked up among all tokens of the longer lists. A contained text is looked up by its rarest run of letters. Lists
+    of one token and texts shorter than a run meet the first row of their key. Null blocks match nothing.
     """
     keys = list(block)
-    l = left.dropna(subset=keys).select(F.col(left_id).alias("_id"), *keys, F.posexplode(names).alias("pos", "name"))
-    l = l.withColumns({"tokens": name_tokens(F.col("name")), "compact": F.replace("name", F.lit(" "), F.lit(""))})
+    l = left.dropna(subset=keys).select(F.col(left_id).alias("_id"), *keys, F.posexplode(names).alias("_pos", "_name")).where("_name <> ''")
     # Copies of a name in a block are one target: the first of them.
     r = (
-        right.dropna(subset=keys).where(F.length(right_name) > 0).groupBy(*keys, F.col(right_name).alias("rname"))
-        .agg(F.min_by(F.struct(F.col(seq).alias("seq"), F.struct(*payload).alias("_row")), seq).alias("_r"))
-        .withColumns({"rtokens": name_tokens(F.col("rname")), "rcompact": F.replace("rname", F.lit(" "), F.lit(""))})
-        .withColumn("n_right", F.size("rtokens"))
-        .join(l.select(*keys).distinct(), keys, "left_semi")
+        right.dropna(subset=keys).where(F.length(right_name) > 0).groupBy(*keys, F.col(right_name).alias("_other"))
+        .agg(F.min_by(F.struct(F.col(seq).alias("seq"), F.struct(*payload).alias("row")), seq).alias("_r"))
     )
-
-    def first_per(df: DataFrame, *by: str) -> DataFrame:
-        return df.groupBy(*keys, *by, "n_right").agg(F.min_by("_r", "_r.seq").alias("_r"))
-
-    short_r, short_l = F.col("n_right") <= SUBSET_TOKENS, F.size("tokens") <= SUBSET_TOKENS
-    by_subset = first_per(r.where(short_r).select(*keys, "n_right", "_r", F.explode(_subsets(F.col("rtokens"))).alias("_s")).select(
-        *keys, "n_right", "_r", F.col("_s.key").alias("key"), F.col("_s.size").alias("size")), "key", "size")
-    overlap = l.where(short_l).select("_id", *keys, "pos", F.size("tokens").alias("n_left"), F.explode(_subsets(F.col("tokens"))).alias("_s")).select(
-        "_id", *keys, "pos", "n_left", F.col("_s.key").alias("key")).join(by_subset, [*keys, "key"]).select(
-        "_id", "pos", "n_left", "size", "n_right", "_r")
-
-    def tokenwise(a: DataFrame, b: DataFrame) -> DataFrame:
-        """Pairs with a long name on either side, which subset keys leave out."""
-        x = a.select("_id", *keys, "pos", F.size("tokens").alias("n_left"), F.explode("tokens").alias("token"))
-        y = b.select(*keys, "n_right", "_r", F.explode("rtokens").alias("token"))
-        return x.join(y, [*keys, "token"]).groupBy("_id", "pos", "n_left", "n_right", F.col("_r.seq").alias("_seq")).agg(
-            F.count("*").cast("int").alias("size"), F.any_value("_r").alias("_r")).select("_id", "pos", "n_left", "size", "n_right", "_r")
-
-    overlap = overlap.unionByName(tokenwise(l.where(~short_l), r)).unionByName(tokenwise(l.where(short_l), r.where(~short_r)))
-    floor = F.least("n_left", "n_right")
-    overlap = overlap.select("_id", "pos", (F.col("size") / floor).alias("score"), floor.alias("floor"), "_r")
-    within = l.select("_id", *keys, "pos", F.size("tokens").alias("n_left"), "compact", F.explode(_pieces(F.col("name"))).alias("piece"))
-    shorter = within.join(first_per(r, "rcompact").withColumnRenamed("rcompact", "piece"), [*keys, "piece"])
-    pieces = first_per(r.select(*keys, "n_right", "_r", F.explode(_pieces(F.col("rname"))).alias("compact")), "compact")
-    longer = l.select("_id", *keys, "pos", F.size("tokens").alias("n_left"), "compact").join(pieces, [*keys, "compact"])
-    holds = shorter.select("_id", "pos", "n_left", "n_right", "_r").unionByName(longer.select("_id", "pos", "n_left", "n_right", "_r"))
-    holds = holds.select("_id", "pos", F.lit(contained).alias("score"), F.least("n_left", "n_right").alias("floor"), "_r")
-    best = overlap.unionByName(holds).groupBy("_id").agg(
-        F.min_by(F.struct("score", "floor", "_r"), F.struct(-F.col("score"), F.col("_r.seq"), F.col("pos"))).alias("_m"))
-    return best.where((F.col("_m.score") >= accept) & (F.col("_m.floor") >= min_tokens)).select(
-        F.col("_id").alias(left_id), F.round("_m.score", 2).alias("match_score"), "_m._r._row.*")
+    r = cut_lineage(r.join(l.select(*keys).distinct(), keys, "left_semi"))
+    l = cut_lineage(l.join(r.select(*keys).distinct(), keys, "left_semi"))
+    compact = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    ours = l.select(*keys, "_name").distinct().withColumns({"_l": name_tokens(F.col("_name")), "_lc": compact(F.col("_name"))})
+    theirs = r.select(*keys, "_other", F.col("_r.seq").alias("_seq")).withColumns(
+        {"_o": name_tokens(F.col("_other")), "_oc": compact(F.col("_other"))})
+    l_tokens, r_tokens = (d.withColumn("token", F.explode(c)) for d, c in ((ours, "_l"), (theirs, "_o")))
+
+    def needed(entries: DataFrame, others: DataFrame, name: str, list_: str) -> DataFrame:
+        """Of each list of two or more tokens the rarest ones, of which a list sharing enough has at least one."""
+        ordered = _rarest(entries.where(F.size(list_) > 1), others.select(*keys, "token"), [*keys, name, list_], "token")
+        size = F.size(list_)
+        return ordered.select(*keys, name, list_, F.explode(
+            F.slice("_order", F.lit(1), (size - F.ceil(size * F.lit(accept) - 1e-9) + 1).cast("int"))["key"]).alias("token"))
+
+    pair = [*keys, "_name", "_other"]
+    shorter = needed(l_tokens, r_tokens, "_name", "_l").join(
+        r_tokens.select(*keys, "token", "_other", "_o"), [*keys, "token"]).where(F.size("_l") <= F.size("_o"))
+    longer = needed(r_tokens, l_tokens, "_other", "_o").join(
+        l_tokens.select(*keys, "token", "_name", "_l"), [*keys, "token"]).where(F.size("_o") < F.size("_l"))
+    columns = [*pair, "_l", "_o"]
+    overlap = shorter.select(*columns).unionByName(longer.select(*columns)).distinct().withColumn(
+        "_score", F.size(F.array_intersect("_l", "_o")) / F.least(F.size("_l"), F.size("_o"))).where(F.col("_score") >= accept)
+    first_of = lambda d, *by: d.groupBy(*keys, *by).agg(F.min_by("_other", "_seq").alias("_other"))
+    single = l_tokens.where(F.size("_l") == 1).join(first_of(r_tokens, "token"), [*keys, "token"]).select(*pair).unionByName(
+        l_tokens.join(first_of(r_tokens.where(F.size("_o") == 1), "token"), [*keys, "token"]).select(*pair))
+
+    l_runs, r_runs = (d.withColumn("run", F.explode(_runs(F.col(c), 1, RUN))) for d, c in ((ours, "_lc"), (theirs, "_oc")))
+    is_run = F.length("run") == RUN
+
+    def inside(entries: DataFrame, others: DataFrame, name: str, text: str) -> DataFrame:
+        """The rarest run of each text; a run that no other text has rules it out."""
+        ordered = _rarest(entries.where(is_run), others.where(is_run).select(*keys, "run"), [*keys, name, text], "run")
+        return ordered.where(F.col("_order")[0]["n"] > 0).select(*keys, name, text, F.col("_order")[0]["key"].alias("run"))
+
+    holds = (
+        inside(l_runs, r_runs, "_name", "_lc").join(r_runs.select(*keys, "run", "_other", "_oc"), [*keys, "run"])
+        .where(F.contains("_oc", "_lc")).select(*pair)
+        .unionByName(inside(r_runs, l_runs, "_other", "_oc").join(l_runs.select(*keys, "run", "_name", "_lc"), [*keys, "run"])
+                     .where(F.contains("_lc", "_oc")).select(*pair))
+        .unionByName(ours.where(F.length("_lc") < RUN).withColumn("run", F.col("_lc")).join(first_of(r_runs, "run"), [*keys, "run"]).select(*pair))
+        .unionByName(l_runs.join(first_of(theirs.where(F.length("_oc") < RUN).withColumn("run", F.col("_oc")), "run"), [*keys, "run"]).select(*pair))
+    )
+    found = overlap.select(*pair, "_score").unionByName(single.withColumn("_score", F.lit(1.0))).unionByName(
+        holds.withColumn("_score", F.lit(contained)))
+    # One best right row per name, then per left row.
+    size = lambda c: F.size(name_tokens(F.col(c)))
+    best = found.join(theirs.select(*keys, "_other", "_seq"), [*keys, "_other"]).groupBy(*keys, "_name").agg(
+        F.min_by(F.struct("_other", "_seq", "_score"), F.struct(-F.col("_score"), "_seq")).alias("_b")).select(
+        *keys, "_name", "_b.*").withColumn("_floor", F.least(size("_name"), size("_other")))
+    chosen = l.join(best, [*keys, "_name"]).groupBy("_id").agg(
+        F.min_by(F.struct(*keys, "_other", "_score", "_floor"), F.struct(-F.col("_score"), "_seq", "_pos")).alias("_m")).where(
+        (F.col("_m._score") >= accept) & (F.col("_m._floor") >= min_tokens))
+    return chosen.select("_id", "_m.*").join(r, [*keys, "_other"]).select(
+        F.col("_id").alias(left_id), F.round("_score", 2).alias("match_score"), "_r.row.*")
