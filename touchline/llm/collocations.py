@@ -25,14 +25,16 @@ from touchline.llm.arrow_text import column, mix
 from touchline.session import cut_lineage
 
 #: First words of phrases that a task counts at once; two words of look-ahead follow. Codes of words take 21 bits.
-WINDOW = 1 << 20
-#: Bytes of text gathered before a window is counted, and rows of stripes handed on at once.
-GATHERED, HANDED_ON = 12 << 20, 100_000
+WINDOW = 1 << 19
+#: Bytes of text of a language gathered before a window is counted, and rows of stripes handed on at once.
+GATHERED, HANDED_ON = 3 << 20, 100_000
 #: Parts of a stripe.
 SHARDS = 32
 NO_LANGUAGE = "und"
-_STRIPE = "lang string, first string, shard int, entries array<struct<next:string,n:int>>"
-_SPACE = pa.scalar(" ", pa.large_string())
+#: A counter travels as one text, a line per entry: the next words, and after a tab the count if it is not one. Neither
+#: sign can be part of a word.
+_STRIPE = "lang string, first string, shard int, entries string"
+_SPACE, _TAB, _LINE = (pa.scalar(c, pa.large_string()) for c in " \t\n")
 _BITS = np.int64(21)
 _MASK = np.int64((1 << 21) - 1)
 
@@ -70,8 +72,8 @@ def _shards(words: pa.Array) -> np.ndarray:
     return (mix(np.add.reduceat(values[data], at[:-1] - at[0])) % np.uint64(SHARDS)).astype(np.int64)
 
 
-def stripes(words: pa.Array, piece: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
-    """(first words, shards, offsets of entries, next words, counts) of each window of ``words``."""
+def stripes(words: pa.Array, piece: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """(first words, shards, counters) of each window of ``words``."""
     for start in range(0, len(words), WINDOW):
         here = words.slice(start, WINDOW + 2).dictionary_encode()
         inside = piece[start:start + WINDOW + 2]
@@ -99,7 +101,10 @@ def stripes(words: pa.Array, piece: np.ndarray) -> Iterator[tuple[pa.Array, np.n
         longer = three >= 0
         spaced = pc.if_else(pa.array(longer), pc.binary_join_element_wise(
             after, pc.fill_null(known.take(pa.array(three, mask=~longer)), ""), _SPACE), after)
-        yield known.take(pa.array(one[offsets[:-1]])), part[offsets[:-1]], offsets, spaced, counts
+        spaced = pc.if_else(pa.array(counts > 1), pc.binary_join_element_wise(
+            spaced, pa.array(counts).cast(pa.large_string()), _TAB), spaced)
+        counters = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), spaced), _LINE)
+        yield known.take(pa.array(one[offsets[:-1]])), part[offsets[:-1]], counters
 
 
 def _stripe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,20 +115,15 @@ def _stripe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def count(lang: str) -> Iterator[pa.RecordBatch]:
         words, piece = split_words(held.pop(lang))
         del sizes[lang]
-        yield rows(lang, pa.array([None], pa.large_string()), np.zeros(1), np.array([0, 1]), pa.array([""], pa.large_string()),
-                   np.array([len(words)]))
-        for first, shard, offsets, after, counts in stripes(words, piece):
+        yield rows(lang, pa.array([None], pa.large_string()), np.zeros(1), pa.array([f"\t{len(words)}"], pa.large_string()))
+        for first, shard, counters in stripes(words, piece):
             for lo in range(0, len(first), HANDED_ON):
-                some = offsets[lo:lo + HANDED_ON + 1]
-                yield rows(lang, first.slice(lo, HANDED_ON), shard[lo:lo + HANDED_ON], some - some[0],
-                           after.slice(some[0], some[-1] - some[0]), counts[some[0]:some[-1]])
+                yield rows(lang, first.slice(lo, HANDED_ON), shard[lo:lo + HANDED_ON], counters.slice(lo, HANDED_ON))
 
-    def rows(lang, first, shard, offsets, after, counts) -> pa.RecordBatch:
-        entries = pa.StructArray.from_arrays(
-            [after.cast(pa.string()), pa.array(counts.astype(np.int32))], ["next", "n"])
+    def rows(lang: str, first: pa.Array, shard: np.ndarray, counters: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
             pa.array([lang] * len(first), pa.string()), first.cast(pa.string()), pa.array(shard.astype(np.int32)),
-            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), entries)], ["lang", "first", "shard", "entries"])
+            counters.cast(pa.string())], ["lang", "first", "shard", "entries"])
 
     for batch in batches:
         for lang, text in zip(column(batch, "_lang").to_pylist(), column(batch, "_text"), strict=True):
@@ -144,7 +144,9 @@ def phrase_counts(docs: DataFrame, text: str, lang: str, least: int) -> DataFram
     rows = docs.select(F.coalesce(docs[lang], F.lit(NO_LANGUAGE)).alias("_lang"), docs[text].alias("_text"))
     merged = (
         rows.mapInArrow(_stripe_rows, _STRIPE).repartition("lang", "first", "shard")
-        .selectExpr("lang", "first", "shard", "inline(entries)")
+        .select("lang", "first", "shard", F.explode(F.split("entries", "\n")).alias("entry"))
+        .selectExpr("lang", "first", "shard", "substring_index(entry, '\t', 1) as next",
+                    "if(instr(entry, '\t') > 0, cast(substring_index(entry, '\t', -1) as bigint), 1L) as n")
         .groupBy("lang", "first", "shard", "next").agg(F.sum("n").alias("n"))
         .where((F.col("n") >= least) | F.col("first").isNull())
     )
