@@ -43,7 +43,7 @@ CTE = {
           CASE WHEN CAST(floor(l_quantity) AS INTEGER) % 5 > (l_partkey + l_linenumber) % 4 THEN 0
                WHEN CAST(floor(l_quantity) AS INTEGER) % 5 = (l_partkey + l_linenumber) % 4 THEN 1 ELSE 2 END AS label,
           1 + l_linenumber + l_extendedprice / CAST(7654321 AS DOUBLE) AS a, 1 + l_partkey % 7 + l_extendedprice / CAST(17654321 AS DOUBLE) AS b,
-          1 + l_suppkey % 5 + l_extendedprice / CAST(27654321 AS DOUBLE) AS c FROM lineitem WHERE {LI_MATCH})""",
+          1 + l_suppkey % 5 + l_extendedprice / CAST(27654321 AS DOUBLE) AS c FROM lineitem)""",
     "c_odds": f"""SELECT {MATCH_ID} AS seq, CAST(l_shipdate AS DATE) + CAST(l_orderkey % 3 - 1 AS INTEGER) AS date,
         CAST(l_shipdate AS DATE) + CAST(l_partkey % 2 AS INTEGER) AS shanghai_date,
         CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 'T' ELSE 'U' END || (l_suppkey % 100) AS home_team, 'T' || (l_partkey % 100) AS away_team,
@@ -118,5 +118,5 @@ CTE = {
     "c_trades": "SELECT * FROM c_trades_base UNION ALL SELECT * FROM c_trades_base WHERE event_id % 10 = 0",
     "c_lambdas": f"""SELECT {MATCH_ID} AS match_id, CAST(0.2 AS DOUBLE) + l_quantity / 20 + l_extendedprice / CAST(7654321 AS DOUBLE) AS home_lambda,
         CAST(0.2 AS DOUBLE) + CAST(l_linenumber AS DOUBLE) / 3 AS away_lambda,
-        CAST(l_partkey % 5 - 2 AS DOUBLE) / 2 AS handicap_line FROM lineitem WHERE {LI_MATCH}""",
+        CAST(l_partkey % 5 - 2 AS DOUBLE) / 2 AS handicap_line FROM lineitem""",
 }

@@ -1,6 +1,6 @@
 """Oracle SQL of the market, fixture, score-grid and selection queries."""
 
-from oracle.carriers import CTE, K, LI_MATCH, MATCH_ID
+from oracle.carriers import CTE, K, MATCH_ID
 from oracle.sources import MARKET_STEPS
 from oracle.sql import q, r
 
@@ -19,7 +19,7 @@ CTE["c_market"] = f"""SELECT *, CASE WHEN home_prob >= draw_prob AND home_prob >
     l_quantity - 25 AS rating_diff, l_extendedprice * 100 AS home_value, (l_partkey % 50) * CAST(100000 AS DOUBLE) AS away_value,
     (l_linenumber > 5) AS priced, CASE WHEN l_linenumber < 7 THEN (l_partkey % 11) / 10 END AS home_pressure, (l_suppkey % 11) / 10 AS away_pressure,
     CAST(0.2 AS DOUBLE) + l_quantity / 20 + l_extendedprice / CAST(7654321 AS DOUBLE) AS home_lambda, CAST(0.2 AS DOUBLE) + CAST(l_linenumber AS DOUBLE) / 3 AS away_lambda,
-    l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE {LI_MATCH}))"""
+    l_partkey, l_suppkey, l_linenumber FROM lineitem))"""
 
 
 def _row(i: int, pool: str, label: str, prob: str, odds: str) -> str:
@@ -164,13 +164,17 @@ SCORES = {
 }
 
 
-def package_sql(minimum: float, aggressive: bool, cap: float) -> str:
-    """A package per day; removal order and ticket counts by plain windows."""
-    steps = {"g": GUARD.format(src="c_selections"), "gg": GUARDED, "pr": PRICED,
-             "items": f"SELECT * FROM pr WHERE odds > 1 AND gp >= {minimum}"
-             + ("" if aggressive else " AND NOT bad AND NOT (selection IN ('平局','让平') AND ev < 0.03)")}
+GUARDED_SELECTIONS = {"g": GUARD.format(src="c_selections"), "gg": GUARDED, "pr": PRICED}
+TOO_FEW_LEGS, NO_VALUE = "可用正期望选项不足 2 场，按中国体彩串关口径暂不建议强行组串。", "组合期望值不为正，不建议购买。"
+TOO_FEW_MATCHES, LOW_VALUE = "可用选项不足 2 场，不强行组串。", "组合期望值偏低，属于娱乐型多串，不是严格价值投注。"
+
+
+def package_steps(source: dict[str, str], minimum: float, aggressive: bool, cap: float | None, most: int = 3) -> dict[str, str]:
+    """Options of every match as ``left_``; removal order and ticket counts by plain windows. ``source`` ends in ``pr``."""
+    steps = {**source, "items": f"SELECT * FROM pr WHERE odds > 1 AND gp >= {minimum}"
+             + ("" if aggressive else " AND NOT bad AND NOT (contains(selection, '平') AND ev < 0.03)")}
     if aggressive:
-        steps["opt"] = """SELECT *, false AS same, row_number() OVER (PARTITION BY match_id ORDER BY signal DESC, ev DESC, ret DESC, odds DESC, gp DESC, pos) AS k FROM items QUALIFY k <= 3"""
+        steps["opt"] = f"""SELECT *, false AS same, row_number() OVER (PARTITION BY match_id ORDER BY signal DESC, round(ev, 9) DESC, round(ret, 9) DESC, odds DESC, gp DESC, pos) AS k FROM items QUALIFY k <= {most}"""
     else:
         # Every match names its model pick, so the direction is the pick's own.
         steps["dirs"] = """SELECT *, CASE model_pick WHEN '主胜' THEN selection IN ('主胜','让胜') WHEN '客胜' THEN selection IN ('客胜','让负') ELSE selection IN ('平局','让平') END AS same FROM items"""
@@ -178,8 +182,10 @@ def package_sql(minimum: float, aggressive: bool, cap: float) -> str:
         steps["kept"] = "SELECT *, same OR NOT bool_or(same) OVER (PARTITION BY match_id) AS kp FROM fl"
         steps["flags"] = """SELECT *, kp AND ev > 0 AS f1, kp AND ev >= -0.18 AND gp >= 0.35 AS f2, pos >= 3 AND ev >= 0.08 AND gp >= 0.25 AS f3 FROM kept"""
         steps["used"] = """SELECT *, bool_or(f1) OVER m AS a1, bool_or(f2) OVER m AS a2, min(CASE WHEN f3 THEN pos END) OVER m AS p3 FROM flags WINDOW m AS (PARTITION BY match_id)"""
-        steps["opt"] = """SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY is_pick DESC, same DESC, signal DESC, ret DESC, kl DESC, ev DESC, pos) AS k
-          FROM used WHERE CASE WHEN a1 THEN f1 WHEN a2 THEN f2 ELSE f3 AND pos = p3 END QUALIFY k <= 3"""
+        steps["opt"] = f"""SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY is_pick DESC, same DESC, signal DESC, round(ret, 9) DESC, round(kl, 9) DESC, round(ev, 9) DESC, pos) AS k
+          FROM used WHERE CASE WHEN a1 THEN f1 WHEN a2 THEN f2 ELSE f3 AND pos = p3 END QUALIFY k <= {most}"""
+    if cap is None:
+        return {**steps, "left_": "SELECT * FROM opt"}
     steps["sized"] = """SELECT *, count(*) OVER (PARTITION BY match_id) AS n, ret * CASE WHEN same THEN 2 ELSE 1 END AS sc FROM opt"""
     steps["tick"] = "SELECT day, sum(ln(n)) AS lt FROM sized WHERE k = 1 GROUP BY day"
     steps["loose"] = "SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY sc, k) AS j FROM sized WHERE NOT is_pick QUALIFY j < n"
@@ -187,12 +193,60 @@ def package_sql(minimum: float, aggressive: bool, cap: float) -> str:
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM loose"""
     steps["gone"] = f"SELECT day, match_id, k FROM run JOIN tick USING (day) WHERE exp(lt + s) * 2 > {cap} + 1e-6"
     steps["left_"] = "SELECT * FROM sized s WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.match_id = s.match_id AND g.k = s.k)"
-    steps["grp"] = """SELECT day, match_id, count(*) AS n, min(odds) AS lo, max(odds) AS hi, least(0.98, sum(gp)) AS hit, sum(ret) / count(*) AS rr, sum(kl) AS kl, sum(ev) AS ev
+    return steps
+
+
+def package_sql(steps: dict[str, str], package: str = "") -> str:
+    """A package per day; days that are not available have a reason and no numbers."""
+    grp = """SELECT day, match_id, count(*) AS n, min(odds) AS lo, max(odds) AS hi, least(0.98, sum(gp)) AS hit, sum(ret) / count(*) AS rr, sum(kl) AS kl, sum(ev) AS ev
         FROM left_ GROUP BY day, match_id"""
-    return q(f"""SELECT CAST(day AS VARCHAR) AS day, CAST(exp(sum(ln(rr))) - 1 > -0.12 AS INTEGER) AS available, {r('sum(ln(n)) + ln(2)')} AS log_total_cost,
+    every = "SELECT day, count(DISTINCT match_id) AS every FROM pr GROUP BY day"
+    told = f"""SELECT day, exp(sum(ln(rr))) AS back, {r('sum(ln(n)) + ln(2)')} AS log_total_cost, {r('sum(ln(hi)) + ln(2)')} AS log_theoretical_max_prize,
         {r('sum(ln(lo))')} AS log_min_combined_odds, {r('sum(ln(hi))')} AS log_max_combined_odds, {r('sum(ln(n))')} AS log_bet_count,
         {r('sum(ln(hit))')} AS log_package_hit_probability, {r('sum(kl) / sum(n)')} AS average_kelly, {r('sum(ev) / sum(n)')} AS average_option_ev,
-        count(*) AS matches, CAST(sum(n) AS BIGINT) AS selected_count FROM grp GROUP BY day HAVING count(*) >= 2""", **steps)
+        count(*) AS matches, CAST(sum(n) AS BIGINT) AS selected_count, count(*) || '串1' AS play_type FROM grp GROUP BY day"""
+    numbers = ("log_total_cost", "log_theoretical_max_prize", "log_min_combined_odds", "log_max_combined_odds", "log_bet_count",
+               "log_package_hit_probability", "average_kelly", "average_option_ev", "selected_count", "play_type")
+    return q(f"""SELECT CAST(day AS VARCHAR) AS day, {package} CAST(coalesce(matches >= 2 AND back - 1 > -0.12, false) AS INTEGER) AS available,
+        CASE WHEN coalesce(matches, 0) < 2 THEN '{TOO_FEW_MATCHES}' WHEN back <= 1 THEN '{LOW_VALUE}' ELSE '' END AS reason,
+        {', '.join(f'CASE WHEN matches >= 2 THEN {c} END AS {c}' for c in numbers)}, coalesce(matches, 0) AS matches, every - coalesce(matches, 0) AS skipped
+      FROM every LEFT JOIN told USING (day)""", **steps, grp=grp, every=every, told=told)
+
+
+def parlay_sql(most: int, least: float, picks: bool) -> dict[str, str]:
+    return {
+        **GUARDED_SELECTIONS, "every": "SELECT DISTINCT day FROM pr",
+        "one": f"""SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY kl DESC, ev DESC, gp DESC, pos) AS k
+          FROM pr WHERE gp > 0 AND odds > 1 AND gp >= {least} {'AND is_pick' if picks else ''} QUALIFY k = 1""",
+        "legs": f"SELECT *, row_number() OVER (PARTITION BY day ORDER BY kl DESC, ev DESC, gp DESC, match_id) AS leg FROM one QUALIFY leg <= {most}",
+        "bet": """SELECT day, count(*) AS n, product(odds) AS co, product(gp) AS cp, string_agg(match_id || ':' || pos || ':' || selection, ',' ORDER BY leg) AS legs,
+          string_agg(match_id || ':' || pos, ',' ORDER BY leg) AS places FROM legs GROUP BY day HAVING count(*) >= 2""",
+        "v": f"SELECT day, n, co, cp, legs, places, cp * co - 1 AS v, {kelly('cp', 'co')} AS fk FROM every LEFT JOIN bet USING (day)",
+    }
+
+
+#: Handicap selections at their Poisson chances, moved by mood and market signal.
+ADVICE = {
+    "gh": """SELECT match_id, line, i, j, exp(i * ln(home_lambda) - home_lambda) / factorial(CAST(i AS INTEGER)) * exp(j * ln(away_lambda) - away_lambda) / factorial(CAST(j AS INTEGER)) AS w
+      FROM c_market, range(9) x(i), range(9) y(j)""",
+    "hp": """SELECT match_id, sum(w) FILTER (i + line - j > 1e-9) / sum(w) AS p3, sum(w) FILTER (abs(i + line - j) <= 1e-9) / sum(w) AS p4,
+      sum(w) FILTER (i + line - j < -1e-9) / sum(w) AS p5 FROM gh GROUP BY match_id""",
+    "own": """SELECT * REPLACE (coalesce(CASE WHEN pos = 3 AND p3 > 0 THEN p3 WHEN pos = 4 AND p4 > 0 THEN p4 WHEN pos = 5 AND p5 > 0 THEN p5 END, probability) AS probability)
+      FROM c_selections JOIN hp USING (match_id)""",
+    "felt": """SELECT * REPLACE (CASE WHEN sentiment_diff IS NULL OR dir = 0 THEN probability
+        ELSE greatest(0.001, least(0.98, probability * (1 + 0.035 * sentiment_diff * dir))) END AS probability)
+      FROM (SELECT *, CASE WHEN selection IN ('主胜','让胜') THEN 1 WHEN selection IN ('客胜','让负') THEN -1 ELSE -0.25 * abs(sentiment_diff) END AS dir FROM own)""",
+    "moved": """SELECT * REPLACE (greatest(0.001, least(0.98, probability * (1 + least(greatest(signal, -0.15), 0.18)))) AS probability) FROM felt""",
+    "g": GUARD.format(src="moved"), "gg": GUARDED, "pr": PRICED,
+}
+SCORE_ADVICE = {
+    **SCORES,
+    "pr": f"""SELECT day, match_id, pos, label AS selection, p AS gp, o AS odds, {edge('p', 'o')} AS ev, {kelly('p', 'o')} AS kl, p * o AS ret, pick AS is_pick,
+      model_pick, CAST(0 AS DOUBLE) AS signal, false AS bad FROM cand""",
+}
+DAILY = " UNION ALL ".join(f"SELECT * FROM ({package_sql(package_steps(*args), f"'{name}' AS package,")})" for name, args in {
+    "wdl_conservative": (ADVICE, 0.15, False, 50, 3), "wdl_aggressive": (ADVICE, 0.12, True, 80, 3),
+    "score_conservative": (SCORE_ADVICE, 0.06, False, None, 2), "score_aggressive": (SCORE_ADVICE, 0.02, True, None, 3)}.items())
 
 
 ORACLE = {
@@ -275,12 +329,16 @@ ORACLE = {
         g=GUARD.format(src="c_selections"), gg=GUARDED, pr=PRICED),
     "exact_score_candidates": q(f"""SELECT match_id, count(*) AS candidates, count(*) FILTER (pick) AS picks, {r('sum(p)')} AS probability,
         {r(f"max({edge('p', 'o')})")} AS best_value, {r(f"sum({kelly('p', 'o')})")} AS kelly FROM cand GROUP BY match_id""", **SCORES),
-    "parlay_plan": q(f"""SELECT CAST(day AS VARCHAR) AS day, CAST(v > 0 AND least(0.05, 0.25 * fk) > 0 AS INTEGER) AS available, {r('co')} AS combined_odds, {r('cp')} AS combined_probability,
-        {r('v')} AS expected_value, {r('fk')} AS full_kelly, {r('least(0.05, 0.25 * fk)')} AS stake_fraction, legs FROM (
-        SELECT *, cp * co - 1 AS v, {kelly('cp', 'co')} AS fk FROM (SELECT day, count(*) AS legs, product(odds) AS co, product(gp) AS cp FROM (
-          SELECT *, row_number() OVER (PARTITION BY day ORDER BY kl DESC, ev DESC, gp DESC, match_id) AS leg FROM (
-            SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY kl DESC, ev DESC, gp DESC, pos) AS k FROM pr WHERE gp > 0 AND odds > 1) WHERE k = 1)
-        WHERE leg <= 4 GROUP BY day HAVING count(*) >= 2))""", g=GUARD.format(src="c_selections"), gg=GUARDED, pr=PRICED),
-    "betting_package": package_sql(0.15, False, 50),
-    "betting_package_aggressive": package_sql(0.12, True, 80),
+    "parlay_plan": q(f"""SELECT CAST(day AS VARCHAR) AS day, CAST(coalesce(v > 0 AND least(0.05, 0.25 * fk) > 0, false) AS INTEGER) AS available, {r('co')} AS combined_odds, {r('cp')} AS combined_probability,
+        {r('v')} AS expected_value, {r('CASE WHEN n IS NOT NULL THEN fk END')} AS full_kelly, {r('CASE WHEN n IS NOT NULL THEN least(0.05, 0.25 * fk) END')} AS stake_fraction, coalesce(n, 0) AS leg_count, coalesce(legs, '') AS legs,
+        n || '串1' AS play_type, CASE WHEN n IS NULL THEN '{TOO_FEW_LEGS}' WHEN v > 0 THEN '' ELSE '{NO_VALUE}' END AS reason FROM v""", **parlay_sql(4, 0, False)),
+    "parlay_plan_model_picks": q(f"""SELECT CAST(day AS VARCHAR) AS day, CAST(coalesce(v > 0 AND least(0.05, 0.25 * fk) > 0, false) AS INTEGER) AS available, {r('co')} AS combined_odds,
+        {r('CASE WHEN n IS NOT NULL THEN least(0.05, 0.25 * fk) END')} AS stake_fraction, coalesce(places, '') AS legs,
+        CASE WHEN n IS NULL THEN '{TOO_FEW_LEGS}' WHEN v > 0 THEN '' ELSE '{NO_VALUE}' END AS reason FROM v""", **parlay_sql(2, 0.3, True)),
+    "package_legs": q("""SELECT CAST(day AS VARCHAR) AS day, match_id, coalesce(n, 0) AS n, coalesce(options, '') AS options FROM (SELECT DISTINCT day, match_id FROM pr) LEFT JOIN (
+        SELECT match_id, count(*) AS n, string_agg(pos || ':' || selection, ',' ORDER BY k) AS options FROM left_ GROUP BY match_id) USING (match_id)""",
+        **package_steps(GUARDED_SELECTIONS, 0.15, False, 50)),
+    "daily_advice": DAILY,
+    "betting_package": package_sql(package_steps(GUARDED_SELECTIONS, 0.15, False, 50)),
+    "betting_package_aggressive": package_sql(package_steps(GUARDED_SELECTIONS, 0.12, True, 80)),
 }

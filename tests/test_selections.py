@@ -5,7 +5,7 @@ import random
 import pytest
 
 from touchline.functions import poisson
-from touchline.operators.selections import PackageRules, betting_package, package_options
+from touchline.operators.selections import PackageRules, betting_package, package_legs, package_options, parlay_plan
 from touchline.sources import readers, sinks
 
 SCHEMA = ("day string, match_id string, pos int, pool string, selection string, probability double, odds double, expected_value double, kelly double, "
@@ -52,8 +52,55 @@ def test_trimming_equals_the_loop(spark, seed, aggressive):
             _, m, i = min(weak)
             matches[m].pop(i)
         want[day] = (tickets(), sum(len(o) for o in matches.values()))
-    got = {r.day: (round(r.bet_count), r.selected_count) for r in betting_package(df, rules).collect()}
+    rows = betting_package(df, rules).collect()
+    got = {r.day: (round(r.bet_count), r.selected_count) for r in rows if r.matches >= 2}
     assert got == want
+    # Every day has a row; what can't be played has a reason and no numbers.
+    assert {r.day for r in rows} == {f"d{k}" for k in range(6)}
+    for r in rows:
+        if r.matches < 2:
+            assert not r.available and r.reason and r.bet_count is None and r.play_type is None
+        else:
+            assert r.theoretical_max_prize == pytest.approx(r.max_combined_odds * rules.stake) and r.play_type == f"{r.matches}串1"
+    legs = package_legs(df, rules).collect()
+    assert {(r.day, r.match_id) for r in legs} == {(r[0], r[1]) for r in candidates(seed)}
+    by = {(r.day, r.match_id): [o.pos for o in r.options] for r in legs}
+    assert {k: len(v) for k, v in by.items() if v and k[0] in want} == {(d, m): len(o) for d, g in groups.items() if d in want for m, o in g.items()}
+    assert {(r.day, r.skipped) for r in rows} == {(d, sum(not v for (x, _), v in by.items() if x == d)) for d in {k[0] for k in by}}
+
+
+def test_threshold_search_with_equal_returns(spark):
+    """All options of a day have one return, so one bucket decides; a day of many matches is cut at the right place."""
+    rows = [("d", f"m{m:04d}", pos, "HAD", sel, 0.5, 2.0, 0.0, 0.0, pos == 0, "主胜", 0.0, False)
+            for m in range(400) for pos, sel in enumerate(["主胜", "平局", "客胜"])]
+    rules = PackageRules(0.15, 3, True, max_cost=80.0)
+    out = betting_package(spark.createDataFrame(rows, SCHEMA), rules).first()
+    # Tickets fall by 2/3, then 1/2 per match, in order of matches, until 40 or fewer are left.
+    n, left = 3.0 ** 400, 1200
+    for step in (2 / 3, 1 / 2) * 400:
+        if n * 2.0 <= 80:
+            break
+        n, left = n * step, left - 1
+    assert out.selected_count == left and out.total_cost == pytest.approx(n * 2.0)
+
+
+def test_parlay_legs_and_days(spark):
+    df = spark.createDataFrame(candidates(4), SCHEMA)
+    rows = {r.day: r for r in parlay_plan(df, "day", max_legs=3).collect()}
+    assert set(rows) == {f"d{k}" for k in range(6)}
+    matches = {}
+    for r in candidates(4):
+        matches.setdefault(r[0], {}).setdefault(r[1], []).append(r)
+    for day, games in matches.items():
+        best = sorted((max((c for c in m if c[6] > 1), key=lambda c: (c[8], c[7], c[5], -c[2])) for m in games.values()),
+                      key=lambda c: (-c[8], -c[7], -c[5], c[1]))[:3]
+        got = rows[day]
+        if len(best) < 2:
+            assert not got.available and not got.legs and got.reason and got.combined_odds is None
+        else:
+            assert [(x.match_id, x.pos) for x in got.legs] == [(c[1], c[2]) for c in best] and got.play_type == f"{len(best)}串1"
+    picks = parlay_plan(df, "day", require_model_pick=True).collect()
+    assert all(leg.is_model_pick for r in picks for leg in r.legs)
 
 
 def test_grid_sums_to_one(spark):

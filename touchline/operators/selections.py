@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.numbers import clip
 from touchline.functions.text import score_outcome
-from touchline.operators.scan import keep_one, running_within
-from touchline.session import cut_lineage
+from touchline.operators.scan import keep_one
 
 HAD, HHAD, CRS = "HAD 胜平负", "HHAD 让球胜平负", "CRS 比分"
 
@@ -174,22 +173,42 @@ def exact_score_candidates(scores: DataFrame) -> DataFrame:
     return with_edge(rows).drop("_poisson", "_listed", "_share", "_mass")
 
 
+#: Why a day has no bet, or why its bet is not advised; how many matches are combined.
+TOO_FEW_LEGS = "可用正期望选项不足 2 场，按中国体彩串关口径暂不建议强行组串。"
+NO_VALUE = "组合期望值不为正，不建议购买。"
+TOO_FEW_MATCHES = "可用选项不足 2 场，不强行组串。"
+LOW_VALUE = "组合期望值偏低，属于娱乐型多串，不是严格价值投注。"
+COMBINED = "串1"
+LEG = ("match_id", "pos", "pool", "selection", "probability", "odds", "expected_value", "kelly", "is_model_pick")
+
+
 def parlay_plan(candidates: DataFrame, day: str, max_legs: int = 4, min_kelly: float = 0.0, multiplier: float = 0.25,
-                cap: float = 0.05, min_probability: float = 0.0) -> DataFrame:
-    """One combined bet per day from the best candidate of each match, capped fractional Kelly stake."""
+                cap: float = 0.05, min_probability: float = 0.0, require_model_pick: bool = False) -> DataFrame:
+    """One row per day of ``candidates``: the combined bet of the best candidate of each match, capped fractional Kelly stake.
+
+    ``legs`` holds at most ``max_legs`` structs. A day with fewer than two usable matches is not available: it has no legs,
+    no numbers and a reason.
+    """
     usable = candidates.where(
         (F.col("kelly") >= min_kelly) & (F.col("probability") >= min_probability) & (F.col("probability") > 0) & (F.col("odds") > 1))
+    if require_model_pick:
+        usable = usable.where("is_model_pick")
     best = keep_one(usable.withColumn("_pos", -F.col("pos")), [day, "match_id"], ["kelly", "expected_value", "probability", "_pos"], "last")
     order = W.partitionBy(day).orderBy(F.desc("kelly"), F.desc("expected_value"), F.desc("probability"), "match_id")
     legs = best.withColumn("_leg", F.row_number().over(order)).where(F.col("_leg") <= max_legs)
     out = legs.groupBy(day).agg(
-        F.count("*").alias("legs"), F.product("odds").alias("combined_odds"), F.product("probability").alias("combined_probability"))
+        F.transform(F.array_sort(F.collect_list(F.struct("_leg", F.struct(*LEG).alias("leg")))), lambda x: x["leg"]).alias("legs"),
+        F.product("odds").alias("combined_odds"), F.product("probability").alias("combined_probability"))
     value = F.col("combined_probability") * F.col("combined_odds") - 1
-    out = out.where("legs >= 2").withColumns({
-        "expected_value": value, "full_kelly": kelly(F.col("combined_probability"), F.col("combined_odds"))})
-    stake = F.least(F.lit(cap), F.col("full_kelly") * multiplier)
-    return out.withColumn("stake_fraction", stake).withColumn(
-        "available", (F.col("expected_value") > 0) & (F.col("stake_fraction") > 0))
+    out = out.where(F.size("legs") >= 2).withColumns({
+        "expected_value": value, "full_kelly": kelly(F.col("combined_probability"), F.col("combined_odds")),
+        "play_type": F.concat(F.size("legs").cast("string"), F.lit(COMBINED))})
+    out = out.withColumn("stake_fraction", F.least(F.lit(cap), F.col("full_kelly") * multiplier))
+    some = F.col("legs").isNotNull()
+    return candidates.select(day).distinct().join(out, day, "left").withColumns({
+        "available": F.coalesce((F.col("expected_value") > 0) & (F.col("stake_fraction") > 0), F.lit(False)),
+        "reason": F.when(~some, TOO_FEW_LEGS).when(F.col("expected_value") > 0, "").otherwise(NO_VALUE),
+    }).withColumn("legs", F.coalesce("legs", F.array()))
 
 
 @dataclass(frozen=True)
@@ -234,9 +253,11 @@ def package_options(candidates: DataFrame, rules: PackageRules) -> DataFrame:
     items = candidates.where((F.col("odds") > 1) & (F.col("probability") >= rules.min_probability))
     take = lambda df, *order: df.withColumn(
         "_order", F.row_number().over(match.orderBy(*order, "pos"))).where(F.col("_order") <= rules.max_options)
+    # Prices that a market's own shares made give equal values but for the last digits: such values are ties.
+    near = lambda c: F.round(c, 9).desc()
     ret = F.col("probability") * F.col("odds")
     if rules.aggressive:
-        return take(items.withColumn("_same", F.lit(False)), F.desc("signal"), F.desc("expected_value"), F.desc(ret), F.desc("odds"), F.desc("probability"))
+        return take(items.withColumn("_same", F.lit(False)), F.desc("signal"), near("expected_value"), near(ret), F.desc("odds"), F.desc("probability"))
     items = items.where(~(F.col("selection").contains("平") & (F.col("expected_value") < 0.03)) & ~F.col("conflict"))
     items = items.withColumn("_same", _same_direction(items))
     any_of = lambda c: F.max(c).over(match)
@@ -250,57 +271,100 @@ def package_options(candidates: DataFrame, rules: PackageRules) -> DataFrame:
     first_value = F.min(F.when(value, F.col("pos"))).over(match)
     items = items.withColumn("_use", F.when(any_of(positive), positive).when(any_of(soft), soft).otherwise(
         value & (F.col("pos") == first_value)))
-    return take(items.where("_use"), F.desc("is_model_pick"), F.desc("_same"), F.desc("signal"), F.desc(ret),
-                F.desc("kelly"), F.desc("expected_value"))
+    return take(items.where("_use"), F.desc("is_model_pick"), F.desc("_same"), F.desc("signal"), near(ret),
+                near("kelly"), near("expected_value"))
+
+
+#: Buckets of return per unit, in which removable options are summed before any are ordered.
+RETURN_BUCKETS = 4096
 
 
 def trim_to_cost(options: DataFrame, rules: PackageRules) -> DataFrame:
     """Drop the weakest removable options of a day until its tickets fit the cost cap.
 
-    One by one, the option with the lowest return is dropped, never a model pick and never the last
-    of its match. Matches only shrink, so the order of removal is known in advance: of a match with
-    ``n`` options, the ``n - 1`` weakest removable ones, all ranked over the day by return. Dropping
-    the ``j``-th of a match multiplies the ticket count by ``(n - j) / (n - j + 1)``; an option goes
-    while the count before it is above the cap.
+    One by one, the option with the lowest return is dropped, never a model pick and never the last of its match. Matches
+    only shrink, so the order of removal is known in advance: of a match with ``n`` options, the ``n - 1`` weakest removable
+    ones, all ranked over the day by return. Dropping the ``j``-th of a match multiplies the ticket count by
+    ``(n - j) / (n - j + 1)``; an option goes while the count before it is above the cap.
+
+    So the options that go are those below a threshold of return. It is searched from sums: logarithms are added up per
+    (day, bucket of return) before any shuffle, running sums over a day's buckets show the bucket where the cap is crossed,
+    and only that bucket's options are put in order.
     """
     if rules.max_cost is None:
         return options
     match = W.partitionBy("day", "match_id")
     score = F.col("probability") * F.col("odds") * F.when(F.col("_same"), 2.0).otherwise(1.0)
     rows = options.withColumns({"_score": score, "_n": F.count("*").over(match)})
-    tickets = rows.where("_order = 1").groupBy("day").agg(F.sum(F.ln("_n")).alias("_tickets"))
-    over = tickets.where(F.exp("_tickets") * rules.stake > rules.max_cost + 1e-6)
-    loose = rows.where("not is_model_pick").join(over, "day").withColumn(
-        "_j", F.row_number().over(match.orderBy("_score", "_order"))).where("_j < _n")
-    loose = loose.withColumn("_log", F.ln((F.col("_n") - F.col("_j")) / (F.col("_n") - F.col("_j") + 1)))
-    ranked = running_within(
-        loose.select("day", "match_id", "_order", "_score", "_log", "_tickets"), ["day"], ["_score", "match_id", "_order"], "_log", "_sum")
-    before = F.exp(F.col("_tickets") + F.col("_sum") - F.col("_log")) * rules.stake
-    gone = ranked.where(before > rules.max_cost + 1e-6).select("day", "match_id", "_order")
-    return options.join(gone, ["day", "match_id", "_order"], "left_anti")
-
-
-def betting_package(candidates: DataFrame, rules: PackageRules) -> DataFrame:
+    # Model picks are last in line, so the others' places are those among themselves.
+    rows = rows.withColumn("_j", F.row_number().over(match.orderBy("is_model_pick", "_score", "_order")))
+    removable = ~F.col("is_model_pick") & (F.col("_j") < F.col("_n"))
+    rows = rows.withColumns({
+        "_log": F.when(removable, F.ln((F.col("_n") - F.col("_j")) / (F.col("_n") - F.col("_j") + 1))),
+        "_bucket": F.when(removable, F.floor(F.col("_score") * RETURN_BUCKETS))})
+    over = F.ln(F.lit((rules.max_cost + 1e-6) / rules.stake))
+    running = W.partitionBy("day").orderBy(F.asc_nulls_first("_bucket"))
+    # The rows without a bucket come first and carry all tickets of the day.
+    sums = rows.groupBy("day", "_bucket").agg(
+        F.coalesce(F.sum("_log"), F.lit(0.0)).alias("_sum"), F.sum(F.when(F.col("_order") == 1, F.ln("_n"))).alias("_tickets"))
+    sums = sums.withColumns({
+        "_all": F.sum("_tickets").over(W.partitionBy("day")),
+        "_after": F.sum("_sum").over(running.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    sums = sums.where("_bucket is not null").withColumn("_before", F.col("_all") + F.col("_after") - F.col("_sum"))
+    # Of the buckets that are begun above the cap, all but the last go whole.
+    crossed = sums.where(F.col("_before") > over).groupBy("day").agg(
+        F.max("_bucket").alias("_cross"), F.max_by("_before", "_bucket").alias("_start"))
+    rows = rows.join(crossed, "day", "left")
+    whole = F.col("_bucket").isNull() | F.col("_cross").isNull() | (F.col("_bucket") > F.col("_cross"))
+    inside = W.partitionBy("day").orderBy("_score", "match_id", "_order").rowsBetween(W.unboundedPreceding, -1)
+    edge = rows.where(F.col("_bucket") == F.col("_cross")).withColumn(
+        "_ahead", F.col("_start") + F.coalesce(F.sum("_log").over(inside), F.lit(0.0))).where(F.col("_ahead") <= over)
+    return rows.where(whole).select(*options.columns).unionByName(edge.select(*options.columns))
+
+
+def package_legs(candidates: DataFrame, rules: PackageRules, matches: DataFrame | None = None) -> DataFrame:
+    """One row per match of a day: ``options``, the structs that are played, empty if the match is skipped.
+
+    ``matches`` (day, match_id) names the matches of each day, by default those of the candidates. A day's legs are rows,
+    as a day has no bound; those of a match are one array of at most ``rules.max_options``.
+    """
+    every = (candidates if matches is None else matches).select("day", "match_id").distinct()
+    options = trim_to_cost(package_options(candidates, rules), rules)
+    played = options.groupBy("day", "match_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_order", F.struct(*[c for c in LEG if c != "match_id"]).alias("option")))),
+        lambda x: x["option"]).alias("options"))
+    return every.join(played, ["day", "match_id"], "left").withColumn("options", F.coalesce("options", F.array()))
+
+
+def betting_package(candidates: DataFrame, rules: PackageRules, matches: DataFrame | None = None) -> DataFrame:
     """One package per day: one or more options of each match, all combinations played.
 
-    ``candidates``: day, match_id, pos (place in the match), pool, selection, probability, odds,
-    expected_value, kelly, is_model_pick, model_pick, signal, conflict.
+    ``candidates``: day, match_id, pos (place in the match), pool, selection, probability, odds, expected_value, kelly,
+    is_model_pick, model_pick, signal, conflict. Every day of ``matches`` (see ``package_legs``) has a row; one with fewer
+    than two matches to play is not available and has a reason and no numbers. ``skipped`` counts matches without an option.
     """
-    options = package_options(candidates, rules)
-    if rules.max_cost is not None:
-        # Trimming reads the options three times; they are written once instead of computed thrice.
-        options = trim_to_cost(cut_lineage(options), rules)
-    groups = options.groupBy("day", "match_id").agg(
-        F.count("*").alias("n"), F.min("odds").alias("low"), F.max("odds").alias("high"),
-        F.least(F.lit(0.98), F.sum("probability")).alias("hit"), F.sum(F.col("probability") * F.col("odds")).alias("ret"),
-        F.sum("kelly").alias("kelly"), F.sum("expected_value").alias("ev"))
-    out = groups.groupBy("day").agg(
-        F.count("*").alias("matches"), F.sum("n").alias("selected_count"), F.product("n").alias("bet_count"),
-        F.product("low").alias("min_combined_odds"), F.product("high").alias("max_combined_odds"),
-        F.product("hit").alias("package_hit_probability"), F.product(F.col("ret") / F.col("n")).alias("_return"),
-        (F.sum("kelly") / F.sum("n")).alias("average_kelly"), (F.sum("ev") / F.sum("n")).alias("average_option_ev"))
-    return out.where("matches >= 2").withColumns({
+    options = F.col("options")
+    total = lambda c: F.aggregate(options[c], F.lit(0.0), lambda a, x: a + x)
+    legs = package_legs(candidates, rules, matches).withColumns({
+        "n": F.size("options"), "low": F.array_min(options["odds"]), "high": F.array_max(options["odds"]),
+        "hit": F.least(F.lit(0.98), total("probability")),
+        "ret": F.aggregate(options, F.lit(0.0), lambda a, o: a + o["probability"] * o["odds"]),
+        "kelly": total("kelly"), "ev": total("expected_value")})
+    played = F.col("n") > 0
+    of = lambda c: F.when(played, c)
+    out = legs.groupBy("day").agg(
+        F.count_if(played).alias("matches"), F.count_if(~played).alias("skipped"), F.sum("n").alias("selected_count"),
+        F.product(of(F.col("n"))).alias("bet_count"), F.product("low").alias("min_combined_odds"), F.product("high").alias("max_combined_odds"),
+        F.product(of(F.col("hit"))).alias("package_hit_probability"), F.product(of(F.col("ret") / F.col("n"))).alias("_return"),
+        (F.sum("kelly") / F.sum(of(F.col("n")))).alias("average_kelly"), (F.sum("ev") / F.sum(of(F.col("n")))).alias("average_option_ev"))
+    enough = F.col("matches") >= 2
+    out = out.withColumns({
         "total_cost": F.col("bet_count") * rules.stake, "expected_value": F.col("_return") - 1,
-        "available": F.col("_return") - 1 > -0.12}).drop("_return")
-
-
+        "theoretical_max_prize": F.col("max_combined_odds") * rules.stake,
+        "play_type": F.concat(F.col("matches").cast("string"), F.lit(COMBINED))})
+    numbers = ("bet_count", "min_combined_odds", "max_combined_odds", "package_hit_probability", "average_kelly", "average_option_ev",
+               "total_cost", "expected_value", "theoretical_max_prize", "play_type", "selected_count")
+    return out.withColumns({
+        **{c: F.when(enough, F.col(c)) for c in numbers},
+        "available": enough & (F.col("_return") - 1 > -0.12),
+        "reason": F.when(~enough, TOO_FEW_MATCHES).when(F.col("_return") <= 1, LOW_VALUE).otherwise("")}).drop("_return")

@@ -86,7 +86,7 @@ def text_dates(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_probabilities(spark: SparkSession, folder: str) -> DataFrame:
     """Four component models' 1X2 probabilities with the true label (0 home, 1 draw, 2 away)."""
-    base = _lineitem_matches(spark, folder).selectExpr(
+    base = table(spark, folder, "lineitem").selectExpr(
         f"{MATCH_ID} as match_id",
         "to_date(l_shipdate) as date",
         f"{TOURNAMENT} as tournament",
@@ -284,7 +284,7 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def goal_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return _lineitem_matches(spark, folder).selectExpr(
+    return table(spark, folder, "lineitem").selectExpr(
         f"{MATCH_ID} as match_id",
         "0.2 + l_quantity / 20 + l_extendedprice / 7654321D as home_lambda",
         "0.2 + l_linenumber / 3 as away_lambda",
@@ -294,7 +294,7 @@ def goal_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def market_matches(spark: SparkSession, folder: str) -> DataFrame:
     """One row per match with both pools' odds and probabilities, strength and mood signals."""
-    rows = _lineitem_matches(spark, folder).selectExpr(
+    rows = table(spark, folder, "lineitem").selectExpr(
         f"{MATCH_ID} as match_id", "to_date(l_shipdate) as day",
         "1 + l_linenumber + l_extendedprice / 7654321D as a", "cast(1 + l_partkey % 7 as double) as b", "cast(1 + l_suppkey % 5 as double) as c",
         "1.1 + l_discount * 20 + l_extendedprice / 7654321D as home_odds", "2.6 + l_tax * 10 + l_extendedprice / 7654321D as draw_odds", "1.2 + l_quantity / 12 + l_extendedprice / 7654321D as away_odds",

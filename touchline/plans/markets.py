@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import poisson
@@ -285,17 +287,33 @@ def package_candidates(spark: SparkSession, folder: str) -> DataFrame:
                        "is_model_pick", "model_pick", "signal", "conflict")
 
 
+def legs_text(legs: Column, *fields: str) -> Column:
+    """Legs as comparable text."""
+    return F.array_join(F.transform(legs, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ",")
+
+
 def parlay_plan(spark: SparkSession, folder: str) -> DataFrame:
-    out = sel.parlay_plan(package_candidates(spark, folder), "day").withColumn("available", F.col("available").cast("int"))
-    return show(out, ["day", "available"], ["combined_odds", "combined_probability", "expected_value", "full_kelly", "stake_fraction"], ["legs"])
+    out = sel.parlay_plan(package_candidates(spark, folder), "day").withColumns(
+        {"available": F.col("available").cast("int"), "leg_count": F.size("legs"), "legs": legs_text(F.col("legs"), "match_id", "pos", "selection")})
+    return show(out, ["day", "available", "reason", "play_type", "legs"],
+                ["combined_odds", "combined_probability", "expected_value", "full_kelly", "stake_fraction"], ["leg_count"])
+
 
+def parlay_plan_model_picks(spark: SparkSession, folder: str) -> DataFrame:
+    """Two legs, model picks only."""
+    out = sel.parlay_plan(package_candidates(spark, folder), "day", 2, min_probability=0.3, require_model_pick=True)
+    out = out.withColumns({"available": F.col("available").cast("int"), "legs": legs_text(F.col("legs"), "match_id", "pos")})
+    return show(out, ["day", "available", "reason", "legs"], ["combined_odds", "stake_fraction"])
 
-def package_result(out: DataFrame) -> DataFrame:
+
+def package_result(out: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Comparable package columns; the large products as logarithms."""
-    logs = {f"log_{n}": F.ln(n) for n in ("total_cost", "min_combined_odds", "max_combined_odds", "bet_count", "package_hit_probability")}
+    logs = {f"log_{n}": F.ln(n) for n in ("total_cost", "min_combined_odds", "max_combined_odds", "bet_count", "package_hit_probability",
+                                          "theoretical_max_prize")}
     out = out.withColumns(logs).withColumn("available", F.col("available").cast("int"))
-    return out.select(F.col("day").cast("string").alias("day"), "available", *[r6(n) for n in logs],
-                      r6("average_kelly"), r6("average_option_ev"), *[F.col(n).cast("bigint").alias(n) for n in ("matches", "selected_count")])
+    return out.select(F.col("day").cast("string").alias("day"), *keys, "available", "reason", "play_type", *[r6(n) for n in logs],
+                      r6("average_kelly"), r6("average_option_ev"),
+                      *[F.col(n).cast("bigint").alias(n) for n in ("matches", "skipped", "selected_count")])
 
 
 def betting_package(spark: SparkSession, folder: str) -> DataFrame:
@@ -307,9 +325,17 @@ def betting_package_aggressive(spark: SparkSession, folder: str) -> DataFrame:
     return package_result(sel.betting_package(package_candidates(spark, folder), sel.PACKAGES["wdl_aggressive"]))
 
 
+def package_legs(spark: SparkSession, folder: str) -> DataFrame:
+    """The options that the conservative package plays of every match, in order; none for a skipped match."""
+    out = sel.package_legs(package_candidates(spark, folder), sel.PACKAGES["wdl_conservative"])
+    return out.select(F.col("day").cast("string").alias("day"), "match_id", F.size("options").alias("n"),
+                      legs_text(F.col("options"), "pos", "selection").alias("options"))
+
+
 QUERIES = {f.__name__: f for f in (
     snapshot_diff, largest_moves, stream_odds_changes, asof_lag_odds, odds_move_score, market_decision, edge_report,
     stream_large_buys, trade_to_match, match_large_buys, signal_attach, crs_implied, shortest_odds, pool_board, pivot_outcomes,
     live_odds_overlay, schedule_join, fixture_lookup, unlisted_fixtures, open_match_count, poisson_grid, top_exact_scores,
     poisson_handicap, selection_edge, strength_adjust, motivation_adjust, sentiment_diff, sentiment_adjust,
-    market_signal_adjust, favorite_guard, exact_score_candidates, parlay_plan, betting_package, betting_package_aggressive)}
+    market_signal_adjust, favorite_guard, exact_score_candidates, parlay_plan, parlay_plan_model_picks, betting_package, betting_package_aggressive,
+    package_legs)}

@@ -15,7 +15,7 @@ from touchline.operators import bundle, dispersion, evaluate as ev, features, fo
 from touchline.operators.matchclean import match_flags, result_label
 from touchline.plans import carriers as c
 from touchline.plans.common import show
-from touchline.plans.markets import decisions, guarded, score_candidates
+from touchline.plans.markets import decisions, guarded, package_result, score_candidates
 from touchline.plans.people import lineup
 from touchline.plans.sources import latest_snapshots
 from touchline.session import checkpoint_dir, cut_lineage
@@ -270,8 +270,7 @@ def daily_advice(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0.0).alias("signal"), F.lit(False).alias("conflict"))
     parts = [sel.betting_package(wdl if name.startswith("wdl") else scores, rules).withColumn("package", F.lit(name))
              for name, rules in sel.PACKAGES.items()]
-    out = splits.combined(parts)
-    return show(out, ["day", "package", "available"], ["total_cost", "expected_value", "package_hit_probability"], ["matches", "selected_count"])
+    return package_result(splits.combined(parts), ["package"])
 
 
 def match_board(spark: SparkSession, folder: str) -> DataFrame:
