@@ -229,9 +229,9 @@ def parlay_sql(most: int, least: float, picks: bool) -> dict[str, str]:
 ADVICE = {
     "gh": """SELECT match_id, line, i, j, exp(i * ln(home_lambda) - home_lambda) / factorial(CAST(i AS INTEGER)) * exp(j * ln(away_lambda) - away_lambda) / factorial(CAST(j AS INTEGER)) AS w
       FROM c_market, range(9) x(i), range(9) y(j)""",
-    "hp": """SELECT match_id, sum(w) FILTER (i + line - j > 1e-9) / sum(w) AS p3, sum(w) FILTER (abs(i + line - j) <= 1e-9) / sum(w) AS p4,
-      sum(w) FILTER (i + line - j < -1e-9) / sum(w) AS p5 FROM gh GROUP BY match_id""",
-    "own": """SELECT * REPLACE (coalesce(CASE WHEN pos = 3 AND p3 > 0 THEN p3 WHEN pos = 4 AND p4 > 0 THEN p4 WHEN pos = 5 AND p5 > 0 THEN p5 END, probability) AS probability)
+    "hp": """SELECT match_id, sum(w) FILTER (i + line - j > 1e-9) / sum(w) AS hp3, sum(w) FILTER (abs(i + line - j) <= 1e-9) / sum(w) AS hp4,
+      sum(w) FILTER (i + line - j < -1e-9) / sum(w) AS hp5 FROM gh GROUP BY match_id""",
+    "own": """SELECT * REPLACE (coalesce(CASE WHEN pos = 3 AND hp3 > 0 THEN hp3 WHEN pos = 4 AND hp4 > 0 THEN hp4 WHEN pos = 5 AND hp5 > 0 THEN hp5 END, probability) AS probability)
       FROM c_selections JOIN hp USING (match_id)""",
     "felt": """SELECT * REPLACE (CASE WHEN sentiment_diff IS NULL OR dir = 0 THEN probability
         ELSE greatest(0.001, least(0.98, probability * (1 + 0.035 * sentiment_diff * dir))) END AS probability)

@@ -135,12 +135,28 @@ def sole_in_block(left: DataFrame, right: DataFrame, left_id: str, block: Sequen
     return left.join(single, keys).select(left_id, "_row.*")
 
 
-def _runs(text: Column, shortest: int, longest: int) -> Column:
-    """Distinct substrings of ``shortest`` to ``longest`` letters."""
-    return F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(shortest), F.greatest(F.lit(shortest), F.least(F.length(text), F.lit(longest)))),
-        lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, n)),
-                           lambda s: F.length(s) == n))))
+def _compact(name: str) -> Column:
+    return F.replace(name, F.lit(" "), F.lit(""))
+
+
+def _runs(text: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` letters."""
+    return F.array_distinct(F.filter(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substring(text, i, size)),
+        lambda s: F.length(s) == size))
+
+
+def _indexed(names: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key of a name: its tokens (with their number), its runs of letters, and its shorter runs (with a mark
+    where one is the whole text)."""
+    tokens, text = name_tokens(F.col("_name")), _compact("_name")
+
+    def entries(kind: str, of: Column, whole: Column) -> Column:
+        return F.transform(of, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), (whole == k).alias("_whole")))
+
+    listed = F.concat(entries("token", tokens, text), entries("run", _runs(text, RUN), text),
+                      *[entries("short", _runs(text, n), text) for n in range(1, RUN)])
+    return names.select(*keys, "_name", "_seq", F.size(tokens).alias("_size"), F.inline(listed))
 
 
 def fuzzy_block_match(left: DataFrame, right: DataFrame, left_id: str, names: str, right_name: str, block: Sequence[str],
@@ -157,63 +173,47 @@ def fuzzy_block_match(left: DataFrame, right: DataFrame, left_id: str, names: st
     """
     keys = list(block)
     l = left.dropna(subset=keys).select(F.col(left_id).alias("_id"), *keys, F.posexplode(names).alias("_pos", "_name")).where("_name <> ''")
+    l = cut_lineage(l)
     # Copies of a name in a block are one target: the first of them.
-    r = (
-        right.dropna(subset=keys).where(F.length(right_name) > 0).groupBy(*keys, F.col(right_name).alias("_other"))
-        .agg(F.min_by(F.struct(F.col(seq).alias("seq"), F.struct(*payload).alias("row")), seq).alias("_r"))
-    )
-    r = cut_lineage(r.join(l.select(*keys).distinct(), keys, "left_semi"))
-    l = cut_lineage(l.join(r.select(*keys).distinct(), keys, "left_semi"))
-    compact = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    ours = l.select(*keys, "_name").distinct().withColumns({"_l": name_tokens(F.col("_name")), "_lc": compact(F.col("_name"))})
-    theirs = r.select(*keys, "_other", F.col("_r.seq").alias("_seq")).withColumns(
-        {"_o": name_tokens(F.col("_other")), "_oc": compact(F.col("_other"))})
-    l_tokens, r_tokens = (d.withColumn("token", F.explode(c)) for d, c in ((ours, "_l"), (theirs, "_o")))
-
-    def needed(entries: DataFrame, others: DataFrame, name: str, list_: str) -> DataFrame:
-        """Of each list of two or more tokens the rarest ones, of which a list sharing enough has at least one."""
-        ordered = _rarest(entries.where(F.size(list_) > 1), others.select(*keys, "token"), [*keys, name, list_], "token")
-        size = F.size(list_)
-        return ordered.select(*keys, name, list_, F.explode(
-            F.slice("_order", F.lit(1), (size - F.ceil(size * F.lit(accept) - 1e-9) + 1).cast("int"))["key"]).alias("token"))
-
-    pair = [*keys, "_name", "_other"]
-    shorter = needed(l_tokens, r_tokens, "_name", "_l").join(
-        r_tokens.select(*keys, "token", "_other", "_o"), [*keys, "token"]).where(F.size("_l") <= F.size("_o"))
-    longer = needed(r_tokens, l_tokens, "_other", "_o").join(
-        l_tokens.select(*keys, "token", "_name", "_l"), [*keys, "token"]).where(F.size("_o") < F.size("_l"))
-    columns = [*pair, "_l", "_o"]
-    overlap = shorter.select(*columns).unionByName(longer.select(*columns)).distinct().withColumn(
-        "_score", F.size(F.array_intersect("_l", "_o")) / F.least(F.size("_l"), F.size("_o"))).where(F.col("_score") >= accept)
-    first_of = lambda d, *by: d.groupBy(*keys, *by).agg(F.min_by("_other", "_seq").alias("_other"))
-    single = l_tokens.where(F.size("_l") == 1).join(first_of(r_tokens, "token"), [*keys, "token"]).select(*pair).unionByName(
-        l_tokens.join(first_of(r_tokens.where(F.size("_o") == 1), "token"), [*keys, "token"]).select(*pair))
-
-    l_runs, r_runs = (d.withColumn("run", F.explode(_runs(F.col(c), 1, RUN))) for d, c in ((ours, "_lc"), (theirs, "_oc")))
-    is_run = F.length("run") == RUN
-
-    def inside(entries: DataFrame, others: DataFrame, name: str, text: str) -> DataFrame:
-        """The rarest run of each text; a run that no other text has rules it out."""
-        ordered = _rarest(entries.where(is_run), others.where(is_run).select(*keys, "run"), [*keys, name, text], "run")
-        return ordered.where(F.col("_order")[0]["n"] > 0).select(*keys, name, text, F.col("_order")[0]["key"].alias("run"))
-
-    holds = (
-        inside(l_runs, r_runs, "_name", "_lc").join(r_runs.select(*keys, "run", "_other", "_oc"), [*keys, "run"])
-        .where(F.contains("_oc", "_lc")).select(*pair)
-        .unionByName(inside(r_runs, l_runs, "_other", "_oc").join(l_runs.select(*keys, "run", "_name", "_lc"), [*keys, "run"])
-                     .where(F.contains("_lc", "_oc")).select(*pair))
-        .unionByName(ours.where(F.length("_lc") < RUN).withColumn("run", F.col("_lc")).join(first_of(r_runs, "run"), [*keys, "run"]).select(*pair))
-        .unionByName(l_runs.join(first_of(theirs.where(F.length("_oc") < RUN).withColumn("run", F.col("_oc")), "run"), [*keys, "run"]).select(*pair))
+    r = cut_lineage(
+        right.dropna(subset=keys).where(F.length(right_name) > 0).join(l.select(*keys).distinct(), keys, "left_semi")
+        .groupBy(*keys, F.col(right_name).alias("_name"))
+        .agg(F.min_by(F.struct(F.col(seq).alias("seq"), F.struct(*payload).alias("row")), seq).alias("_r")))
+    ours = cut_lineage(_indexed(l.join(r.select(*keys).distinct(), keys, "left_semi").select(*keys, "_name").distinct().withColumn("_seq", F.lit(0)), keys))
+    theirs = cut_lineage(_indexed(r.select(*keys, "_name", F.col("_r.seq").alias("_seq")), keys))
+    at = [*keys, "kind", "key"]
+
+    def needed(entries: DataFrame, others: DataFrame) -> DataFrame:
+        """The keys of which a name that matches enough has at least one: its rarest tokens, its rarest run."""
+        ordered = _rarest(entries.where("kind = 'run' or kind = 'token' and _size > 1"), others.select(*at), [*keys, "_name", "kind"], "key")
+        size = F.size("_order")
+        count = F.when(F.col("kind") == "run", 1).otherwise(size - F.ceil(size * F.lit(accept) - 1e-9) + 1)
+        return ordered.select(*keys, "_name", "kind", F.explode(F.slice("_order", F.lit(1), count.cast("int"))["key"]).alias("key"))
+
+    def first_of(entries: DataFrame) -> DataFrame:
+        return entries.where("kind <> 'run'").groupBy(*at).agg(F.min_by("_name", "_seq").alias("_other"))
+
+    all_of = lambda d, name: d.select(*at, F.col("_name").alias(name))
+    alone = "kind = 'token' and _size = 1 or kind = 'short' and _whole"
+    pairs = (
+        all_of(theirs, "_other").join(needed(ours, theirs), at).select(*keys, "_name", "_other")
+        .unionByName(all_of(ours, "_name").join(needed(theirs, ours).withColumnRenamed("_name", "_other"), at).select(*keys, "_name", "_other"))
+        .unionByName(all_of(ours.where(alone), "_name").join(first_of(theirs), at).select(*keys, "_name", "_other"))
+        .unionByName(all_of(ours, "_name").join(first_of(theirs.where(alone)), at).select(*keys, "_name", "_other"))
+        .distinct()
     )
-    found = overlap.select(*pair, "_score").unionByName(single.withColumn("_score", F.lit(1.0))).unionByName(
-        holds.withColumn("_score", F.lit(contained)))
+    x, y = name_tokens(F.col("_name")), name_tokens(F.col("_other"))
+    floor = F.least(F.size(x), F.size(y))
+    u, v = _compact("_name"), _compact("_other")
+    overlap = F.size(F.array_intersect(x, y)) / floor
+    score = F.when(F.contains(u, v) | F.contains(v, u), F.greatest(overlap, F.lit(contained))).otherwise(overlap)
+    scored = pairs.withColumns({"_score": score, "_floor": floor}).where(F.col("_score") >= accept)
+    rows = r.select(*keys, F.col("_name").alias("_other"), "_r")
     # One best right row per name, then per left row.
-    size = lambda c: F.size(name_tokens(F.col(c)))
-    best = found.join(theirs.select(*keys, "_other", "_seq"), [*keys, "_other"]).groupBy(*keys, "_name").agg(
-        F.min_by(F.struct("_other", "_seq", "_score"), F.struct(-F.col("_score"), "_seq")).alias("_b")).select(
-        *keys, "_name", "_b.*").withColumn("_floor", F.least(size("_name"), size("_other")))
+    best = scored.join(rows.select(*keys, "_other", F.col("_r.seq").alias("_seq")), [*keys, "_other"]).groupBy(*keys, "_name").agg(
+        F.min_by(F.struct("_other", "_seq", "_score", "_floor"), F.struct(-F.col("_score"), "_seq")).alias("_b"))
     chosen = l.join(best, [*keys, "_name"]).groupBy("_id").agg(
-        F.min_by(F.struct(*keys, "_other", "_score", "_floor"), F.struct(-F.col("_score"), "_seq", "_pos")).alias("_m")).where(
-        (F.col("_m._score") >= accept) & (F.col("_m._floor") >= min_tokens))
-    return chosen.select("_id", "_m.*").join(r, [*keys, "_other"]).select(
+        F.min_by(F.struct(*keys, "_b._other", "_b._score", "_b._floor"), F.struct(-F.col("_b._score"), "_b._seq", "_pos")).alias("_m")).where(
+        F.col("_m._floor") >= min_tokens)
+    return chosen.select("_id", "_m.*").join(rows, [*keys, "_other"]).select(
         F.col("_id").alias(left_id), F.round("_score", 2).alias("match_score"), "_r.row.*")

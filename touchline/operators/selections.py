@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from touchline.functions.numbers import clip
 from touchline.functions.text import score_outcome
 from touchline.operators.scan import keep_one
+from touchline.session import cut_lineage
 
 HAD, HHAD, CRS = "HAD 胜平负", "HHAD 让球胜平负", "CRS 比分"
 
@@ -322,18 +323,26 @@ def trim_to_cost(options: DataFrame, rules: PackageRules) -> DataFrame:
     return rows.where(whole).select(*options.columns).unionByName(edge.select(*options.columns))
 
 
+def _played(candidates: DataFrame, rules: PackageRules) -> DataFrame:
+    options = package_options(candidates, rules)
+    # Trimming reads the options three times; they are written once instead of computed thrice.
+    return options if rules.max_cost is None else trim_to_cost(cut_lineage(options), rules)
+
+
+def _every(candidates: DataFrame, matches: DataFrame | None) -> DataFrame:
+    return (candidates if matches is None else matches).select("day", "match_id").distinct()
+
+
 def package_legs(candidates: DataFrame, rules: PackageRules, matches: DataFrame | None = None) -> DataFrame:
     """One row per match of a day: ``options``, the structs that are played, empty if the match is skipped.
 
     ``matches`` (day, match_id) names the matches of each day, by default those of the candidates. A day's legs are rows,
     as a day has no bound; those of a match are one array of at most ``rules.max_options``.
     """
-    every = (candidates if matches is None else matches).select("day", "match_id").distinct()
-    options = trim_to_cost(package_options(candidates, rules), rules)
-    played = options.groupBy("day", "match_id").agg(F.transform(
+    played = _played(candidates, rules).groupBy("day", "match_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_order", F.struct(*[c for c in LEG if c != "match_id"]).alias("option")))),
         lambda x: x["option"]).alias("options"))
-    return every.join(played, ["day", "match_id"], "left").withColumn("options", F.coalesce("options", F.array()))
+    return _every(candidates, matches).join(played, ["day", "match_id"], "left").withColumn("options", F.coalesce("options", F.array()))
 
 
 def betting_package(candidates: DataFrame, rules: PackageRules, matches: DataFrame | None = None) -> DataFrame:
@@ -343,28 +352,26 @@ def betting_package(candidates: DataFrame, rules: PackageRules, matches: DataFra
     is_model_pick, model_pick, signal, conflict. Every day of ``matches`` (see ``package_legs``) has a row; one with fewer
     than two matches to play is not available and has a reason and no numbers. ``skipped`` counts matches without an option.
     """
-    options = F.col("options")
-    total = lambda c: F.aggregate(options[c], F.lit(0.0), lambda a, x: a + x)
-    legs = package_legs(candidates, rules, matches).withColumns({
-        "n": F.size("options"), "low": F.array_min(options["odds"]), "high": F.array_max(options["odds"]),
-        "hit": F.least(F.lit(0.98), total("probability")),
-        "ret": F.aggregate(options, F.lit(0.0), lambda a, o: a + o["probability"] * o["odds"]),
-        "kelly": total("kelly"), "ev": total("expected_value")})
-    played = F.col("n") > 0
-    of = lambda c: F.when(played, c)
-    out = legs.groupBy("day").agg(
-        F.count_if(played).alias("matches"), F.count_if(~played).alias("skipped"), F.sum("n").alias("selected_count"),
-        F.product(of(F.col("n"))).alias("bet_count"), F.product("low").alias("min_combined_odds"), F.product("high").alias("max_combined_odds"),
-        F.product(of(F.col("hit"))).alias("package_hit_probability"), F.product(of(F.col("ret") / F.col("n"))).alias("_return"),
-        (F.sum("kelly") / F.sum(of(F.col("n")))).alias("average_kelly"), (F.sum("ev") / F.sum(of(F.col("n")))).alias("average_option_ev"))
-    enough = F.col("matches") >= 2
-    out = out.withColumns({
+    groups = _played(candidates, rules).groupBy("day", "match_id").agg(
+        F.count("*").alias("n"), F.min("odds").alias("low"), F.max("odds").alias("high"),
+        F.least(F.lit(0.98), F.sum("probability")).alias("hit"), F.sum(F.col("probability") * F.col("odds")).alias("ret"),
+        F.sum("kelly").alias("kelly"), F.sum("expected_value").alias("ev"))
+    metrics = groups.groupBy("day").agg(
+        F.count("*").alias("_played"), F.sum("n").alias("selected_count"), F.product("n").alias("bet_count"),
+        F.product("low").alias("min_combined_odds"), F.product("high").alias("max_combined_odds"),
+        F.product("hit").alias("package_hit_probability"), F.product(F.col("ret") / F.col("n")).alias("_return"),
+        (F.sum("kelly") / F.sum("n")).alias("average_kelly"), (F.sum("ev") / F.sum("n")).alias("average_option_ev")
+    ).withColumns({
         "total_cost": F.col("bet_count") * rules.stake, "expected_value": F.col("_return") - 1,
         "theoretical_max_prize": F.col("max_combined_odds") * rules.stake,
-        "play_type": F.concat(F.col("matches").cast("string"), F.lit(COMBINED))})
+        "play_type": F.concat(F.col("_played").cast("string"), F.lit(COMBINED))})
+    days = _every(candidates, matches).groupBy("day").agg(F.count("*").alias("_listed"))
     numbers = ("bet_count", "min_combined_odds", "max_combined_odds", "package_hit_probability", "average_kelly", "average_option_ev",
                "total_cost", "expected_value", "theoretical_max_prize", "play_type", "selected_count")
+    out = days.join(metrics, "day", "left").withColumn("matches", F.coalesce("_played", F.lit(0)))
+    enough = F.col("matches") >= 2
     return out.withColumns({
-        **{c: F.when(enough, F.col(c)) for c in numbers},
-        "available": enough & (F.col("_return") - 1 > -0.12),
-        "reason": F.when(~enough, TOO_FEW_MATCHES).when(F.col("_return") <= 1, LOW_VALUE).otherwise("")}).drop("_return")
+        "skipped": F.col("_listed") - F.col("matches"), **{c: F.when(enough, F.col(c)) for c in numbers},
+        "available": F.coalesce(enough & (F.col("_return") - 1 > -0.12), F.lit(False)),
+        "reason": F.when(~enough, TOO_FEW_MATCHES).when(F.col("_return") <= 1, LOW_VALUE).otherwise("")
+    }).drop("_return", "_played", "_listed")

@@ -318,16 +318,18 @@ def package_result(out: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def betting_package(spark: SparkSession, folder: str) -> DataFrame:
     """The conservative 1X2/handicap package of every day."""
-    return package_result(sel.betting_package(package_candidates(spark, folder), sel.PACKAGES["wdl_conservative"]))
+    return package_result(sel.betting_package(
+        package_candidates(spark, folder), sel.PACKAGES["wdl_conservative"], c.market_matches(spark, folder)))
 
 
 def betting_package_aggressive(spark: SparkSession, folder: str) -> DataFrame:
-    return package_result(sel.betting_package(package_candidates(spark, folder), sel.PACKAGES["wdl_aggressive"]))
+    return package_result(sel.betting_package(
+        package_candidates(spark, folder), sel.PACKAGES["wdl_aggressive"], c.market_matches(spark, folder)))
 
 
 def package_legs(spark: SparkSession, folder: str) -> DataFrame:
     """The options that the conservative package plays of every match, in order; none for a skipped match."""
-    out = sel.package_legs(package_candidates(spark, folder), sel.PACKAGES["wdl_conservative"])
+    out = sel.package_legs(package_candidates(spark, folder), sel.PACKAGES["wdl_conservative"], c.market_matches(spark, folder))
     return out.select(F.col("day").cast("string").alias("day"), "match_id", F.size("options").alias("n"),
                       legs_text(F.col("options"), "pos", "selection").alias("options"))
 

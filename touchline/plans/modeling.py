@@ -268,7 +268,7 @@ def daily_advice(spark: SparkSession, folder: str) -> DataFrame:
     scores = score_candidates(spark, folder).select(
         "day", "match_id", "pos", "pool", "selection", "probability", "odds", "expected_value", "kelly", "is_model_pick", "model_pick",
         F.lit(0.0).alias("signal"), F.lit(False).alias("conflict"))
-    parts = [sel.betting_package(wdl if name.startswith("wdl") else scores, rules).withColumn("package", F.lit(name))
+    parts = [sel.betting_package(wdl if name.startswith("wdl") else scores, rules, c.market_matches(spark, folder)).withColumn("package", F.lit(name))
              for name, rules in sel.PACKAGES.items()]
     return package_result(splits.combined(parts), ["package"])
 
