@@ -19,6 +19,19 @@ def test_trades_by_whole_names(spark):
     assert ("c", "m4") not in {(r.trade_id, r.match_key) for r in market.attribute_trades(trades, games).collect()}
 
 
+def test_names_of_any_length(spark):
+    long = "Democratic Republic of the Congo"
+    trades = spark.createDataFrame([
+        ("a", f"Exact Score: {long} vs Ivory Coast 2026-06-14", "", None), ("b", "Exact Score: Republic of the Congo vs Ivory Coast 2026-06-14", "", None),
+        ("c", "Exact score", "x", "the-united-kingdom-of-great-britain-and-northern-ireland-ivory-coast-2026-06-14"), ("d", "Exact Score " + "word " * 3000 + long, "2026-06-14", "ivory coast")],
+        "trade_id string, title string, slug string, eventSlug string")
+    games = spark.createDataFrame([("m1", "2026-06-14", long, "Ivory Coast"), ("m2", "2026-06-14", "UK", "Ivory Coast")],
+                                  "match_key string, date string, home_team string, away_team string")
+    aliases = spark.createDataFrame([("UK", "The United Kingdom of Great Britain and Northern Ireland"), ("UK", "  ")], "team string, alias string")
+    got = {(r.trade_id, r.match_key) for r in market.attribute_trades(trades, games, aliases=aliases).collect()}
+    assert got == {("a", "m1"), ("c", "m2"), ("d", "m1")}
+
+
 def test_page_links(spark):
     html = "<p>" + "".join(f"<a href='/player/{i}/jo-doe/'>x</a> {'words ' * 20}</p>" for i in range(8)) + " 87 Overall rating " + "z " * 900
     df = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string")

@@ -37,15 +37,6 @@ def test_running_sum_and_previous_row(skewed):
     np.testing.assert_allclose(got["previous_v"].astype(float), ordered.groupby("k")["v"].shift(1))
 
 
-@pytest.mark.parametrize("size", [1, 2, 5, 100, 101])
-def test_exact_medians(spark, size):
-    rng = np.random.default_rng(size)
-    pdf = pd.DataFrame({"a": rng.integers(0, 4, size) * 1.0, "b": rng.normal(size=size)})
-    pdf.loc[pdf.index % 3 == 1, "a"] = None
-    row = scan.exact_medians(spark.createDataFrame(pdf).replace(float("nan"), None), ["a", "b"]).first()
-    assert row.a == pytest.approx(pdf["a"].median()) and row.b == pytest.approx(pdf["b"].median())
-
-
 def test_keep_one(spark):
     df = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("y", 5, None)], "k string, seq int, v string")
     assert {(r.k, r.v) for r in scan.keep_one(df, ["k"], ["seq"]).collect()} == {("x", "a"), ("y", None)}

@@ -90,48 +90,6 @@ def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket:
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the exact interpolated median of every column (nulls skipped).
-
-    Values are counted per (column, value) map-side, sorted globally, and only the sort partitions
-    that hold a middle rank are searched, so no task ever holds a whole column.
-    """
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    counted = (
-        df.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, value)")
-        .where("value is not null")
-        .groupBy("feature", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    placed = _positions(counted, ["feature", "value"])
-    parts = placed.groupBy("feature", "_part").agg(F.sum("n").alias("_n"))
-    inside = W.partitionBy("feature")
-    spans = parts.select(
-        "feature", "_part",
-        F.coalesce(F.sum("_n").over(inside.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_skip"),
-        "_n", F.sum("_n").over(inside).alias("_total"),
-    ).withColumns({
-        "_low": F.floor((F.col("_total") - 1) / 2), "_high": F.ceil((F.col("_total") - 1) / 2),
-    }).where("(_low >= _skip and _low < _skip + _n) or (_high >= _skip and _high < _skip + _n)")
-    running = F.sum("n").over(
-        W.partitionBy("feature", "_part").orderBy("_idx").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    # At most two partitions per column survive, and the span table has at most two rows per column.
-    hits = (
-        placed.join(F.broadcast(spans), ["feature", "_part"])
-        .withColumn("_upto", F.col("_skip") + running)
-        .groupBy("feature")
-        .agg(
-            F.min(F.when(F.col("_upto") > F.col("_low"), F.col("value"))).alias("low"),
-            F.min(F.when(F.col("_upto") > F.col("_high"), F.col("value"))).alias("high"),
-        )
-        .select("feature", ((F.col("low") + F.col("high")) / 2).alias("median"))
-    )
-    return hits.groupBy().agg(
-        *[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in columns]
-    )
-
-
 def running_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: str, out: str) -> DataFrame:
     """Running sum of ``value`` inside each group in ``order``; a group may hold any share of rows.
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from touchline.functions import poisson
 from touchline.functions.numbers import to_number
-from touchline.operators import bundle, dispersion, evaluate as ev, features, form, models, ratings, scan, selections as sel, splits, squads
+from touchline.operators import bundle, dispersion, evaluate as ev, features, form, models, ratings, selections as sel, splits, squads
 from touchline.operators.matchclean import match_flags, result_label
+from touchline.operators.selection import exact_medians
 from touchline.plans import carriers as c
 from touchline.plans.common import show
 from touchline.plans.markets import decisions, guarded, package_result, score_candidates
@@ -64,7 +65,7 @@ def median_frame(spark: SparkSession, folder: str) -> DataFrame:
 def train_slice_medians(spark: SparkSession, folder: str) -> DataFrame:
     rows = median_frame(spark, folder).withColumn("f_text", to_number("f_text"))
     train = splits.time_split(rows, ["date", "match_id"]).where("split_80_20 = 'train'")
-    return scan.exact_medians(train, MEDIAN)
+    return exact_medians(train, MEDIAN)
 
 
 def train_medians(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,7 +162,7 @@ def _fitted(application: str, folder: str, path: str, rounds: int, trees: int) -
     spark = SparkSession.getActiveSession()
     train, _ = model_rows(spark, folder)
     train = cut_lineage(train)
-    fitted = bundle.fit(train, MODEL_FEATURES, scan.exact_medians(train, MODEL_FEATURES), DEFAULT_WEIGHTS, rounds, trees)
+    fitted = bundle.fit(train, MODEL_FEATURES, exact_medians(train, MODEL_FEATURES), DEFAULT_WEIGHTS, rounds, trees)
     fitted.save(path)
 
 

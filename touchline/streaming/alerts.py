@@ -11,9 +11,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from touchline.operators.joins import upsert_results
-from touchline.operators.market import ODDS_KEY, attribute_trades
+from touchline.operators.market import ODDS_KEY, TRADE_TEXTS, attribute_trades
 from touchline.functions.text import is_tournament_trade
+from touchline.sources import versions
 from touchline.sources.sinks import live_rows
 
 CHANGE_SCHEMA = """event_id bigint, match_id string, pool_code string, outcome string, fetched_at timestamp, odds double,
@@ -21,41 +21,97 @@ CHANGE_SCHEMA = """event_id bigint, match_id string, pool_code string, outcome s
 
 
 class LastOdds(StatefulProcessor):
-    """Keeps the last odds of a key and reports moves of at least ``min_change``.
+    """Reports moves of at least ``min_change`` between a key's odds in event order, whatever order they arrive in.
 
-    A micro-batch may hold many rows of a hot key: they arrive in Arrow batches, only the last odds
-    is state. Rows of one micro-batch are taken in event order.
+    Rows wait in state, by (time, event), until the watermark has passed them; an event-time timer then compares them in
+    order with the odds before them. So a row that is late within the watermark's delay is compared with what was known at
+    its time; later ones are left out, mostly by Spark, which counts them (``numRowsDroppedByWatermark``). Odds
+    older than ``keep`` are forgotten, and a key without newer ones leaves the state. Rows of a micro-batch come in frames, one is held at a time.
     """
 
-    def __init__(self, min_change: float):
-        self.min_change = min_change
+    def __init__(self, min_change: float, keep_ms: int):
+        self.min_change, self.keep_ms = min_change, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "odds double")
+        self.handle = handle
+        self.last = handle.getValueState("last", "odds double, at bigint")
+        self.waiting = handle.getMapState("waiting", "at bigint, event_id bigint", "odds double")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def _wake(self, at_ms: int) -> None:
+        """One timer per key: at the earliest waiting row, or when the key is to be forgotten."""
+        if self.due.exists():
+            if self.due.get()[0] == at_ms:
+                return
+            self.handle.deleteTimer(self.due.get()[0])
+        self.handle.registerTimer(at_ms)
+        self.due.update((at_ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values(["fetched_at", "event_id"])
-        before = self.last.get()[0] if self.last.exists() else None
-        frame["previous_odds"] = frame["odds"].shift(1)
-        frame.iloc[0, frame.columns.get_loc("previous_odds")] = before if before is not None else float("nan")
-        frame["odds_change"] = frame["odds"] - frame["previous_odds"]
-        frame["odds_change_pct"] = frame["odds_change"] / frame["previous_odds"]
-        self.last.update((float(frame["odds"].iloc[-1]),))
-        yield frame[frame["odds_change"].abs() >= self.min_change][
-            ["event_id", *ODDS_KEY, "fetched_at", "odds", "previous_odds", "odds_change", "odds_change_pct"]]
+        earliest = None
+        for frame in rows:
+            at = frame["fetched_at"].astype("datetime64[us]").astype("int64")
+            for moment, event, odds in zip(at, frame["event_id"], frame["odds"], strict=True):
+                self.waiting.updateValue((int(moment), int(event)), (float(odds),))
+            earliest = int(at.min()) if earliest is None else min(earliest, int(at.min()))
+        if earliest is not None:
+            ready = -(-earliest // 1000)
+            pending = self.due.get()[0] if self.due.exists() and not self._idle() else ready
+            self._wake(min(ready, pending))
+        return iter(())
+
+    def _idle(self) -> bool:
+        """Whether the timer set is the one that forgets the key."""
+        return self.last.exists() and self.due.get()[0] >= self.last.get()[1] // 1000 + self.keep_ms
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        ready, later = [], None
+        for (at, event), (odds,) in self.waiting.iterator():
+            if at <= passed:
+                ready.append((at, event, odds))
+            else:
+                later = at if later is None else min(later, at)
+        ready.sort()
+        out = []
+        before = self.last.get() if self.last.exists() else None
+        for at, event, odds in ready:
+            self.waiting.removeKey((at, event))
+            if before is not None and at < before[1]:
+                continue
+            if before is not None and at - before[1] > self.keep_ms * 1000:
+                before = None
+            if before is not None and abs(odds - before[0]) >= self.min_change:
+                change = odds - before[0]
+                out.append((event, *key, pd.Timestamp(at, unit="us"), odds, before[0], change, change / before[0] if before[0] else None))
+            before = (odds, at)
+        if ready:
+            self.last.update(before)
+        if later is not None:
+            self._wake(-(-later // 1000))
+        elif before is not None and before[1] // 1000 + self.keep_ms > passed // 1000:
+            self._wake(before[1] // 1000 + self.keep_ms)
+        else:
+            self.last.clear()
+        if out:
+            yield pd.DataFrame(out, columns=[
+                "event_id", *ODDS_KEY, "fetched_at", "odds", "previous_odds", "odds_change", "odds_change_pct"])
 
     def close(self) -> None:
         pass
 
 
-def odds_change_alerts(stream: DataFrame, min_change: float = 0.02) -> DataFrame:
-    """Alert when the odds of (match, pool, outcome) move since their last observation.
+def odds_change_alerts(stream: DataFrame, min_change: float = 0.02, lateness: str = "1 hour", keep_days: float = 14.0) -> DataFrame:
+    """Alert when the odds of (match, pool, outcome) move since their last observation, in order of ``fetched_at``.
 
-    Needs the RocksDB state store provider.
+    An alert is told when the watermark (``lateness`` behind the newest row) has passed its row. Needs the RocksDB state
+    store provider.
     """
-    rows = stream.select("event_id", *ODDS_KEY, "fetched_at", "odds")
+    rows = stream.select("event_id", *ODDS_KEY, "fetched_at", "odds").withWatermark("fetched_at", lateness)
     return rows.groupBy(*ODDS_KEY).transformWithStateInPandas(
-        statefulProcessor=LastOdds(min_change), outputStructType=_schema(rows), outputMode="Append", timeMode="None")
+        statefulProcessor=LastOdds(min_change, int(keep_days * 86_400_000)), outputStructType=_schema(rows),
+        outputMode="Append", timeMode="EventTime")
 
 
 def _schema(rows: DataFrame) -> StructType:
@@ -63,11 +119,11 @@ def _schema(rows: DataFrame) -> StructType:
 
 
 def large_buy_alerts(stream: DataFrame, min_notional: float = 500.0, lateness: str = "1 day",
-                     texts: Sequence[str] = ("title", "slug")) -> DataFrame:
+                     texts: Sequence[str] = TRADE_TEXTS) -> DataFrame:
     """Big tournament BUY trades, each trade id once within the watermark."""
     notional = F.coalesce("size", F.lit(0.0)) * F.coalesce("price", F.lit(0.0))
     big = stream.withColumn("notional", notional).where(
-        is_tournament_trade(*[F.coalesce(F.col(t), F.lit("")) for t in texts]) & (F.upper("side") == "BUY") & (F.col("notional") >= min_notional))
+        is_tournament_trade(*[F.coalesce(F.col(t), F.lit("")) for t in texts if t in stream.columns]) & (F.upper("side") == "BUY") & (F.col("notional") >= min_notional))
     return big.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["trade_id"])
 
 
@@ -82,14 +138,14 @@ def history_append(stream: DataFrame, path: str, checkpoint: str) -> DataStreamW
             .option("path", path).option("checkpointLocation", checkpoint))
 
 
-def upsert_stream(stream: DataFrame, base_path: str, out_root: str, checkpoint: str) -> DataStreamWriter:
-    """Finished matches replace base rows, one new version of the table per micro-batch.
+def upsert_stream(stream: DataFrame, base_path: str, root: str, checkpoint: str) -> DataStreamWriter:
+    """Finished matches replace base rows of the same key in a versioned table (``sources.versions``).
 
-    A version is written beside its input, so a repeated batch gives the same table.
+    A micro-batch rewrites the days it touches, beside the former ones, and then moves the version pointer; a repeated batch
+    finds its version committed and does nothing. Of several updates of a key in a batch the one with the greatest ``seq``
+    (if there is such a column, else the greatest row) wins; the others go to the reject table of the batch.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        source = base_path if batch_id == 0 else f"{out_root}/version={batch_id - 1}"
-        upsert_results(spark.read.parquet(source), batch).write.mode("overwrite").parquet(f"{out_root}/version={batch_id}")
+        versions.upsert(batch, root, batch_id, base_path)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
