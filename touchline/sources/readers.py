@@ -7,22 +7,42 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from touchline.functions.numbers import to_number
 from touchline.operators.scan import keep_one
 
 
-def scan_csv(spark: SparkSession, paths: str | Sequence[str], schema: str | None = None,
-             encoding: str = "UTF-8") -> DataFrame:
-    """Headered CSV with a source's declared schema and encoding; a byte-order mark is ignored."""
-    reader = spark.read.option("header", True).option("encoding", encoding).option("enforceSchema", False)
-    df = (reader.schema(schema) if schema else reader).csv(paths if isinstance(paths, str) else list(paths))
-    return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
+def _scan(spark: SparkSession, paths: Sequence[str], schema: str | None, encoding: str | None) -> DataFrame:
+    """The rows with ``_file``, their file's path."""
+    # Latin-1 turns every byte into a sign and loses none, and the signs that part CSV fields are the same in UTF-8.
+    reader = spark.read.option("header", True).option("encoding", encoding or "ISO-8859-1").option("enforceSchema", False)
+    df = (reader.schema(schema) if schema else reader).csv(list(paths))
+    rows = df.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns], F.col("_metadata.file_path").alias("_file"))
+    if encoding:
+        return rows
+    utf8 = spark.read.text(list(paths)).groupBy(F.col("_metadata.file_path").alias("_path")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("_utf8"))
+    # One row per file, as many as the driver lists to read them.
+    marked = rows.join(F.broadcast(utf8), F.col("_file") == F.col("_path"), "left")
+    texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, StringType) and f.name != "_file"]
+    return marked.withColumns({
+        c: F.when(F.col("_utf8"), F.decode(F.encode(f"`{c}`", "ISO-8859-1"), "UTF-8")).otherwise(F.col(f"`{c}`")) for c in texts
+    }).select(*rows.columns)
 
 
-def scan_csv_files(spark: SparkSession, paths: Sequence[str], schema: str, encoding: str = "UTF-8") -> DataFrame:
+def scan_csv(spark: SparkSession, paths: str | Sequence[str], schema: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Headered CSV; a byte-order mark is ignored.
+
+    Without an ``encoding`` each file has its own: UTF-8 if all of its bytes are, else Latin-1. That is decided by a count
+    over the files' lines inside the same plan, so files are split among tasks and the driver reads none of them.
+    """
+    return _scan(spark, [paths] if isinstance(paths, str) else paths, schema, encoding).drop("_file")
+
+
+def scan_csv_files(spark: SparkSession, paths: Sequence[str], schema: str, encoding: str | None = None) -> DataFrame:
     """Several files as one scan, with the name of the file each row came from."""
-    return scan_csv(spark, paths, schema, encoding).withColumn("source_file", F.col("_metadata.file_name"))
+    return _scan(spark, paths, schema, encoding).withColumn("source_file", F.element_at(F.split("_file", "/"), -1)).drop("_file")
 
 
 def union_sources(sources: dict[str, DataFrame], keys: Sequence[str], seq: str, map_team: Callable[[str], Column],
