@@ -135,22 +135,30 @@ ALIASES: dict[str, dict[str, str]] = {
         "south korea": "korea republic",
         "iran": "ir iran",
     },
+    # Names in the files of past matches.
     "chinese": {
-        "西班牙": "Spain", "佛得角": "Cape Verde", "比利时": "Belgium", "埃及": "Egypt",
-        "沙特阿拉伯": "Saudi Arabia", "沙特": "Saudi Arabia", "乌拉圭": "Uruguay", "伊朗": "Iran",
-        "新西兰": "New Zealand", "法国": "France", "塞内加尔": "Senegal", "伊拉克": "Iraq", "挪威": "Norway",
-        "阿根廷": "Argentina", "阿尔及利亚": "Algeria", "奥地利": "Austria", "约旦": "Jordan",
-        "葡萄牙": "Portugal", "刚果(金)": "DR Congo", "英格兰": "England", "克罗地亚": "Croatia",
-        "加纳": "Ghana", "巴拿马": "Panama", "乌兹别克斯坦": "Uzbekistan", "哥伦比亚": "Colombia",
-        "瑞典": "Sweden", "突尼斯": "Tunisia", "瑞士": "Switzerland", "波黑": "Bosnia and Herzegovina",
-        "墨西哥": "Mexico", "韩国": "South Korea", "加拿大": "Canada", "卡塔尔": "Qatar",
-        "捷克": "Czech Republic", "南非": "South Africa", "德国": "Germany", "库拉索": "Curacao",
-        "荷兰": "Netherlands", "日本": "Japan", "巴西": "Brazil", "摩洛哥": "Morocco", "海地": "Haiti",
-        "苏格兰": "Scotland", "澳大利亚": "Australia", "土耳其": "Turkey", "美国": "United States",
-        "巴拉圭": "Paraguay", "厄瓜多尔": "Ecuador", "科特迪瓦": "Ivory Coast", "丹麦": "Denmark",
-        "哥斯达黎加": "Costa Rica", "喀麦隆": "Cameroon", "塞尔维亚": "Serbia", "威尔士": "Wales",
-        "波兰": "Poland", "俄罗斯": "Russia", "冰岛": "Iceland", "尼日利亚": "Nigeria", "秘鲁": "Peru",
-        "希腊": "Greece", "意大利": "Italy", "智利": "Chile", "洪都拉斯": "Honduras",
+        "丹麦": "Denmark", "乌拉圭": "Uruguay", "伊朗": "Iran", "克罗地亚": "Croatia", "加拿大": "Canada", "加纳": "Ghana",
+        "卡塔尔": "Qatar", "厄瓜多尔": "Ecuador", "哥斯达黎加": "Costa Rica", "喀麦隆": "Cameroon", "塞内加尔": "Senegal",
+        "塞尔维亚": "Serbia", "墨西哥": "Mexico", "威尔士": "Wales", "巴西": "Brazil", "德国": "Germany", "摩洛哥": "Morocco",
+        "日本": "Japan", "比利时": "Belgium", "沙特": "Saudi Arabia", "法国": "France", "波兰": "Poland",
+        "澳大利亚": "Australia", "瑞士": "Switzerland", "突尼斯": "Tunisia", "美国": "United States", "英格兰": "England",
+        "荷兰": "Netherlands", "葡萄牙": "Portugal", "西班牙": "Spain", "阿根廷": "Argentina", "韩国": "South Korea",
+        "俄罗斯": "Russia", "瑞典": "Sweden", "哥伦比亚": "Colombia", "冰岛": "Iceland", "尼日利亚": "Nigeria",
+        "巴拿马": "Panama", "秘鲁": "Peru", "埃及": "Egypt", "希腊": "Greece", "意大利": "Italy", "智利": "Chile",
+        "波黑": "Bosnia and Herzegovina", "洪都拉斯": "Honduras", "科特迪瓦": "Ivory Coast", "阿尔及利亚": "Algeria",
+    },
+    # Names on the markets' pages.
+    "chinese_page": {
+        "西班牙": "Spain", "佛得角": "Cape Verde", "比利时": "Belgium", "埃及": "Egypt", "沙特阿拉伯": "Saudi Arabia",
+        "乌拉圭": "Uruguay", "伊朗": "Iran", "新西兰": "New Zealand", "法国": "France", "塞内加尔": "Senegal",
+        "伊拉克": "Iraq", "挪威": "Norway", "阿根廷": "Argentina", "阿尔及利亚": "Algeria", "奥地利": "Austria",
+        "约旦": "Jordan", "葡萄牙": "Portugal", "刚果(金)": "DR Congo", "英格兰": "England", "克罗地亚": "Croatia",
+        "加纳": "Ghana", "巴拿马": "Panama", "乌兹别克斯坦": "Uzbekistan", "哥伦比亚": "Colombia", "瑞典": "Sweden",
+        "突尼斯": "Tunisia", "澳大利亚": "Australia", "波黑": "Bosnia and Herzegovina", "巴西": "Brazil", "加拿大": "Canada",
+        "库拉索": "Curacao", "捷克": "Czech Republic", "厄瓜多尔": "Ecuador", "德国": "Germany", "海地": "Haiti",
+        "科特迪瓦": "Ivory Coast", "日本": "Japan", "墨西哥": "Mexico", "摩洛哥": "Morocco", "荷兰": "Netherlands",
+        "巴拉圭": "Paraguay", "卡塔尔": "Qatar", "苏格兰": "Scotland", "南非": "South Africa", "韩国": "South Korea",
+        "瑞士": "Switzerland", "土耳其": "Turkey", "美国": "United States",
     },
 }
 
