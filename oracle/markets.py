@@ -112,13 +112,16 @@ LIVE = {
 SCHEDULE = {
     "g": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN c_nationkey ELSE (c_nationkey + 5) % 25 END AS hid,
         CASE WHEN o_orderkey % 2 = 0 THEN (c_nationkey + 5) % 25 ELSE c_nationkey END AS aid, 'G' || (c_nationkey % 5) AS grp,
-        CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 = 0 AS INTEGER) AS date, o_custkey % 100 AS sid
+        CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 = 0 AS INTEGER) AS date, o_custkey % 100 AS sid,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'knockout' ELSE 'group' END AS kind,
+        CASE WHEN o_orderkey % 7 > 0 THEN strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 = 0 AS INTEGER) + 1, '%Y-%m-%d') || ' 02:30' END AS utc
       FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 > 0""",
-    "named": """SELECT g.*, h.n_name AS home_team, a.n_name AS away_team, 'F' || hid AS hc, 'F' || aid AS ac, s_name, sn.n_name AS country FROM g
+    "named": """SELECT g.*, h.n_name AS home_team, a.n_name AS away_team, 'F' || hid AS hc, 'F' || aid AS ac, s_name, sn.n_name AS country, 'FIFA ' || s_name AS fifa, 'C' || (s_suppkey % 11) AS city,
+        CAST(floor(abs(s_acctbal)) AS BIGINT) AS cap, 'R' || sn.n_regionkey AS reg FROM g
       JOIN nation h ON hid = h.n_nationkey JOIN nation a ON aid = a.n_nationkey LEFT JOIN supplier ON sid = s_suppkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey""",
-    "v": """SELECT date - sh AS date, home_team, away_team, hc, id, grp, s_name, CAST(home_team = country AS INTEGER) AS hh,
+    "v": """SELECT date - sh AS date, home_team, away_team, hc, id, grp, kind, utc, sid, fifa, city, cap, reg, s_name, CAST(home_team = country AS INTEGER) AS hh,
           CAST(home_team = country OR away_team = country AS INTEGER) AS hm, 0 AS sw, sh * 2 AS rk FROM named, (VALUES (0), (1)) t(sh)
-        UNION ALL SELECT date - sh, away_team, home_team, ac, id, grp, s_name, CAST(away_team = country AS INTEGER),
+        UNION ALL SELECT date - sh, away_team, home_team, ac, id, grp, kind, utc, sid, fifa, city, cap, reg, s_name, CAST(away_team = country AS INTEGER),
           CAST(home_team = country OR away_team = country AS INTEGER), 1, sh * 2 + 1 FROM named, (VALUES (0), (1)) t(sh)""",
     "best": "SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY date, home_team, away_team ORDER BY rk, id) = 1",
 }
@@ -287,7 +290,8 @@ ORACLE = {
         WHEN coalesce(lh, ch) IS NOT NULL AND coalesce(ld, cd) IS NOT NULL AND coalesce(la, ca) IS NOT NULL THEN 'historical_or_existing' ELSE 'missing' END AS odds_source,
         {r('coalesce(lh, ch)')} AS closing_home_odds, {r('coalesce(ld, cd)')} AS closing_draw_odds, {r('coalesce(la, ca)')} AS closing_away_odds
       FROM f LEFT JOIN live USING (date, home_team, away_team)""", **LIVE),
-    "schedule_join": q("""SELECT fixture_id, grp AS worldcup_group, hc AS home_fifa_code, s_name AS stadium_name, id AS repo_match_id, CAST(sw AS BIGINT) AS repo_home_away_swapped,
+    "schedule_join": q("""SELECT fixture_id, grp AS worldcup_group, kind AS worldcup_match_type, utc, sid AS stadium_id, fifa AS stadium_fifa_name, city AS stadium_city,
+        cap AS stadium_capacity, reg AS stadium_region, hc AS home_fifa_code, s_name AS stadium_name, id AS repo_match_id, CAST(sw AS BIGINT) AS repo_home_away_swapped,
         CASE WHEN id IS NOT NULL THEN CAST(coalesce(hh, 0) AS BIGINT) END AS is_home_host_country, CASE WHEN id IS NOT NULL THEN CAST(coalesce(hm, 0) AS BIGINT) END AS is_host_country_match,
         CASE WHEN id IS NOT NULL THEN 18 END AS kickoff_hour_local FROM fix LEFT JOIN best USING (date, home_team, away_team)""", fix=FIX, **SCHEDULE),
     "fixture_lookup": q("""SELECT request_id, fixture_id, CAST(sw AS BIGINT) AS swapped, CAST(fixture_id IS NOT NULL AS BIGINT) AS available FROM requests r LEFT JOIN LATERAL (

@@ -23,22 +23,32 @@ def _variants(df: DataFrame, swapped: dict[str, str], days: tuple[int, ...]) ->
         "date": F.expr("date_add(date, _s.days)"), "_rank": F.col("_s.i") * 2 + F.col("swapped")}).drop("_s")
 
 
+#: Columns of the stadium table and what they are called beside a fixture.
+STADIUM = {"name_en": "name", "fifa_name": "fifa_name", "city_en": "city", "country_en": "country", "capacity": "capacity", "region": "region"}
+
+
 def schedule_metadata(fixtures: DataFrame, games: DataFrame, teams: DataFrame, stadia: DataFrame) -> DataFrame:
-    """Group, matchday, kickoff and stadium of each fixture; sides may be swapped or the day one early."""
+    """Group, matchday, kind, kickoff (local and UTC) and stadium of each fixture; sides may be swapped or the day one early.
+
+    ``games``: id, home_team_id, away_team_id, group, matchday, type, local_date, date (UTC), stadium_id. ``stadia``: id, name_en,
+    fifa_name, city_en, country_en, capacity, region.
+    """
     def side(name: str) -> DataFrame:
         return teams.select(F.col("id").alias(f"{name}_team_id"),
                             lookup(canonical_team("name_en"), ALIASES["schedule"]).alias(f"{name}_team"),
                             F.col("fifa_code").alias(f"{name}_fifa_code"))
 
     rows = games.join(side("home"), "home_team_id", "left").join(side("away"), "away_team_id", "left")
-    rows = rows.withColumn("local_kickoff", F.try_to_timestamp("local_date", F.lit("MM/dd/yyyy HH:mm")))
-    place = stadia.select(F.col("id").alias("stadium_id"), F.col("name_en").alias("stadium_name"), F.col("country_en").alias("stadium_country"))
+    rows = rows.withColumns({
+        "local_kickoff": F.try_to_timestamp("local_date", F.lit("MM/dd/yyyy HH:mm")), "utc_kickoff": F.try_to_timestamp("date")})
+    place = stadia.select(F.col("id").alias("stadium_id"), *[F.col(c).alias(f"stadium_{n}") for c, n in STADIUM.items()])
     rows = rows.join(place, "stadium_id", "left")
     host = lambda s: F.coalesce((F.col(f"{s}_team") == F.col("stadium_country")).cast("int"), F.lit(0))
     rows = rows.select(
         F.col("local_kickoff").cast("date").alias("date"), "home_team", "away_team", F.col("id").alias("repo_match_id"),
-        F.col("group").alias("worldcup_group"), F.col("matchday").alias("worldcup_matchday"), "local_kickoff",
-        F.hour("local_kickoff").alias("kickoff_hour_local"), "home_fifa_code", "away_fifa_code", "stadium_name", "stadium_country",
+        F.col("group").alias("worldcup_group"), F.col("matchday").alias("worldcup_matchday"), F.col("type").alias("worldcup_match_type"),
+        "local_kickoff", "utc_kickoff", F.hour("local_kickoff").alias("kickoff_hour_local"), "home_fifa_code", "away_fifa_code",
+        "stadium_id", *[f"stadium_{n}" for n in STADIUM.values()],
         host("home").alias("is_home_host_country"), host("away").alias("is_away_host_country"))
     rows = rows.withColumn("is_host_country_match", F.greatest("is_home_host_country", "is_away_host_country"))
     pairs = {"home_team": "away_team", "home_fifa_code": "away_fifa_code", "is_home_host_country": "is_away_host_country"}

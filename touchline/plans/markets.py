@@ -175,13 +175,16 @@ def schedule_join(spark: SparkSession, folder: str) -> DataFrame:
         "if(o_orderkey % 2 = 0, (c_nationkey + 5) % 25, c_nationkey) as away_team_id",
         "concat('G', c_nationkey % 5) as `group`", "cast(o_orderkey % 3 + 1 as int) as matchday",
         # A third of the games lies far off any fixture.
-        "date_format(date_add(o_orderdate, cast(o_orderkey % 5 = 0 as int) + if(o_orderkey % 3 = 0, 9000, 0)), 'MM/dd/yyyy 18:30') as local_date", "o_custkey % 100 as stadium_id")
+        "date_format(date_add(o_orderdate, cast(o_orderkey % 5 = 0 as int) + if(o_orderkey % 3 = 0, 9000, 0)), 'MM/dd/yyyy 18:30') as local_date",
+        "if(o_orderkey % 7 = 0, 'tba', date_format(date_add(o_orderdate, cast(o_orderkey % 5 = 0 as int) + 1), 'yyyy-MM-dd') || 'T02:30:00Z') as date",
+        "if(o_orderkey % 4 = 0, 'knockout', 'group') as type", "o_custkey % 100 as stadium_id")
     teams = nation.selectExpr("n_nationkey as id", "concat(n_name, ' ') as name_en", "concat('F', n_nationkey) as fifa_code")
     stadia = table(spark, folder, "supplier").join(nation, F.expr("s_nationkey = n_nationkey")).selectExpr(
-        "s_suppkey as id", "s_name as name_en", "n_name as country_en")
-    out = fx.schedule_metadata(rows, games, teams, stadia)
-    return show(out, ["fixture_id", "worldcup_group", "home_fifa_code", "stadium_name"], [],
-                ["repo_match_id", "repo_home_away_swapped", "is_home_host_country", "is_host_country_match", "kickoff_hour_local"])
+        "s_suppkey as id", "s_name as name_en", "n_name as country_en", "concat('FIFA ', s_name) as fifa_name", "concat('C', s_suppkey % 11) as city_en",
+        "cast(floor(abs(s_acctbal)) as bigint) as capacity", "concat('R', n_regionkey) as region")
+    out = fx.schedule_metadata(rows, games, teams, stadia).withColumn("utc", F.date_format("utc_kickoff", "yyyy-MM-dd HH:mm"))
+    return show(out, ["fixture_id", "worldcup_match_type", "utc", "stadium_fifa_name", "stadium_city", "stadium_region", "worldcup_group", "home_fifa_code", "stadium_name"], [],
+                ["stadium_id", "stadium_capacity", "repo_match_id", "repo_home_away_swapped", "is_home_host_country", "is_host_country_match", "kickoff_hour_local"])
 
 
 def fixture_requests(spark: SparkSession, folder: str) -> DataFrame:
