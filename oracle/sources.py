@@ -108,7 +108,8 @@ RAW_POSITION = """CASE WHEN c_custkey % 14 = 13 THEN '' ELSE ['Goalkeeper','Cent
 SIMPLE = """SELECT c_custkey, trim(raw) AS raw, upper(trim(raw)) AS u, regexp_split_to_array(upper(trim(raw)), '[,/ ]+')[1] AS f
   FROM (SELECT c_custkey, """ + RAW_POSITION + """ AS raw FROM customer)"""
 
-ENTITY = "replace(replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&')"
+#: The entities that the pages of the test tables hold, with some more.
+ENTITY = "regexp_replace(replace(replace(replace(replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;?', '&', 'g')"
 
 
 def strip(x: str) -> str:
