@@ -15,14 +15,19 @@ TEXT_DATE = """CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
 TEXT_DAY = "CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE) END"
 MONEY = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)"
 
-# The last rating before each match, by a plain as-of join per side.
+# The last rating before each match: states and questions in one order per team, the last state seen is the answer.
 def two_sided(state: str, columns: list[str], strict: str = ">") -> dict[str, str]:
-    picked = ", ".join(f"s.{c}" for c in columns)
+    seen = ", ".join(f"{c} := {c}" for c in columns)
+    # Of one day, states come before a question only if that day counts.
+    state_first, asked_first = (0, 1) if strict == ">=" else (1, 0)
     return {
-        "latest": f"""SELECT p.match_id, p.side, {picked} FROM c_sides p
-          ASOF LEFT JOIN ({state}) s ON p.team = s.team AND p.date {strict} s.date""",
-        "wide": "SELECT h.match_id, " + ", ".join(f"h.{c} AS home_{c}, a.{c} AS away_{c}" for c in columns)
-        + " FROM latest h JOIN latest a ON h.match_id = a.match_id AND h.side = 'home' AND a.side = 'away'",
+        "both_": f"""SELECT team, date, {state_first} AS turn, NULL AS match_id, NULL AS side, struct_pack({seen}) AS known FROM ({state})
+          UNION ALL SELECT team, date, {asked_first}, match_id, side, NULL FROM c_sides""",
+        "latest": """SELECT match_id, side, last_value(known IGNORE NULLS) OVER (PARTITION BY team ORDER BY date, turn
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known FROM both_ QUALIFY match_id IS NOT NULL""",
+        "wide": "SELECT match_id, " + ", ".join(
+            f"max(CASE WHEN side = '{side}' THEN known.{c} END) AS {side}_{c}" for c in columns for side in ("home", "away"))
+        + " FROM latest GROUP BY match_id",
     }
 
 
@@ -34,14 +39,14 @@ RANKED = """SELECT team, date, arg_max(fifa_rank, seq) AS fifa_rank, arg_max(fif
 FORM_STEPS = {
     "numbered": """SELECT team, date, gf, ga, row_number() OVER (PARTITION BY team ORDER BY date, side, match_id) AS n
       FROM c_history""",
-    "ends": "SELECT team, date, max(n) AS n FROM numbered GROUP BY team, date",
-    "asked": """SELECT DISTINCT s.team, s.date, e.n FROM c_sides s
-      ASOF LEFT JOIN ends e ON s.team = e.team AND s.date > e.date""",
-    "form": """SELECT a.team, a.date, CAST(count(*) AS DOUBLE) AS matches,
-        avg(CASE WHEN gf > ga THEN 1.0 ELSE 0 END) AS win_rate, avg(CASE WHEN gf = ga THEN 1.0 ELSE 0 END) AS draw_rate,
-        avg(CASE WHEN gf > ga THEN 3.0 WHEN gf = ga THEN 1 ELSE 0 END) AS points_avg,
-        avg(gf) AS goals_for_avg, avg(ga) AS goals_against_avg, avg(gf - ga) AS goal_diff_avg
-      FROM asked a JOIN numbered h ON a.team = h.team AND h.n BETWEEN a.n - 4 AND a.n GROUP BY a.team, a.date""",
+    "rolled": """SELECT team, date, n, CAST(count(*) OVER w AS DOUBLE) AS matches, avg(CASE WHEN gf > ga THEN 1.0 ELSE 0 END) OVER w AS win_rate,
+        avg(CASE WHEN gf = ga THEN 1.0 ELSE 0 END) OVER w AS draw_rate, avg(CASE WHEN gf > ga THEN 3.0 WHEN gf = ga THEN 1 ELSE 0 END) OVER w AS points_avg,
+        avg(gf) OVER w AS goals_for_avg, avg(ga) OVER w AS goals_against_avg, avg(gf - ga) OVER w AS goal_diff_avg
+      FROM numbered WINDOW w AS (PARTITION BY team ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    "days_": "SELECT team, date, max(n) AS n FROM numbered GROUP BY team, date",
+    # A match day asks for the last row of the days before it.
+    "asked": "SELECT team, date, max(n) OVER (PARTITION BY team ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM days_",
+    "form": "SELECT a.team, a.date, r.* EXCLUDE (team, date, n) FROM asked a JOIN rolled r ON a.team = r.team AND a.n = r.n",
 }
 
 EVENT_COUNTS = """SELECT match_id, team, count(*) AS sb_events, count(*) FILTER (type = 'Shot') AS sb_shots,
@@ -62,26 +67,28 @@ COMPLETED = """SELECT o.o_orderkey AS seq, CAST(o_orderdate AS DATE) AS date,
    CASE WHEN o_orderkey % 12 = 0 THEN 'Qualifier' ELSE 'FIFA World Cup' END AS tournament
  FROM orders o JOIN c_fixtures f ON o.o_orderkey = f.fixture_id WHERE o_orderkey % 20 <> 0"""
 
-# Standings by brute force: every fixture against every earlier scored result of its group.
+# Standings from running sums per group and team, asked at every kickoff of the group.
 STANDING_STEPS = {
     "games": "SELECT *, worldcup_group AS grp FROM c_fixtures",
     "played": """SELECT grp, kickoff, home_team AS team, home_score AS gf, away_score AS ga FROM games WHERE home_score IS NOT NULL
       UNION ALL SELECT grp, kickoff, away_team, away_score, home_score FROM games WHERE home_score IS NOT NULL""",
     "members": "SELECT DISTINCT grp, unnest([home_team, away_team]) AS team FROM games",
-    "tab": """SELECT g.fixture_id, m.team, coalesce(sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 WHEN gf < ga THEN 0 END), 0) AS pts,
-        coalesce(sum(gf), 0) AS gf, coalesce(sum(gf) - sum(ga), 0) AS gd
-      FROM games g JOIN members m ON g.grp = m.grp
-      LEFT JOIN played p ON p.grp = g.grp AND p.team = m.team AND p.kickoff < g.kickoff GROUP BY g.fixture_id, m.team""",
-    "ranked": "SELECT *, row_number() OVER (PARTITION BY fixture_id ORDER BY pts DESC, gd DESC, gf DESC, team) AS rnk FROM tab",
-    "rounds": """SELECT g.fixture_id, count(p.fixture_id) AS known FROM games g LEFT JOIN games p ON p.grp = g.grp
-        AND p.worldcup_matchday = g.worldcup_matchday AND p.kickoff < g.kickoff AND p.home_score IS NOT NULL
-      GROUP BY g.fixture_id""",
+    "moments": "SELECT DISTINCT grp, kickoff FROM games",
+    "won": """SELECT grp, team, kickoff, CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 WHEN gf < ga THEN 0 END AS pts, gf, ga, 0 AS asked FROM played
+      UNION ALL SELECT o.grp, team, kickoff, 0, 0, 0, 1 FROM moments o JOIN members e ON o.grp = e.grp""",
+    "daily": "SELECT grp, team, kickoff, sum(pts) AS pts, sum(gf) AS gf, sum(ga) AS ga, max(asked) AS asked FROM won GROUP BY grp, team, kickoff",
+    "tab": """SELECT grp, team, kickoff, asked, coalesce(sum(pts) OVER w, 0) AS pts, coalesce(sum(gf) OVER w, 0) AS gf, coalesce(sum(gf - ga) OVER w, 0) AS gd
+      FROM daily WINDOW w AS (PARTITION BY grp, team ORDER BY kickoff ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "ranked": "SELECT *, row_number() OVER (PARTITION BY grp, kickoff ORDER BY pts DESC, gd DESC, gf DESC, team) AS rnk FROM tab WHERE asked = 1",
+    "rounds": """SELECT grp, worldcup_matchday, kickoff, coalesce(sum(n) OVER (PARTITION BY grp, worldcup_matchday ORDER BY kickoff
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known
+      FROM (SELECT grp, worldcup_matchday, kickoff, count(home_score) AS n FROM games GROUP BY ALL)""",
     "flat": """SELECT g.fixture_id, g.worldcup_matchday AS md, known, h.pts AS hp, a.pts AS ap, h.gd AS hg, a.gd AS ag,
         h.rnk AS hr, a.rnk AS ar, coalesce(s.pts, 0) AS sp, coalesce(s.gd, 0) AS sg
-      FROM games g JOIN rounds USING (fixture_id)
-      JOIN ranked h ON h.fixture_id = g.fixture_id AND h.team = g.home_team
-      JOIN ranked a ON a.fixture_id = g.fixture_id AND a.team = g.away_team
-      LEFT JOIN ranked s ON s.fixture_id = g.fixture_id AND s.rnk = 2""",
+      FROM games g JOIN rounds r ON r.grp = g.grp AND r.worldcup_matchday = g.worldcup_matchday AND r.kickoff = g.kickoff
+      JOIN ranked h ON h.grp = g.grp AND h.kickoff = g.kickoff AND h.team = g.home_team
+      JOIN ranked a ON a.grp = g.grp AND a.kickoff = g.kickoff AND a.team = g.away_team
+      LEFT JOIN ranked s ON s.grp = g.grp AND s.kickoff = g.kickoff AND s.rnk = 2""",
     "gaps": """SELECT *, greatest(0.0, sp - hp) AS hdef, greatest(0.0, sp - ap) AS adef,
         greatest(0.0, sg - hg + 1) AS hch, greatest(0.0, sg - ag + 1) AS ach FROM flat""",
 }
