@@ -23,11 +23,12 @@ ORACLE_SQL = None
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; the model learns from all of them that have a language."""
     model = langid.fit(docs, "doc_id", "text", "lang")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    told = langid.predict(rows, model, "text", ["_row"])
+    # All other columns in one, as their names may be those of results.
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), "text")
+    told = langid.predict(rows, model, "text", ["_row", "text"])
     if model.languages:
         told = told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return told.select("_row.*")
+    return told.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,12 @@ def clashing(docs):
     return docs.withColumns({c: F.lit("x") for c in names})
 
 
+def same_beside(one, two, names):
+    """Whether ``two`` holds the columns ``names`` of ``one`` untouched, row by row of doc_id."""
+    rows = [{(str(r.doc_id), *[str(r[c]) for c in names]) for r in df.select("doc_id", *names).collect()} for df in (one, two)]
+    return bool(rows[1]) and rows[1] <= rows[0]
+
+
 def prose(rnd: random.Random, n: int, size: int = 4000) -> list[str]:
     return [f"w{rnd.randrange(size)}" for _ in range(n)]
 

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tests.llm.helpers import clashing, table
+from tests.llm.helpers import clashing, same_beside, table
 from touchline.llm import packing
 from touchline.llm.queries import QUERIES, vocabulary
 
@@ -83,6 +83,14 @@ def test_packed_documents(spark, tmp_path):
     assert len(sequences) == len(one_by_one([r.length for r in rows], 4096))
 
 
+def test_columns_of_callers_stay(spark):
+    names = ["_share", "_n", "_in", "_place", "_skip", "_piece", "_length", "rank"]
+    df = spark.range(50).selectExpr("id as doc_id", "id % 7 + 1 as length", *[f"concat('{c}', id) as {c}" for c in names])
+    out = packing.pack(df, "length", 16)
+    assert out.columns == [*df.columns, "sequence_id", "offset"] and out.count() == 50 and same_beside(df, out, names)
+    assert packing.pack(df.select("length", "_n"), "length", 16, ("_n",)).groupBy("sequence_id").sum("length").where("`sum(length)` > 16").count() == 0
+
+
 def test_empty_table_and_wrong_lengths(spark):
     assert packing.pack_documents(table(spark, []), "doc_id", "text", PATH).count() == 0
     with pytest.raises(ValueError):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tests.llm.helpers import clashing, prose, table
+from tests.llm.helpers import clashing, prose, same_beside, table
 from touchline.llm import passages
 
 
@@ -155,11 +155,13 @@ def test_removal(spark):
     rnd = random.Random(2)
     passage = " ".join(prose(rnd, 55))
     texts = [f"é😀 {passage} end", f"start {passage} tail", passage, "clean text", None, ""]
-    docs = table(spark, texts).selectExpr("*", "1 as _doc_", "'k' as start")
+    names = ["cuts", "_doc", "doc", "_new", "_text", "_rest", "_id", "start", "at", "home"]
+    docs = table(spark, texts).selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in names])
     out = passages.remove_passages(docs, "doc_id", "text", "n_chars")
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {0: (texts[0], len(texts[0])), 1: ("start  tail", 11), 3: ("clean text", 10), 4: (None, None), 5: ("", 0)}
+    assert same_beside(docs, out, names)
 
 
 def test_many_copies_of_one_passage(spark, monkeypatch):

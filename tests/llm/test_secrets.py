@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from tests.llm.helpers import SCHEMA, clashing
+from tests.llm.helpers import SCHEMA, clashing, same_beside
 from touchline.llm import secrets
 from touchline.llm.queries import QUERIES
 
@@ -50,9 +50,10 @@ def test_redaction_keeps_rows_and_examples(spark):
     shared = "AKIA" + "EXAMPLE1" * 2
     rows = [(i, f"id {shared} end", "en", f"owner{i}", 1) for i in range(6)]
     rows += [(10, "é token = 'abcd1234efgh' tail " + "0a1b2c3d" * 4 + "!", "en", "me", 1), (11, None, "en", "me", None), (11, "clean", None, None, 5)]
-    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as _row", "2 as spans")
-    out = secrets.redact(df.drop("_row"), "doc_id", "text", "source", "doc_id", "n_chars")
-    assert out.columns == df.drop("_row").columns
+    names = ["_row", "_row2", "_hits", "_other", "_id", "_new", "_text", "_rest", "spans", "found", "at"]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in names])
+    out = secrets.redact(df, "doc_id", "text", "source", "doc_id", "n_chars")
+    assert out.columns == df.columns and same_beside(df, out, names)
     got = {(r.doc_id, r.lang): (r.text, r.n_chars) for r in out.collect()}
     assert len(got) == 9 and got[0, "en"][0] == rows[0][1]
     assert got[10, "en"] == ("é [SECRET]' tail [SECRET]!", 26)

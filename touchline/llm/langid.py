@@ -212,18 +212,24 @@ def fit(docs: DataFrame, id: str, text: str, language: str, sample: int = SAMPLE
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns with lang_pred and score of every row's whole text; nothing is shuffled. Null texts are ``und``."""
+    """``keep`` columns with lang_pred and score of every row's whole text; nothing is shuffled. Null texts are ``und``.
+
+    If ``keep`` holds the text itself, it goes through Arrow once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
+    at = keep.index(text) if text in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = [shared.value.predict(t.as_py()) for t in column(batch, "_text")]
+            told = [shared.value.predict(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([a for a, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())],
-                [*keep, "lang_pred", "score"])
+                [*batch.columns[:len(keep)], pa.array([a for a, _ in told], pa.string()),
+                 pa.array([s for _, s in told], pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, f"{columns}, lang_pred string, score double")
+    sent = docs.select(*keep) if text in keep else docs.select(*keep, docs[text].alias("_text"))
+    return sent.mapInArrow(run, f"{columns}, lang_pred string, score double")
 
 
 def held_out(id: str, folds: int = 3, fold: int = 1):

@@ -214,9 +214,12 @@ def pack(pieces: DataFrame, length: str = "length", size: int = 4096, order: tup
     """
     spark = pieces.sparkSession
     # Counts come sorted from one row per (length, share); a length's pieces are ranked share by share.
-    shared = pieces.withColumn("_share", F.pmod(F.xxhash64(*(order or pieces.columns)), F.lit(SHARES)))
-    counted = shared.groupBy(length, "_share").agg(F.count("*").alias("_n"))
-    totals = {r[0]: r[1] for r in counted.groupBy(length).agg(F.sum("_n")).collect()}
+    order = order or tuple(pieces.columns)
+    # The caller's columns travel in one, so none can have the name of an inner one.
+    shared = pieces.select(F.struct(*[pieces[c] for c in pieces.columns]).alias("_piece"), pieces[length].alias("_length"),
+                           F.pmod(F.xxhash64(*[pieces[c] for c in order]), F.lit(SHARES)).alias("_share"))
+    counted = shared.groupBy("_length", "_share").agg(F.count("*").alias("_n"))
+    totals = {r[0]: r[1] for r in counted.groupBy("_length").agg(F.sum("_n")).collect()}
     if any(n is None or not 1 <= n <= size for n in totals):
         raise ValueError(f"lengths must be 1 to {size}")
     runs = np.array(best_fit_runs(totals, size), np.int64).reshape(-1, 5)
@@ -243,14 +246,14 @@ def pack(pieces: DataFrame, length: str = "length", size: int = 4096, order: tup
             out[rows, 1] = run[:, 4] + deep % run[:, 3] * n
         return pd.DataFrame(out, columns=["sequence_id", "offset"])
 
-    before = W.partitionBy(length).orderBy("_share").rowsBetween(W.unboundedPreceding, -1)
-    skips = counted.select(length, "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
-    inside = W.partitionBy(length, "_share").orderBy(*(order or pieces.columns))
+    before = W.partitionBy("_length").orderBy("_share").rowsBetween(W.unboundedPreceding, -1)
+    skips = counted.select("_length", "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    inside = W.partitionBy("_length", "_share").orderBy(*[F.col("_piece").getField(c) for c in order])
     return (
         shared.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(skips, [length, "_share"])
-        .withColumn("_place", place(F.col(length), F.col("_skip") + F.col("_in")))
-        .select(*pieces.columns, "_place.sequence_id", "_place.offset")
+        .join(skips, ["_length", "_share"])
+        .withColumn("_place", place(F.col("_length"), F.col("_skip") + F.col("_in")))
+        .select(*[F.col("_piece").getField(c).alias(c) for c in pieces.columns], "_place.sequence_id", "_place.offset")
     )
 
 

@@ -26,7 +26,9 @@ WIDTH, WINDOW = 4, 3
 #: A passage has so many words, this share of them alike.
 MIN_WORDS, ALIKE = 50, 0.8
 #: Seeds that a task gathers before it reduces them.
-GATHERED = 300_000
+GATHERED = 150_000
+#: Rows that a task sends at once.
+SENT = 1 << 15
 #: A match is worth 1; a word of either text that a chain skips costs this.
 GAP = 1 / 60
 #: Words beyond a chain's ends that alignment looks at: seeds near a passage's end may have other homes.
@@ -104,10 +106,17 @@ def _gathered(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         held.append(piece)
         size += len(piece[0])
         if size >= GATHERED:
-            yield _reduced(*map(np.concatenate, zip(*held, strict=True)))
+            yield from _sent(held)
             held, size = [], 0
     if size:
-        yield _reduced(*map(np.concatenate, zip(*held, strict=True)))
+        yield from _sent(held)
+
+
+def _sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """``_reduced`` in small batches: the JVM holds a whole one outside its heap."""
+    rows = _reduced(*map(np.concatenate, zip(*held, strict=True)))
+    for at in range(0, rows.num_rows, SENT):
+        yield rows.slice(at, SENT)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,18 +498,21 @@ def remove_passages(docs: DataFrame, id: str, text: str, length: str | None = No
     All other rows and all columns stay; ``length`` names a column that is set to the new number of code points where a text
     changes.
     """
-    cuts = cover(passages(docs, id, text, min_words, alike)).withColumnRenamed("doc", "_doc")
+    cuts = cover(passages(docs, id, text, min_words, alike))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def cut(s, x):
-        gap = F.substring(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
+        gap = F.substring(F.col("_text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
         return F.struct(x["stop"].alias("at"), F.concat(s["out"], gap).alias("out"))
 
-    rest = lambda s: F.concat(s["out"], F.substr(F.col(text), (s["at"] + 1).cast("int")))
-    out = docs.join(cuts, docs[id].cast("long") == F.col("_doc"), "left").withColumn(
+    rest = lambda s: F.concat(s["out"], F.substr(F.col("_text"), (s["at"] + 1).cast("int")))
+    # The caller's other columns travel in one, so none can have the name of an inner one.
+    own = docs.select(docs[id].cast("long").alias("doc"), docs[text].alias("_text"),
+                      F.struct(*[docs[c] for c in docs.columns if c != text]).alias("_rest"))
+    out = own.join(cuts, "doc", "left").withColumn(
         "_new", F.when(F.col("cuts").isNotNull(), F.aggregate("cuts", state, cut, rest)))
     out = out.where(F.col("_new").isNull() | F.col("_new").rlike(r"[^ \t-\r]"))
+    result = {c: F.col("_rest").getField(c) for c in docs.columns if c != text} | {text: F.coalesce("_new", "_text")}
     if length:
-        counted = F.length("_new").cast(docs.schema[length].dataType)
-        out = out.withColumn(length, F.when(F.col("_new").isNotNull(), counted).otherwise(F.col(length)))
-    return out.withColumn(text, F.coalesce("_new", text)).select(*docs.columns)
+        result[length] = F.coalesce(F.length("_new").cast(docs.schema[length].dataType), result[length])
+    return out.select(*[result[c].alias(c) for c in docs.columns])

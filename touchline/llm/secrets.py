@@ -124,21 +124,23 @@ def redact(docs: DataFrame, id: str, text: str, owner: str, repository: str, len
         judged(found, example_owners).select("_id", "_row", F.filter("spans", lambda s: s["live"]).alias("_hits"))
         .where(F.size("_hits") > 0).withColumnRenamed("_id", "_other").withColumnRenamed("_row", "_row2")
     )
-    own = docs.withColumn("_row", _row(docs[id], docs[owner], docs[repository], docs[text]))
-    joined = own.join(hits, (F.col("_row") == F.col("_row2")) & own[id].eqNullSafe(F.col("_other")), "left")
+    # The caller's other columns travel in one, so none can have the name of an inner one.
+    own = docs.select(
+        docs[id].alias("_id"), docs[text].alias("_text"), _row(docs[id], docs[owner], docs[repository], docs[text]).alias("_row"),
+        F.struct(*[docs[c] for c in docs.columns if c != text]).alias("_rest"))
+    joined = own.join(hits, (F.col("_row") == F.col("_row2")) & F.col("_id").eqNullSafe(F.col("_other")), "left")
     zero = F.lit(0).cast("long")
     state = F.struct(zero.alias("at"), F.lit("").alias("out"))
 
     def cut(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
+        gap = F.substring(F.col("_text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
         marked = F.struct(x["stop"].alias("at"), F.concat(s["out"], gap, F.lit(mark)).alias("out"))
         inside = F.struct(F.greatest(s["at"], x["stop"]).alias("at"), s["out"].alias("out"))
         return F.when(x["start"] >= s["at"], marked).otherwise(inside)
 
-    rest = lambda s: F.concat(s["out"], F.substr(F.col(text), (s["at"] + 1).cast("int")))
-    new = F.when(F.col("_hits").isNotNull(), F.aggregate("_hits", state, cut, rest)).otherwise(F.col(text))
-    out = joined.withColumn(text, new)
+    rest = lambda s: F.concat(s["out"], F.substr(F.col("_text"), (s["at"] + 1).cast("int")))
+    out = joined.withColumn("_new", F.when(F.col("_hits").isNotNull(), F.aggregate("_hits", state, cut, rest)))
+    result = {c: F.col("_rest").getField(c) for c in docs.columns if c != text} | {text: F.coalesce("_new", "_text")}
     if length:
-        counted = F.length(text).cast(docs.schema[length].dataType)
-        out = out.withColumn(length, F.when(F.col("_hits").isNotNull(), counted).otherwise(F.col(length)))
-    return out.select(*docs.columns)
+        result[length] = F.coalesce(F.length("_new").cast(docs.schema[length].dataType), result[length])
+    return out.select(*[result[c].alias(c) for c in docs.columns])
