@@ -114,6 +114,21 @@ def test_grid_sums_to_one(spark):
     assert none.handicap_home is None and none.handicap_draw is None
 
 
+def test_top_scores_equal_the_sorted_grid(spark):
+    """Also where many scores are equal at 12 digits, and for any number of scores."""
+    rnd = random.Random(5)
+    rates = [(rnd.choice([0.0, 1e-5, 1.0, 2.0, rnd.uniform(0, 7)]), rnd.choice([0.0, 1e-4, 1.0, 3.0, 400.0, rnd.uniform(0, 7)])) for _ in range(300)]
+    df = spark.createDataFrame([(i, float(h), float(a)) for i, (h, a) in enumerate(rates)], "id int, h double, a double")
+    grid = poisson.with_goal_probabilities(df, "h", "a")
+    for n in (1, 8, 49, 60):
+        out = poisson.with_top_scores(grid, n)
+        assert out.columns == [*grid.columns, "top_scores"]
+        for r in out.collect():
+            cells = [(i, j, r[f"_h{i}"] * r[f"_a{j}"]) for i in range(7) for j in range(7)]
+            cells.sort(key=lambda c: (-round(c[2] * 1e12), c[0], c[1]))
+            assert [(s.score, s.probability) for s in r.top_scores] == [(f"{i}-{j}", p) for i, j, p in cells[:n]]
+
+
 def test_csv_scan_keeps_file_names(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿match_id,home_team\n1,Curaçao\n".encode())
     (tmp_path / "b.csv").write_text("match_id,home_team\n2,Peru\n", encoding="utf-8")

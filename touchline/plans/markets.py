@@ -221,7 +221,7 @@ def poisson_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 def top_exact_scores(spark: SparkSession, folder: str) -> DataFrame:
     grid = poisson.with_goal_probabilities(c.goal_rates(spark, folder), "home_lambda", "away_lambda")
-    out = grid.select("match_id", poisson.top_scores(8).alias("s"))
+    out = poisson.with_top_scores(grid, 8, "s")
     return out.select("match_id", F.array_join(F.transform("s", lambda x: x.score), " ").alias("scores"),
                       r6(F.aggregate("s", F.lit(0.0), lambda a, x: a + x.probability), "covered"))
 
@@ -273,9 +273,9 @@ def favorite_guard(spark: SparkSession, folder: str) -> DataFrame:
 def score_candidates(spark: SparkSession, folder: str) -> DataFrame:
     games = c.market_matches(spark, folder).select(
         "match_id", "day", *sel.PROBS, "model_pick", "home_lambda", "away_lambda", "l_partkey", "l_linenumber")
-    grid = poisson.with_goal_probabilities(games, "home_lambda", "away_lambda").withColumn(
-        "top_scores", F.when(F.col("l_linenumber") < 7, poisson.top_scores(8)))
-    return sel.exact_score_candidates(c.listed_scores(grid.drop("_h", "_a")))
+    grid = poisson.with_top_scores(poisson.with_goal_probabilities(games, "home_lambda", "away_lambda"), 8)
+    grid = poisson.without_goals(grid).withColumn("top_scores", F.when(F.col("l_linenumber") < 7, F.col("top_scores")))
+    return sel.exact_score_candidates(c.listed_scores(grid))
 
 
 def exact_score_candidates(spark: SparkSession, folder: str) -> DataFrame:
