@@ -25,20 +25,18 @@ def tolerant_date_join(matches: DataFrame, extra: DataFrame, columns: Sequence[s
     """Left join on teams and a date that may be one day off.
 
     Each date column makes one pass; the nearest day wins inside a pass, an earlier pass wins per
-    column, so one row may take columns from different passes. ``drop_empty`` leaves out the columns that no match received,
+    column, so one row may take columns from different passes. Of the rows of a key and day only the first can win, so that
+    one alone is listed under the days around. ``drop_empty`` leaves out the columns that no match received,
     for which it runs the join once more to count.
     """
     out, filled = matches, {c: [] for c in columns}
     for number, date_column in enumerate(d for d in date_columns if d in extra.columns):
         offsets = F.array(*[F.struct(F.lit(d).alias("days"), F.lit(rank).alias("rank"))
                             for rank, d in enumerate((0, -1, 1))])
-        spread = extra.select(
-            "home_team", "away_team", F.col(date_column).alias("_day"), *columns, seq, F.explode(offsets).alias("_o")
-        ).select(
-            F.expr("date_add(_day, _o.days)").alias("date"), "home_team", "away_team", *columns,
-            F.col("_o.rank").alias("_rank"), seq,
-        ).where("date is not null")
-        nearest = keep_one(spread, MATCH_KEY, ["_rank", seq])
+        own = extra.select(F.col(date_column).cast("date").alias("date"), "home_team", "away_team", *columns, seq).dropna(subset=MATCH_KEY)
+        spread = keep_one(own, MATCH_KEY, [seq]).drop(seq).withColumn("_o", F.explode(offsets)).select(
+            F.expr("date_add(date, _o.days)").alias("date"), "home_team", "away_team", *columns, F.col("_o.rank").alias("_rank"))
+        nearest = keep_one(spread.where("date is not null"), MATCH_KEY, ["_rank"])
         renamed = {c: f"_{number}_{c}" for c in columns}
         out = out.join(nearest.select(*MATCH_KEY, *[F.col(c).alias(n) for c, n in renamed.items()]), MATCH_KEY, "left")
         for c, n in renamed.items():
