@@ -1,12 +1,14 @@
 """Entity resolution against brute force."""
 
+import json
+import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from touchline.functions.text import normalize_person
+from touchline.functions.text import _foldings, _ranges, normalize_person
 from touchline.operators import resolve
 from touchline.operators.resolve import Rule
 
@@ -94,3 +96,18 @@ def test_hot_block_of_copies(spark):
     tokens = left.withColumn("t", resolve.name_tokens(F.col("names")[0]))
     got = resolve.best_token_overlap(tokens, right.withColumn("rt", resolve.name_tokens(F.col("rname"))), "id", "t", "rt", ["dob", "nat"], "seq", ["seq"])
     assert {(r.id, r.seq) for r in got.collect()} == {(k, k + 3000) for k in range(3000)}
+
+
+def test_only_spread_characters_look_in_the_second_table():
+    """Letters without a decomposition (Ł, ø, ı) are no reason to look; ligatures and fractions are."""
+    class_ = re.compile(_ranges(json.loads(_foldings()[2])))
+    assert not any(class_.search(c) for c in "aZ09 łøđıßжא漢é")
+    assert all(class_.search(c) for c in json.loads(_foldings()[2]))
+
+
+def test_stored_names_are_joined_by_key(spark):
+    """A small file of repeated names may hold millions of rows: none is broadcast for its size on disk."""
+    df = spark.createDataFrame([(i, "ana bo", "d", "n") for i in range(50)], "id int, name string, dob string, nat string")
+    stored = resolve._stored(df)
+    plan = stored.join(stored.groupBy("name").count(), "name")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import Column
@@ -18,6 +19,14 @@ def _plain(char: str) -> str:
     return "".join(p for p in parts if not unicodedata.combining(p)).lower()
 
 
+def _ranges(chars: Iterable[str]) -> str:
+    """A class of a regular expression that holds just these characters, none of them ASCII."""
+    codes = sorted(map(ord, chars))
+    firsts = [c for c in codes if c - 1 not in codes]
+    lasts = [c for c in codes if c + 1 not in codes]
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts, strict=True)) + "]"
+
+
 @cache
 def _foldings() -> tuple[str, str, str]:
     """Tables derived from the Unicode data: characters that become one letter or digit, the
@@ -57,8 +66,8 @@ def normalize_person(col: Column | str) -> Column:
     table = F.from_json(F.lit(several), "map<string,string>")
     spread = F.array_join(
         F.transform(F.split(folded, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    # Plain ASCII names, by far the most, never look at the second table.
-    text = F.when(folded.rlike("[^\\x00-\\x7f]"), spread).otherwise(folded)
+    # Only names with a character of the second table look there: a letter without a decomposition stays as it is anyway.
+    text = F.when(folded.rlike("[^\\x00-\\x7f]") & folded.rlike(_ranges(json.loads(several))), spread).otherwise(folded)
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 

@@ -78,6 +78,12 @@ def ladder(left: DataFrame, right: DataFrame, left_id: str, names: str, rules: S
     )
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written once and joined by key alone: names, blocks and letters repeat, so a file of a few MB may hold many
+    millions of rows, which Spark would take for small enough to pass through the driver."""
+    return cut_lineage(df).hint("merge")
+
+
 def name_tokens(name: Column) -> Column:
     """Sorted distinct tokens of a normalized name."""
     return F.array_sort(F.array_distinct(F.filter(F.split(name, " "), lambda t: t != "")))
@@ -107,8 +113,8 @@ def best_token_overlap(left: DataFrame, right: DataFrame, left_id: str, tokens:
     # Equal lists are one entry on either side; only blocks of both sides matter.
     r = r.groupBy(*keys, "_r").agg(F.min("_seq").alias("_seq"), F.min_by("_row", "_seq").alias("_row")).join(
         l.select(*keys).distinct(), keys, "left_semi")
-    r = cut_lineage(r)
-    l = cut_lineage(l.join(r.select(*keys).distinct(), keys, "left_semi"))
+    r = _stored(r)
+    l = _stored(l.join(r.select(*keys).distinct(), keys, "left_semi"))
     lists = l.select(*keys, "_l").distinct()
     l_tokens = lists.select(*keys, "_l", F.explode("_l").alias("token"))
     r_tokens = r.select(*keys, "_r", "_seq", F.explode("_r").alias("token"))
@@ -173,14 +179,14 @@ def fuzzy_block_match(left: DataFrame, right: DataFrame, left_id: str, names: st
     """
     keys = list(block)
     l = left.dropna(subset=keys).select(F.col(left_id).alias("_id"), *keys, F.posexplode(names).alias("_pos", "_name")).where("_name <> ''")
-    l = cut_lineage(l)
+    l = _stored(l)
     # Copies of a name in a block are one target: the first of them.
-    r = cut_lineage(
+    r = _stored(
         right.dropna(subset=keys).where(F.length(right_name) > 0).join(l.select(*keys).distinct(), keys, "left_semi")
         .groupBy(*keys, F.col(right_name).alias("_name"))
         .agg(F.min_by(F.struct(F.col(seq).alias("seq"), F.struct(*payload).alias("row")), seq).alias("_r")))
-    ours = cut_lineage(_indexed(l.join(r.select(*keys).distinct(), keys, "left_semi").select(*keys, "_name").distinct().withColumn("_seq", F.lit(0)), keys))
-    theirs = cut_lineage(_indexed(r.select(*keys, "_name", F.col("_r.seq").alias("_seq")), keys))
+    ours = _stored(_indexed(l.join(r.select(*keys).distinct(), keys, "left_semi").select(*keys, "_name").distinct().withColumn("_seq", F.lit(0)), keys))
+    theirs = _stored(_indexed(r.select(*keys, "_name", F.col("_r.seq").alias("_seq")), keys))
     at = [*keys, "kind", "key"]
 
     def needed(entries: DataFrame, others: DataFrame) -> DataFrame:

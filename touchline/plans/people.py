@@ -10,20 +10,21 @@ from touchline.operators import features, ratingfiles, resolve, squads
 from touchline.operators.resolve import Rule
 from touchline.plans import carriers as c
 from touchline.plans.common import show
+from touchline.session import cut_lineage
 from touchline.sources.tables import table
 
 norm = normalize_person
 
 
 def people(spark: SparkSession, folder: str) -> DataFrame:
-    """Squad players with their normalized candidate names."""
-    return c.players(spark, folder).withColumns({
+    """Squad players with their normalized candidate names, which are folded by all cores however few files there are."""
+    return c.players(spark, folder).repartition("player_id").withColumns({
         "last_norm": norm("last_names"),
         "names": distinct_names(norm("display_name"), norm(full_name("last_names", "first_names")))})
 
 
 def source(spark: SparkSession, folder: str) -> DataFrame:
-    return c.player_source(spark, folder).withColumns({
+    return c.player_source(spark, folder).repartition("seq").withColumns({
         "name_norm": norm(full_name("first_name", "last_name")), "common_norm": F.nullif(norm("common_name"), F.lit("")),
         "source_last": norm("last_name")}).withColumnsRenamed({"birthdate": "source_dob"})
 
@@ -60,9 +61,12 @@ def exact_rules() -> list[Rule]:
 
 
 def blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Exact matches, the unmatched players and the source, both with block columns and token lists."""
-    left, right = people(spark, folder), source(spark, folder)
-    exact = resolve.ladder(left, right, "player_id", "names", exact_rules(), "seq", ["seq", "overall"])
+    """Exact matches, the unmatched players and the source, both with block columns and token lists.
+
+    Names and exact matches are read several times, so they are written once.
+    """
+    left, right = cut_lineage(people(spark, folder)), cut_lineage(source(spark, folder))
+    exact = cut_lineage(resolve.ladder(left, right, "player_id", "names", exact_rules(), "seq", ["seq", "overall"]))
     tokens = F.array_sort(F.array_distinct(F.flatten(F.transform("names", lambda n: F.split(n, " ")))))
     rest = left.join(exact, "player_id", "left_anti").withColumn("tokens", tokens)
     right = right.selectExpr("*", "source_dob as birthdate", "nationality as team").withColumn("source_tokens", resolve.name_tokens(F.col(R_NAME)))
@@ -81,17 +85,17 @@ def er_player_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def er_profile(spark: SparkSession, folder: str) -> DataFrame:
     exact, rest, right = blocks(spark, folder)
-    sole = resolve.sole_in_block(rest, right, "player_id", BLOCK, ["seq", "overall"])
+    sole = cut_lineage(resolve.sole_in_block(rest, right, "player_id", BLOCK, ["seq", "overall"]))
     fuzzy = resolve.best_token_overlap(rest.join(sole, "player_id", "left_anti"), right, "player_id", "tokens", "source_tokens", BLOCK, "seq", ["seq", "overall"])
     out = exact.drop("method").unionByName(sole).unionByName(fuzzy)
     return show(out, ["player_id"], ["overall"], ["seq"])
 
 
 def er_ratings_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
-    left = people(spark, folder)
-    right = source(spark, folder).selectExpr("*", "source_dob as birthdate", "nationality as team")
+    left = cut_lineage(people(spark, folder))
+    right = cut_lineage(source(spark, folder)).selectExpr("*", "source_dob as birthdate", "nationality as team")
     rules = [Rule("exact", 1, [NAME, DOB, NAT], [R_NAME, R_DOB, R_NAT])]
-    exact = resolve.ladder(left, right.drop("birthdate", "team"), "player_id", "names", rules, "seq", ["seq", "overall"])
+    exact = cut_lineage(resolve.ladder(left, right.drop("birthdate", "team"), "player_id", "names", rules, "seq", ["seq", "overall"]))
     rest = left.join(exact, "player_id", "left_anti")
     fuzzy = resolve.fuzzy_block_match(rest, right, "player_id", "names", "name_norm", BLOCK, "seq", ["seq", "overall"])
     out = exact.withColumn("match_score", F.lit(1.0)).unionByName(fuzzy.withColumn("method", F.lit("fuzzy")))
