@@ -39,3 +39,20 @@ def test_page_links(spark):
     assert [r.position for r in rows] == list(range(8)) and all(r.overall == 87 and r.snippet.endswith("z z") for r in rows)
     near = pages.page_candidates(df, r"/player/\d+/[^/']+/", "page_id", "html", first=5, around=(10, 300), snippet=60).collect()
     assert len(near) == 5 and near[0].overall is None and all(len(r.snippet) <= 60 for r in near)
+
+
+def test_yes_no_signals_read_and_parse_each_payload_once(spark, small):
+    from touchline.operators.dispersion import yes_no_signals
+    from touchline.plans.sources import market_rows
+
+    plan = yes_no_signals(market_rows(spark, small))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(id") == 1 and plan.count("parquet") == 1
+
+
+def test_yes_no_signals_drop_rows_without_a_market(spark):
+    from touchline.operators.dispersion import yes_no_signals
+
+    rows = [("m", "Yes"), ("m", "No"), ("n", "Yes"), ("o", "Yes"), ("o", "No"), ("o", None), ("p", "T1"), (None, "Yes")]
+    df = spark.createDataFrame([(*r, "k", 1.0, 1.0) for r in rows], "market_id string, outcome string, signal_type string, volume double, liquidity double")
+    got = sorted((r.market_id, r.outcome or "") for r in yes_no_signals(df).collect())
+    assert got == [("m", "Yes"), ("n", "Yes"), ("o", "Yes"), ("p", "T1")]
