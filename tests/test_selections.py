@@ -136,3 +136,21 @@ def test_csv_scan_keeps_file_names(spark, tmp_path):
     assert sorted((r.match_id, r.home_team, r.source_file) for r in out.collect()) == [(1, "Curaçao", "a.csv"), (2, "Peru", "b.csv")]
     (tmp_path / "c.csv").write_bytes("match_id,home_team\n3,Curaçao\n".encode("latin1"))
     assert readers.scan_csv(spark, str(tmp_path / "c.csv"), "match_id int, home_team string", "ISO-8859-1").first().home_team == "Curaçao"
+
+
+def test_the_favourite_is_found_once_per_match(spark, small):
+    """Filters on guarded selections do not find it again: its odds limit is in the plan once."""
+    from touchline.plans.markets import package_candidates
+
+    plan = package_candidates(spark, small).where("probability > 0.15 and not conflict and expected_value > 0")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("<= 1.45") == 1
+
+
+def test_options_are_placed_without_a_second_shuffle(spark, tmp_path, monkeypatch):
+    """What trimming stores holds the options' places already."""
+    from touchline.operators import selections
+
+    stored = []
+    monkeypatch.setattr(selections, "cut_lineage", lambda df: stored.append(df.columns) or df)
+    package_legs(spark.createDataFrame(candidates(1), SCHEMA), PackageRules(0.15, 3, False, max_cost=50)).collect()
+    assert len(stored) == 1 and {"_n", "_log", "_bucket"} <= set(stored[0])
