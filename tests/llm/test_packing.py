@@ -4,10 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import clashing, same_beside, table
 from touchline.llm import packing
+from touchline.llm.arrow_text import blocks
 from touchline.llm.queries import QUERIES, vocabulary
 
 PATH = vocabulary("word_bpe_49k.json")
@@ -95,3 +97,17 @@ def test_empty_table_and_wrong_lengths(spark):
     assert packing.pack_documents(table(spark, []), "doc_id", "text", PATH).count() == 0
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(5000,)], "length bigint"), "length", 4096)
+
+
+def test_a_word_is_looked_up_once_a_block(monkeypatch):
+    own = packing.WordIds(PATH)
+    asked, core = [], own.core
+    monkeypatch.setattr(own, "core", lambda words: asked.extend(words) or core(words))
+    texts = ["Word word, WORD.  x\x85y ", "", " \t\n", "word x\x85y; été. ÉTÉ", "日本"] * 50
+    column = pa.array(texts)
+    [(_, data, offsets)] = list(blocks(column))
+    ids, ends = packing._text_ids(data, offsets, own, 1)
+    assert sorted(asked) == sorted({"word", " x\x85y", " x\x85y;", "été", " 日本"})
+    library = packing._tokenizer(PATH)
+    for text, got in zip(texts, np.split(ids, ends[:-1])):
+        assert got.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]

@@ -70,9 +70,9 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of each word of a block, and the first word of each text (with the end added)."""
-    values, space = _tables()
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end byte of each word of a block."""
+    _, space = _tables()
     apart = np.ones(len(data) + 2, bool)
     apart[1:-1] = space[data]
     # A word also ends where its text ends: mark borders between two adjoining non-space bytes.
@@ -82,12 +82,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
     starts[cuts] |= inside[1:-1][cuts]
     ends[cuts - 1] |= inside[1:-1][cuts - 1]
-    first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the words of ``data`` that begin at ``first`` and end before ``last``."""
+    values, _ = _tables()
     powers, inverses = _powers(max(20, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * powers[:len(data)], out=total[1:])
-    hashed = mix((total[last] - total[first]) * inverses[first])
-    return hashed, first, last, np.searchsorted(first, offsets)
+    return mix((total[last] - total[first]) * inverses[first])
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte) of each word of a block, and the first word of each text (with the end added)."""
+    first, last = spans(data, offsets)
+    return word_hashes(data, first, last), first, last, np.searchsorted(first, offsets)
 
 
 @lru_cache

@@ -16,18 +16,21 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.llm.arrow_text import column
-from touchline.llm.token_counts import Remembered, grouped
+from touchline.llm.arrow_text import blocks, column, spans
+from touchline.llm.token_counts import Remembered
 from touchline.session import cut_lineage
 
 #: Shares of one length that are ranked apart, so that a length that many pieces have is no single task.
 SHARES = 1024
-#: Distinct words whose ids a task remembers, as written and without case and end sign.
-REMEMBERED, CORES = 500_000, 250_000
+#: Distinct words, without case and end sign, whose ids a task remembers.
+CORES = 500_000
+#: Bytes of texts whose words are told apart together; a longer text makes a block of its own.
+ENCODED_BYTES = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -47,7 +50,7 @@ class WordIds:
     the library's merges as their byte signs, and the sign. All others go through the whole library.
     """
 
-    PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?")
+    PLAIN, SIGNS = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?\z", ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -58,13 +61,17 @@ class WordIds:
         if probe(" a \n b\t") != probe("a") + probe("b") or probe("ÀBc,") != probe("àbc") + probe(","):
             raise ValueError("this vocabulary does not drop white space, ignore case and part signs")
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.signs = {s: array("I", probe(s)).tobytes() for s in ".,;:!?"}
+        self.signs = [array("I", probe(s)).tobytes() for s in self.SIGNS]
+        self.sign_of = np.full(256, len(self.SIGNS))  # by last byte; the last one is no sign
+        self.sign_of[list(self.SIGNS.encode())] = range(len(self.SIGNS))
         self.bytes = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
         self.core = Remembered(self._encode, CORES)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """``words``: lower-case letters of Latin-1, or, after a space, any word."""
-        out = [b"" if w[0] == " " else array("I", [t.id for t in self.merges(w.translate(self.bytes))]).tobytes()
+        merges = self.merges
+        out = [b"" if w[0] == " "
+               else array("I", [t.id for t in merges(w if w.isascii() else w.translate(self.bytes))]).tobytes()
                for w in words]
         rest = [i for i, w in enumerate(words) if w[0] == " "]
         rows = self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
@@ -72,24 +79,44 @@ class WordIds:
             out[i] = array("I", row.ids).tobytes()
         return out
 
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` (large strings, none empty) one after another, and how many each has."""
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        none, space = pa.scalar("", words.type), pa.scalar(" ", words.type)
+        cores = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, self.SIGNS)), pc.binary_join_element_wise(none, words, space))
+        cores = cores.dictionary_encode()
+        found = [*self.core(cores.dictionary.to_pylist()), *self.signs, b""]
+        _, offsets, data = words.buffers()
+        ends = np.frombuffer(offsets, np.int64)[words.offset + 1:words.offset + len(words) + 1]
+        sign = np.where(plain, self.sign_of[np.frombuffer(data, np.uint8)[ends - 1]], len(self.signs))
+        # Every word is a core and a sign, which may have no ids.
+        parts = np.stack([cores.indices.to_numpy(), sign + len(cores.dictionary)], axis=1)
+        flat, n = ragged(found, parts.ravel())
+        return flat, n.reshape(-1, 2).sum(axis=1)
+
     def __call__(self, words: list[str]) -> list[bytes]:
-        cores, ends = [], []
-        for w in words:
-            end = b""
-            if not self.PLAIN.fullmatch(w):
-                w = " " + w
-            else:
-                w = w.lower()
-                if w[-1] in self.signs:
-                    end, w = self.signs[w[-1]], w[:-1]
-            cores.append(w)
-            ends.append(end)
-        return [c + e for c, e in zip(self.core(cores), ends, strict=True)]
+        if not words:
+            return []
+        flat, n = self.ids(pa.array(words, pa.large_string()))
+        return [part.tobytes() for part in np.split(flat, np.cumsum(n)[:-1])]
+
+
+def ragged(rows: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of ``rows[i]`` for each i of ``which``, one after another, and how many each has."""
+    n = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+    return gathered(np.frombuffer(b"".join(rows), np.uint32), n, which)
+
+
+def gathered(flat: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``ragged``, of rows of ``n`` numbers that lie one after another in ``flat``."""
+    size = n[which]
+    skip = (np.cumsum(n) - n)[which] - (np.cumsum(size) - size)
+    return flat[np.repeat(skip, size) + np.arange(size.sum())], size
 
 
 @lru_cache(maxsize=1)
-def _known(path: str) -> Remembered:
-    return Remembered(WordIds(path), REMEMBERED)
+def _known(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def cut_into_pieces(docs: DataFrame, id: str, text: str, path: str, size: int = 4096, end_id: int = 1,
@@ -103,29 +130,50 @@ def cut_into_pieces(docs: DataFrame, id: str, text: str, path: str, size: int =
     names = [id, "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = _known(path), np.uint32(end_id).tobytes()
+        known = _known(path)
         for batch in batches:
-            texts, done = column(batch, "_text").to_pylist(), 0
-            for group in grouped(texts):
-                parts = [_words(t) for t in group]
-                found = known([w for p in parts for w in p])
-                rows, at = [], 0
-                for i, p in enumerate(parts):
-                    data = b"".join(found[at:at + len(p)]) + end
-                    at += len(p)
-                    for k in range(0, len(data), 4 * size):
-                        cut = data[k:k + 4 * size]
-                        rows.append((done + i, k // (4 * size), k // 4, len(cut) // 4, zlib.crc32(cut), cut))
-                done += len(group)
-                owner, *values, raw = zip(*rows, strict=True)
+            for row, data, offsets in blocks(column(batch, "_text"), ENCODED_BYTES):
+                ids, ends = _text_ids(data, offsets, known, end_id)
+                lengths = np.diff(ends, prepend=0)
+                cuts = -(-lengths // size)
+                owner = np.repeat(np.arange(len(lengths)), cuts)
+                piece = np.arange(len(owner)) - (np.cumsum(cuts) - cuts)[owner]
+                start = piece * size
+                length = np.minimum(lengths[owner] - start, size)
+                at = (ends - lengths)[owner] + start
+                raw = [ids[a:b] for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner)), pa.array(values[0], pa.int32()),
-                     *[pa.array(v, pa.int64()) for v in values[1:]], *[pa.array(raw, pa.binary())] * keep_ids], names)
+                    [batch.column(0).take(pa.array(row + owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                     pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+                     *[pa.array([r.tobytes() for r in raw], pa.binary())] * keep_ids], names)
 
     return docs.select(docs[id].alias("_id"), docs[text].alias("_text")).mapInArrow(
         run, f"`{id}` {key}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
 
 
+def _text_ids(data: np.ndarray, offsets: np.ndarray, known: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block's texts one after another, each with ``end_id``, and where each text's ids end.
+
+    Texts are split at ASCII white space, which all definitions of it share; a word is looked up once a block.
+    """
+    first, last = spans(data, offsets)
+    size = last - first
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    # The words' bytes without what lies between them.
+    step = np.zeros(len(data) + 1, np.int8)
+    step[first] = 1
+    step[last] -= 1
+    packed = data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    found = pa.Array.from_buffers(
+        pa.large_string(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
+    flat, n = known.ids(found.dictionary) if len(size) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    # A text's end counts as one more word.
+    at = np.searchsorted(first, offsets[1:])
+    which = np.insert(found.indices.to_numpy().astype(np.int64), at, len(n))
+    ids, size = gathered(np.append(flat, np.uint32(end_id)), np.append(n, 1), which)
+    return ids, np.cumsum(size)[at + np.arange(len(at))]
+
+
 _NOT_ASCII_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -​    　]")
 
 

@@ -236,12 +236,13 @@ class Remembered:
     def __call__(self, tokens: list[str]) -> list:
         out = list(map(self.young.get, tokens))
         if None in out:
-            missing = list({t for t, v in zip(tokens, out, strict=True) if v is None})
-            again = list(map(self.old.get, missing))
-            new = [t for t, v in zip(missing, again, strict=True) if v is None]
-            fresh = {t: v for t, v in zip(missing, again, strict=True) if v is not None}
+            at = [i for i, v in enumerate(out) if v is None]
+            missing = list(dict.fromkeys([tokens[i] for i in at]))
+            fresh = dict(zip(missing, map(self.old.get, missing), strict=True))
+            new = [t for t, v in fresh.items() if v is None]
             fresh.update(zip(new, self.compute(new), strict=True))
-            out = [fresh[t] if v is None else v for t, v in zip(tokens, out, strict=True)]
+            for i in at:
+                out[i] = fresh[tokens[i]]
             if len(self.young) + len(fresh) > self.half:
                 self.old, self.young = self.young, {}
             self.young.update(fresh)
