@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import clashing, prose, same_beside, table
@@ -176,3 +177,54 @@ def test_many_copies_of_one_passage(spark, monkeypatch):
 def test_empty(spark):
     assert passages.passages(table(spark, []), "doc_id", "text").count() == 0
     assert passages.remove_passages(table(spark, []), "doc_id", "text").count() == 0
+
+
+def test_groups_of_matches_are_chained_together(monkeypatch):
+    rnd = random.Random(4)
+    rows, want, width = [], [], passages.WIDTH
+    for doc in range(60):
+        for home in range(3):
+            lines = rnd.choice([1, 1, 2, 5])
+            x = np.array([rnd.randint(0, 150) for _ in range(rnd.randint(1, 40))])
+            y = x + np.array([rnd.choice(range(lines)) * 7 for _ in x])
+            rows += sorted((doc, home, int(a), int(b)) for a, b in zip(x, y))
+            _, tx, ty = passages._thinned(np.zeros(len(x), np.int64), x, y, width)
+            for chain in passages.chains(tx, ty):
+                cx, cy = tx[chain], ty[chain]
+                if len(chain) > 1 and cx[-1] - cx[0] >= width:
+                    turn = [0, *(np.flatnonzero(np.diff(cx - cy)) + 1).tolist(), -1]
+                    want.append((doc, home, [int(v) for i in turn for v in (cx[i], cy[i])]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc", "home", "pos", "home_pos"])
+    called, one_by_one = [], passages.chains
+    monkeypatch.setattr(passages, "chains", lambda x, y, *a, **k: called.append((x - y).tolist()) or one_by_one(x, y, *a, **k))
+    for chunk in (1, 50, 1 << 16):
+        monkeypatch.setattr(passages, "CHUNK", chunk)
+        parts = iter([batch.slice(at, 37) for at in range(0, batch.num_rows, 37)])
+        found = [(r["doc"], r["home"], r["runs"]) for b in passages._chained(width)(parts) for r in b.to_pylist()]
+        assert sorted(found) == sorted(want)
+    # Matches on one diagonal without wide gaps take no tree.
+    plain = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*[(1, 0, i, i) for i in range(0, 90, 3)])], batch.schema.names)
+    called.clear()
+    assert [r["runs"] for b in passages._chained(width)(iter([plain])) for r in b.to_pylist()] == [[0, 0, 87, 87]]
+    assert not called
+
+
+def test_contexts_do_not_depend_on_chunks(monkeypatch):
+    rnd = random.Random(5)
+    rows = []
+    for doc in range(40):
+        pos = 0
+        for _ in range(rnd.randint(1, 60)):
+            pos += rnd.choice([1, 2, 3, 3, 30])
+            rows.append((doc, pos << 2, rnd.getrandbits(60), rnd.randint(0, 2), pos + rnd.choice([0, 0, 5]) << 2))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc", "mark", "hash", "home", "home_mark"])
+    monkeypatch.setattr(passages, "_gathered", lambda pieces: pieces)
+    seen = []
+    for chunk in (1, 200, 1 << 16):
+        monkeypatch.setattr(passages, "CHUNK", chunk)
+        parts = iter([batch.slice(at, 50) for at in range(0, batch.num_rows, 50)])
+        pieces = list(passages._contexts([25, 50], passages.WIDTH, passages.WINDOW)(parts))
+        seen.append((len(pieces), sorted(x for p in pieces for x in zip(*(v.tolist() for v in p)))))
+    assert seen[0][1] == seen[1][1] == seen[2][1] and seen[0][1]
+    # All documents of a chunk are handled at once: at most one piece a length.
+    assert seen[2][0] <= 2

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.llm.arrow_text import blocks, column, mix, shingles, words
-from touchline.llm.minhash import _groups, _texts
+from touchline.llm.arrow_text import blocks, column, mix, shingles, spans, word_hashes, words
+from touchline.llm.minhash import _texts
 from touchline.session import cut_lineage
 
 WIDTH, WINDOW = 4, 3
@@ -29,6 +29,8 @@ MIN_WORDS, ALIKE = 50, 0.8
 GATHERED = 150_000
 #: Rows that a task sends at once.
 SENT = 1 << 15
+#: Sorted rows that a task handles at once, if no group has more.
+CHUNK = 1 << 16
 #: A match is worth 1; a word of either text that a chain skips costs this.
 GAP = 1 / 60
 #: Words beyond a chain's ends that alignment looks at: seeds near a passage's end may have other homes.
@@ -81,6 +83,29 @@ def _seeds(data: np.ndarray, offsets: np.ndarray, width: int, window: int) -> tu
             np.concatenate([mark, mark[again] | NUMBERED]))
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """About ``CHUNK`` rows of sorted batches, whole groups of rows that agree in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    size, least = 0, CHUNK
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < least:
+            continue
+        rows = pa.concat_batches(held)
+        values = [rows.column(i).to_numpy() for i in range(keys)]
+        at = max((int(np.flatnonzero(np.r_[False, v[1:] != v[:-1]])[-1:].sum()) for v in values))
+        if at:
+            yield rows.slice(0, at)
+        held, size = [rows.slice(at)], size - at
+        # A group longer than that is gathered by doubling.
+        least = max(CHUNK, 2 * size)
+    if held:
+        yield pa.concat_batches(held)
+
+
 _FOUND = ["hash", "doc", "mark", "home", "home_mark"]
 _KINDS = "hash bigint, doc bigint, mark bigint, home bigint, home_mark bigint"
 
@@ -177,29 +202,30 @@ def _contexts(lengths: list[int], width: int, window: int):
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         power = back = np.ones(1, np.uint64)
-        for group in _groups(batches, 1):
-            doc = group.column(0)[0].as_py()
-            pos, hash, home, home_pos = (group.column(i).to_numpy() for i in range(1, 5))
-            pos, one = np.unique(pos >> 2, return_index=True)
-            hash, home, line = hash[one].view(np.uint64), home[one], (home_pos[one] >> 2) - pos
-            if len(pos) < 2:
-                continue
-            if pos[-1] >= len(power):
-                n = 2 * int(pos[-1]) + 2
+        for chunk in _chunks(batches, 1):
+            doc, pos, hash, home, home_pos = (chunk.column(i).to_numpy() for i in range(5))
+            pos = pos >> 2
+            one = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
+            doc, pos, hash, home, line = doc[one], pos[one], hash[one].view(np.uint64), home[one], (home_pos[one] >> 2) - pos[one]
+            if (top := int(pos.max())) >= len(power):
+                n = 2 * top + 2
                 power, back = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, x, np.uint64)])
                                for x in (_TURN, pow(_TURN, -1, 2**64)))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hash) * power[pos], dtype=np.uint64)])
             turns = np.concatenate([[0], np.cumsum((np.diff(home) != 0) | (np.diff(line) != 0))])
             breaks = np.concatenate([[0], np.cumsum(np.diff(pos) > window)])
-            first = np.arange(len(pos))
+            # Places on one line, a document so far behind the former that no length reaches it.
+            new = np.r_[False, doc[1:] != doc[:-1]]
+            ahead = np.cumsum(np.where(new, np.r_[0, pos[:-1]] + max(lengths, default=0) + 1, 0))
+            place, first = pos + ahead, np.arange(len(pos))
             for length in lengths:
-                end = np.searchsorted(pos, pos + length - width, side="right") - 1
+                end = np.searchsorted(place, place + length - width, side="right") - 1
                 full = pos[end] + width - pos + window > length
                 a = np.flatnonzero((turns[end] > turns[first]) & (breaks[end] == breaks[first]) & full)
                 if len(a):
                     b = end[a]
                     sums = mix((total[b + 1] - total[a]) * back[pos[a]] + np.uint64(length))
-                    yield sums, np.full(len(a), doc), (pos[a] << SPAN | pos[b] - pos[a]) << 2
+                    yield sums, doc[a], (pos[a] << SPAN | pos[b] - pos[a]) << 2
 
     return lambda batches: _gathered(pieces(batches))
 
@@ -245,87 +271,104 @@ class Fenwick:
 
     def put(self, at: int, value: float, item: int) -> None:
         at += 1
-        while at < len(self.value):
-            if value > self.value[at]:
-                self.value[at], self.item[at] = value, item
+        values, items, n = self.value, self.item, len(self.value)
+        while at < n:
+            if value > values[at]:
+                values[at], items[at] = value, item
             at += at & -at
 
     def best(self, upto: int) -> tuple[float, int]:
         """Of positions 0..``upto`` - 1."""
-        value, item = -np.inf, -1
+        values, value, at = self.value, -np.inf, 0
         while upto:
-            if self.value[upto] > value:
-                value, item = self.value[upto], self.item[upto]
+            if values[upto] > value:
+                value, at = values[upto], upto
             upto -= upto & -upto
-        return value, item
+        return value, self.item[at]
 
 
-def chains(x: np.ndarray, y: np.ndarray, gap: float = GAP) -> list[np.ndarray]:
+def chains(x: np.ndarray, y: np.ndarray, gap: float = GAP, least: int = 1) -> list[np.ndarray]:
     """Disjoint chains of the matches (x, y), as indices; each rises in x and y and is worth its matches less its gaps.
+    Those of fewer than ``least`` matches are left out.
 
     f(i) = 1 + max(0, max f(j) - gap * (x_i - x_j + y_i - y_j)) over j with smaller x and y; as the cost is linear, the best
     j is the one with the greatest f(j) + gap * (x_j + y_j) below y_i, which a Fenwick tree over y finds.
     """
-    order = np.lexsort((-y, x))
-    ys = np.unique(y)
-    rank = np.searchsorted(ys, y)
-    tree, score, former = Fenwick(len(ys)), np.ones(len(x)), np.full(len(x), -1)
     # Matches of equal x go from high to low y, so none follows another.
+    order = np.lexsort((-y, x)).tolist()
+    ys, rank = np.unique(y, return_inverse=True)
+    cost, rank = (gap * (x + y)).tolist(), rank.tolist()
+    tree, score, former = Fenwick(len(ys)), [1.0] * len(order), [-1] * len(order)
     for i in order:
-        value, j = tree.best(int(rank[i]))
-        gain = value - gap * (x[i] + y[i])
+        value, j = tree.best(rank[i])
+        gain = value - cost[i]
         if j >= 0 and gain > 0:
             score[i], former[i] = 1 + gain, j
-        tree.put(int(rank[i]), score[i] + gap * (x[i] + y[i]), int(i))
-    used, out = np.zeros(len(x), bool), []
-    for i in np.argsort(-score, kind="stable"):
+        tree.put(rank[i], score[i] + cost[i], i)
+    used, out = [False] * len(order), []
+    for i in np.argsort(-np.array(score), kind="stable").tolist():
         chain = []
         while i >= 0 and not used[i]:
             used[i] = True
             chain.append(i)
             i = former[i]
-        if chain:
+        if len(chain) >= least:
             out.append(np.array(chain[::-1]))
     return out
 
 
-def _thinned(x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ends of each run of overlapping matches on one diagonal, and one for every ``width`` words in between."""
-    x, y = np.unique(np.stack([x - y, x]), axis=1)[::-1]
-    y = x - y
-    step = np.where(np.diff(x - y) == 0, np.diff(x), width + 1)
-    new = np.r_[True, step > width]
+def _thinned(group: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per group the ends of each run of overlapping matches on one diagonal, and one for every ``width`` words in between;
+    by group, diagonal and x."""
+    order = np.lexsort((x, x - y, group))
+    group, x, y = group[order], x[order], y[order]
+    apart = (np.diff(group) != 0) | (np.diff(x - y) != 0)
+    once = np.r_[True, apart | (np.diff(x) != 0)]
+    group, x, y, apart = group[once], x[once], y[once], np.r_[True, apart][once][1:]
+    new = np.r_[True, apart | (np.diff(x) > width)]
     since = x - x[new][np.cumsum(new) - 1]
     keep = new | np.r_[new[1:], True] | np.r_[True, since[1:] // width > since[:-1] // width]
-    return x[keep], y[keep]
+    return group[keep], x[keep], y[keep]
 
 
 def _chained(width: int):
     """Per (doc, home): the chains that have two seeds without common words, as runs on one diagonal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for group in _groups(batches, 2):
-            if group.num_rows < 2:
-                continue
-            doc, home = group.column(0)[0].as_py(), group.column(1)[0].as_py()
-            x, y = _thinned(group.column(2).to_numpy(), group.column(3).to_numpy(), width)
-            for chain in chains(x, y):
-                cx, cy = x[chain], y[chain]
-                if len(chain) < 2 or cx[-1] - cx[0] < width:
-                    continue
-                turn = np.flatnonzero(np.r_[True, np.diff(cx - cy) != 0, True])
-                rows.append((doc, home, [int(v) for a in turn[:-1] for v in (cx[a], cy[a])] + [int(cx[-1]), int(cy[-1])]))
-            if len(rows) >= 5000:
-                yield pa.RecordBatch.from_pylist([dict(zip(("doc", "home", "runs"), r, strict=True)) for r in rows], _CHAIN)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc", "home", "runs"), r, strict=True)) for r in rows], _CHAIN)
+        for chunk in _chunks(batches, 2):
+            doc, home, x, y = (chunk.column(i).to_numpy() for i in range(4))
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (home[1:] != home[:-1])]
+            doc, home = doc[new], home[new]
+            group, x, y = _thinned(np.cumsum(new) - 1, x, y, width)
+            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            end, line = np.r_[start[1:], len(group)], x - y
+            wide = np.maximum.reduceat(x, start) - np.minimum.reduceat(x, start) >= width
+            # Matches on one diagonal whose gaps all cost less than a match is worth are one chain.
+            step = np.r_[np.diff(x), 0]
+            step[end - 1] = 0
+            plain = (line[start] == line[end - 1]) & (2 * GAP * np.maximum.reduceat(step, start) < 0.99)
+            at = np.flatnonzero(wide & plain)
+            a, b = start[at], end[at] - 1
+            docs, homes = doc[group[a]].tolist(), home[group[a]].tolist()
+            runs = np.stack([x[a], y[a], x[b], y[b]], axis=1).tolist()
+            for g in np.flatnonzero(wide & ~plain).tolist():
+                px, py = x[start[g]:end[g]], y[start[g]:end[g]]
+                for chain in chains(px, py, least=2):
+                    cx, cy = px[chain], py[chain]
+                    if cx[-1] - cx[0] < width:
+                        continue
+                    turn = np.flatnonzero(np.diff(cx - cy)) + 1
+                    docs.append(int(doc[group[start[g]]]))
+                    homes.append(int(home[group[start[g]]]))
+                    runs.append([int(v) for i in (0, *turn.tolist(), -1) for v in (cx[i], cy[i])])
+            if docs:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs, pa.int64()), pa.array(homes, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], _CHAIN)
 
     return run
 
 
-_CHAIN = pa.schema([("doc", pa.int64()), ("home", pa.int64()), ("runs", pa.list_(pa.int64()))])
+_CHAIN = ["doc", "home", "runs"]
 
 
 def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, min_words: int,
@@ -351,6 +394,8 @@ def align(one: np.ndarray, two: np.ndarray, runs: list[int], alike: float, min_w
     place = np.concatenate([np.arange(a, b) for a, b, _ in parts])
     there = np.concatenate([np.arange(a, b) + d for a, b, d in parts])
     same = one[place] == two[there]
+    if same.sum() < alike * min_words - 1e-9:
+        return []  # a stretch has this share of equal words
     worth = np.where(same, 1 - alike, -alike)
     at = 0
     for (a, b, d), (_, _, e) in zip(parts[:-1], parts[1:], strict=True):
@@ -423,22 +468,26 @@ def _change(one: np.ndarray, two: np.ndarray, old: tuple[int, int], new: tuple[i
 
 def _aligned(min_words: int, alike: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        held: tuple = (None, None, None)
         for batch in batches:
             rows = []
             for doc, home, runs, text, other in zip(*(batch.column(i) for i in range(5)), strict=True):
-                text, other = text.as_py() or "", other.as_py() or ""
-                if last[0] != other:  # rows come sorted by home
-                    last = (other, _words(other))
-                own, at, size = _words(text)
-                there, there_at, there_size = last[1]
-                runs = runs.as_py()
-                if runs[-2] >= len(own) or max(runs[1::2]) >= len(there):
+                text, other = (x.as_buffer() or pa.py_buffer(b"") for x in (text, other))
+                if held[0] is None or not held[0].equals(other):  # rows come sorted by home
+                    there = _Words(other)
+                    held = (other, there, there.hashes(0, len(there.first)))
+                _, there, there_hashes = held
+                own, runs = _Words(text), runs.as_py()
+                if runs[-2] >= len(own.first) or max(runs[1::2]) >= len(there_hashes):
                     continue  # another row's text under a repeated id
-                for a, b, c, d, equal in align(own, there, runs, alike, min_words):
+                # Only words within reach of the chain are looked at.
+                low = runs[0] - min(REACH, runs[0], runs[1])
+                hashes = own.hashes(low, runs[-2] + REACH)
+                near = [v - low if i % 2 == 0 else v for i, v in enumerate(runs)]
+                for a, b, c, d, equal in align(hashes, there_hashes, near, alike, min_words):
                     if b - a >= min_words and equal >= alike * (b - a) - 1e-9:
-                        rows.append((doc.as_py(), int(at[a]), int(at[b - 1] + size[b - 1]), home.as_py(), int(there_at[c]),
-                                     int(there_at[d - 1] + there_size[d - 1]), b - a, equal))
+                        rows.append((doc.as_py(), own.point(own.first[low + a]), own.point(own.last[low + b - 1]), home.as_py(),
+                                     there.point(there.first[c]), there.point(there.last[d - 1]), b - a, equal))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], _PASSAGE)
 
@@ -448,12 +497,23 @@ def _aligned(min_words: int, alike: float):
 _PASSAGE = ["doc", "start", "stop", "home", "home_start", "home_stop", "n_words", "n_equal"]
 
 
-def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, first code point and length in code points of every word."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    hashes, first, last, _ = words(data, np.array([0, len(data)]))
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return hashes, points[first], points[last] - points[first]
+class _Words:
+    """Places of a text's words (UTF-8 bytes) and, on demand, their hashes and code points."""
+
+    def __init__(self, text: pa.Buffer):
+        self.data = np.frombuffer(text, np.uint8)
+        self.first, self.last = spans(self.data, np.array([0, len(self.data)]))
+
+    def hashes(self, lo: int, hi: int) -> np.ndarray:
+        """Of words ``lo`` to ``hi`` (exclusive; beyond the last one: to the end)."""
+        first, last = self.first[lo:hi], self.last[lo:hi]
+        if not len(first):
+            return np.zeros(0, np.uint64)
+        return word_hashes(self.data[first[0]:last[-1]], first - first[0], last - first[0])
+
+    def point(self, byte: int) -> int:
+        """Code points before ``byte``."""
+        return int(np.count_nonzero((self.data[:byte] & 0xC0) != 0x80))
 
 
 def passages(docs: DataFrame, id: str, text: str, min_words: int = MIN_WORDS, alike: float = ALIKE) -> DataFrame:
