@@ -3,9 +3,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tests.llm.helpers import SCHEMA, clashing
+from tests.llm.helpers import SCHEMA, clashing, table
 from touchline.llm import langid, quality
 from touchline.llm.queries import QUERIES
 
@@ -96,3 +97,21 @@ def test_quality_of_odd_rows(spark):
     assert [by[i].score for i in (100, 101, None)] == [0.0] * 3 and not by[100].kept
     assert by[1].kept and not by[0].kept
     assert quality.quality(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_texts_leave_a_task_in_small_batches(spark, monkeypatch):
+    docs = table(spark, ["some words of a text", None, "x"] * 40).coalesce(1).select("doc_id", "text")
+    model, sizes = langid.LanguageModel([], np.ones(1 << langid.BITS), np.zeros(((1 << langid.BITS) + 1, 0), np.float32), 1.0), []
+    frame = type(docs)
+    whole = frame.mapInArrow
+
+    def watched(self, run, schema, *more):
+        batch = pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+        sizes.extend(b.num_rows for b in run(iter([batch])))
+        return whole(self, run, schema, *more)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    monkeypatch.setattr(langid, "SENT", 50)
+    told = langid.predict(docs, model, "text", ["doc_id", "text"])
+    assert sizes == [50, 50, 20]
+    assert told.count() == 120

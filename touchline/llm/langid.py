@@ -22,6 +22,8 @@ GRAMS, BITS = 3, 16
 #: Training rows of the regression at most, about, over all languages; languages share them evenly.
 SAMPLE = 2400
 UNKNOWN = "und"
+#: Rows that a task sends at once: the JVM holds their texts outside its heap.
+SENT = 1 << 10
 #: Characters turned into n-grams at once; a longer text is counted part by part, n-grams across the cuts included.
 PART = 1 << 20
 
@@ -222,7 +224,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str, keep: list[str]) -
     at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(n, SENT) for b in batches for n in range(0, b.num_rows, SENT)):
             told = [shared.value.predict(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array([a for a, _ in told], pa.string()),
