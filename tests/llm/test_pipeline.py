@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tests.llm.helpers import prose, table
 from touchline.llm.queries import vocabulary
@@ -44,3 +46,21 @@ def test_empty_table(spark, tmp_path):
 
 def test_vocabularies_are_there():
     assert vocabulary("word_bpe_49k.json").endswith("word_bpe_49k.json")
+
+
+def test_stages_send_texts_in_small_batches(spark, monkeypatch):
+    name, limit = corpus_pipeline.BATCH_BYTES
+    before = spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", lambda *a: a[0])
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('word ', 100000) as text")
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    try:
+        told = corpus_pipeline.packed(spark, docs, "").mapInArrow(rows, "n bigint").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r.n for r in told) == 40
+    assert max(r.n for r in told) * 500_000 < 2 * int(limit)

@@ -28,7 +28,7 @@ from touchline.session import cut_lineage
 #: Shares of one length that are ranked apart, so that a length that many pieces have is no single task.
 SHARES = 1024
 #: Distinct words, without case and end sign, whose ids a task remembers.
-CORES = 500_000
+CORES = 300_000
 #: Bytes of texts whose words are told apart together; a longer text makes a block of its own.
 ENCODED_BYTES = 1 << 22
 
@@ -114,8 +114,8 @@ def gathered(flat: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.nda
     return flat[np.repeat(skip, size) + np.arange(size.sum())], size
 
 
-@lru_cache(maxsize=1)
 def _known(path: str) -> WordIds:
+    """For one task: what it remembers goes with it, as other steps use the same worker."""
     return WordIds(path)
 
 
