@@ -18,6 +18,9 @@ CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Removes a query's shuffle files at its end, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_spark(app: str = "touchline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with ``CONF``; explicit ``conf`` wins."""
@@ -52,9 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Survives executor loss like ``checkpoint()``, which would compute the rows twice (once to count
     them, once to write them), and keeps column pruning and file statistics. The folder's owner
-    cleans it up, as with other checkpoints.
+    cleans it up, as with other checkpoints; shuffle files of the write go when it ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/touchline-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    former = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if former is None else spark.conf.set(CLEANUP, former)
     return spark.read.schema(df.schema).parquet(path)
