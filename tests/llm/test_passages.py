@@ -228,3 +228,57 @@ def test_contexts_do_not_depend_on_chunks(monkeypatch):
     assert seen[0][1] == seen[1][1] == seen[2][1] and seen[0][1]
     # All documents of a chunk are handled at once: at most one piece a length.
     assert seen[2][0] <= 2
+
+
+@pytest.mark.parametrize("split", [1, 7, 1000])
+def test_packed_seeds_meet_their_first_document(split):
+    rnd = random.Random(split)
+    rows = {(rnd.choice([5, -7, 2**62, -2**63, *range(40)]), rnd.randrange(30), rnd.randrange(50) << 2) for _ in range(400)}
+    tasks = [[r for r in rows if r[1] % 3 == n] for n in range(3)]
+    packed, linked = [], []
+    for cells in [13]:
+        for task in tasks:
+            batch = passages._reduced(*(np.array(v, k) for v, k in zip(zip(*[(r[0] % 2**64, *r[1:]) for r in task]), (np.uint64, np.int64, np.int64))))
+            linked += [tuple(r.values()) for r in batch.to_pylist() if r["home"] is not None]
+            packed += passages._packed(lambda batches: batches, cells)(iter([batch]))
+    table_ = pa.Table.from_batches(packed).sort_by("cell").combine_chunks().to_batches()[0]
+    parts = [table_.slice(at, split) for at in range(0, table_.num_rows, split)]
+    found = [tuple(r.values()) for b in passages._meet(iter(parts)) for r in b.to_pylist()]
+    assert sorted(r[:5] for r in found if r[5]) == sorted(linked)
+    # The first document of a seed, of those that are the first of their task, is the home of the others.
+    homes, want = {}, set()
+    for task in tasks:
+        for hash, doc, mark in sorted(task):
+            first = min(d for h, d, _ in task if h == hash)
+            if doc == first:
+                shared = passages.SHARED if any(h == hash and d != doc for h, d, _ in task) else 0
+                homes.setdefault(hash, []).append((doc, mark | shared))
+    for hash, firsts in homes.items():
+        home, home_mark = min(firsts)
+        alone = len(firsts) == 1 and not home_mark & passages.SHARED
+        want |= set() if alone else {(hash, d, m, home, home_mark) for d, m in firsts if (d, m) != (home, home_mark) or m & passages.SHARED}
+        want |= {(hash, home, home_mark, home, home_mark)} if any(d != home for d, _ in firsts) else set()
+    assert {r[:5] for r in found if not r[5]} == want and want
+
+
+def test_rows_of_a_document_come_in_any_order(monkeypatch):
+    rnd = random.Random(8)
+    rows = sorted({(doc, pos, rnd.getrandbits(40), rnd.randint(0, 2), pos + rnd.choice([0, 0, 5])) for doc in range(20) for pos in range(0, 150, 3)})
+    names = ["doc", "mark", "hash", "home", "home_mark"]
+    batch = lambda rows, order: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in order], [names[i] for i in order])
+    mixed = sorted(rows, key=lambda r: (r[0], rnd.random()))
+    monkeypatch.setattr(passages, "_gathered", lambda pieces: pieces)
+    marks = lambda rows: [(d, p << 2, h, o, q << 2) for d, p, h, o, q in rows]
+    contexts = [sorted(x for p in passages._contexts([25, 50], 4, 3)(iter([batch(marks(r), range(5))])) for x in zip(*(v.tolist() for v in p)))
+                for r in (rows, mixed)]
+    chained = [sorted((r["doc"], r["home"], r["runs"]) for b in passages._chained(4)(iter([batch(r, [0, 3, 1, 4])])) for r in b.to_pylist())
+               for r in (sorted(rows, key=lambda r: (r[0], r[3], r[1], r[4])), mixed)]
+    assert contexts[0] == contexts[1] and contexts[0] and chained[0] == chained[1] and chained[0]
+
+
+def test_texts_are_not_stored_again(spark, monkeypatch):
+    rnd, stored, cut = random.Random(9), [], passages.cut_lineage
+    monkeypatch.setattr(passages, "cut_lineage", lambda df: stored.extend(df.dtypes) or cut(df))
+    one = prose(rnd, 60)
+    assert passages.passages(table(spark, [_padded(rnd, one), _padded(rnd, one)]), "doc_id", "text").count() == 1
+    assert stored and not [c for c in stored if c[1] == "string"]

@@ -10,16 +10,17 @@ costs, by a Fenwick tree; chains are aligned word by word along their diagonals.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.llm.arrow_text import blocks, column, mix, shingles, spans, word_hashes, words
-from touchline.llm.minhash import _texts
+from touchline.llm.minhash import BROADCAST_IDS
 from touchline.session import cut_lineage
 
 WIDTH, WINDOW = 4, 3
@@ -29,6 +30,8 @@ MIN_WORDS, ALIKE = 50, 0.8
 GATHERED = 150_000
 #: Rows that a task sends at once.
 SENT = 1 << 15
+#: Cells of hashes, unless there are more partitions; rows that have a home already and travel together.
+CELLS, TOLD = 1 << 12, 1 << 8
 #: Sorted rows that a task handles at once, if no group has more.
 CHUNK = 1 << 16
 #: A match is worth 1; a word of either text that a chain skips costs this.
@@ -108,6 +111,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordB
 
 _FOUND = ["hash", "doc", "mark", "home", "home_mark"]
 _KINDS = "hash bigint, doc bigint, mark bigint, home bigint, home_mark bigint"
+_PACKED = "cell bigint, told boolean, rows binary"
 
 
 def _reduced(hash: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
@@ -131,57 +135,109 @@ def _gathered(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         held.append(piece)
         size += len(piece[0])
         if size >= GATHERED:
-            yield from _sent(held)
+            yield _reduced(*map(np.concatenate, zip(*held, strict=True)))
             held, size = [], 0
     if size:
-        yield from _sent(held)
+        yield _reduced(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _packed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cells: int):
+    """What ``run`` gives, a row of bytes per cell: a cell holds the first documents' rows (three numbers each) of a range of
+    hashes. The other documents' rows (five numbers) meet nothing there and go anywhere."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            for told, width in ((False, 3), (True, 5)):
+                rows = batch.filter(batch.column(3).is_valid() if told else batch.column(3).is_null())
+                if not rows.num_rows:
+                    continue
+                values = np.stack([rows.column(i).to_numpy() for i in range(width)], axis=1)
+                hash = values[:, 0].view(np.uint64)
+                if told:
+                    first = np.arange(0, len(values), TOLD)
+                    cell = (mix(hash[first] + values[first, 3].view(np.uint64)) % np.uint64(cells)).astype(np.int64)
+                else:
+                    cell = ((hash >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+                    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                    cell = cell[first]
+                ends = np.r_[first, len(values)] * 8 * width
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell), pa.array(np.full(len(first), told)), pa.Array.from_buffers(
+                        pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])],
+                    ["cell", "told", "rows"])
 
+    return pack
 
-def _sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """``_reduced`` in small batches: the JVM holds a whole one outside its heap."""
-    rows = _reduced(*map(np.concatenate, zip(*held, strict=True)))
-    for at in range(0, rows.num_rows, SENT):
-        yield rows.slice(at, SENT)
+
+def _unpacked(packed: pa.Array, width: int) -> np.ndarray:
+    """The rows of ``width`` numbers in a column of bytes."""
+    _, offsets, data = packed.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(packed.type) else np.int32)[packed.offset:][:len(packed) + 1]
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(np.int64).reshape(-1, width)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by seed, document, mark: all with their first one as home; first ones too if others share the seed.
+    """Of packed rows sorted by cell: all of a seed with their first one as home; first ones too if others share the seed.
 
-    Rows that have a home already come first and go on as they are.
+    Rows that have a home already go on as they are.
     """
-    last = None  # (hash, home, its mark, doc) at the end of the former batch
+    held: list[np.ndarray] = []
     for batch in batches:
-        told = batch.filter(batch.column(3).is_valid())
+        told = batch.filter(batch.column(1))
         if told.num_rows:
-            yield told.append_column("linked", pa.array(np.ones(told.num_rows, bool)))
-        batch = batch.filter(batch.column(3).is_null())
+            yield from _sent(_unpacked(told.column(2), 5).T, True)
+        batch = batch.filter(pc.invert(batch.column(1)))
         if not batch.num_rows:
             continue
-        hash, doc, mark = (batch.column(i).to_numpy() for i in range(3))
-        new = np.r_[last is None or hash[0] != last[0], hash[1:] != hash[:-1]]
-        at = np.cumsum(new) - 1
-        firsts = np.flatnonzero(new)
-        home = np.where(at >= 0, doc[firsts[at]] if len(firsts) else 0, last[1] if last else 0)
-        home_mark = np.where(at >= 0, mark[firsts[at]] if len(firsts) else 0, last[2] if last else 0)
-        former = np.r_[last[3] if last else 0, doc[:-1]]
-        last = (hash[-1], home[-1], home_mark[-1], doc[-1])
-        # The first one is told once more when the next document of the seed comes.
-        met = ~new & (doc != home) & (former == home)
-        keep = ~new | (mark & SHARED > 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([v[keep], w[met]])) for v, w in
-             ((hash, hash), (doc, home), (mark, home_mark), (home, home), (home_mark, home_mark))]
-            + [pa.array(np.zeros(keep.sum() + met.sum(), bool))], [*_FOUND, "linked"])
+        cell = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(cell, cell[-1]))
+        # The last cell may go on in the next batch, and the one before in this.
+        if cut:
+            yield from _sent(_met(np.concatenate([*held, _unpacked(batch.column(2).slice(0, cut), 3)])), False)
+            held = []
+        elif held and last != cell[0]:
+            yield from _sent(_met(np.concatenate(held)), False)
+            held = []
+        held.append(_unpacked(batch.column(2).slice(cut), 3))
+        last = cell[-1]
+    if held:
+        yield from _sent(_met(np.concatenate(held)), False)
+
+
+def _met(rows: np.ndarray) -> list[np.ndarray]:
+    """Columns of ``_FOUND`` for all rows (hash, doc, mark) of some seeds."""
+    hash, doc, mark = np.ascontiguousarray(rows.T)
+    order = np.argsort(hash)
+    same = np.diff(hash[order]) == 0
+    # A seed that one row has is of no use, unless other documents of its task have it.
+    order = order[np.r_[False, same] | np.r_[same, False] | (mark[order] & SHARED > 0)]
+    order = order[np.lexsort((mark[order], doc[order], hash[order]))]
+    hash, doc, mark = hash[order], doc[order], mark[order]
+    new = np.r_[True, hash[1:] != hash[:-1]][:len(hash)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    home, home_mark, former = doc[first], mark[first], np.r_[0, doc[:-1]][:len(doc)]
+    # The first one is told once more when the next document of the seed comes.
+    met = ~new & (doc != home) & (former == home)
+    keep = ~new | (mark & SHARED > 0)
+    return [np.concatenate([v[keep], w[met]]) for v, w in
+            ((hash, hash), (doc, home), (mark, home_mark), (home, home), (home_mark, home_mark))]
+
+
+def _sent(columns: Iterable[np.ndarray], linked: bool) -> Iterator[pa.RecordBatch]:
+    """Small batches: the JVM holds a whole one outside its heap."""
+    columns = [pa.array(np.ascontiguousarray(c)) for c in columns]
+    rows = pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), linked))], [*_FOUND, "linked"])
+    for at in range(0, rows.num_rows, SENT):
+        yield rows.slice(at, SENT)
 
 
 def _homes(found: DataFrame) -> DataFrame:
     """(hash, doc, mark, home, home_mark) of seeds that several documents share; a home is the first document of all.
 
-    What a task linked to its own first document goes on to that one's home: by keys of a seed and a task's document, so a
-    common seed's rows stay spread.
+    ``found`` is packed: Spark deals and sorts cells, rows are sorted in them. What a task linked to its own first document goes
+    on to that one's home: by keys of a seed and a task's document, so a common seed's rows stay spread.
     """
-    dealt = cut_lineage(found.repartition(F.xxhash64("hash", "home"))
-                        .sortWithinPartitions(F.col("home").isNull(), "hash", "doc", "mark").mapInArrow(_meet, _KINDS + ", linked boolean"))
+    dealt = cut_lineage(found.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet, _KINDS + ", linked boolean"))
     met = dealt.where("not linked").drop("linked")
     onward = met.where("doc <> home").selectExpr("hash", "doc as home", "mark as home_mark", "home as _home", "home_mark as _mark")
     linked = cut_lineage(dealt.where("linked").join(onward, ["hash", "home", "home_mark"], "left").select(
@@ -194,7 +250,7 @@ _TURN = 0x9E3779B97F4A7C15
 
 
 def _contexts(lengths: list[int], width: int, window: int):
-    """Per document: hashes of its shared seeds within each of ``lengths`` words, where these have no common home in line.
+    """Per document (rows sorted by it): hashes of its shared seeds within each of ``lengths`` words, where these have no common home in line.
 
     A repeated run has seeds at most ``window`` words apart, all of them shared. The last seed's distance stands in the lower
     ``SPAN`` bits of the place.
@@ -203,7 +259,9 @@ def _contexts(lengths: list[int], width: int, window: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         power = back = np.ones(1, np.uint64)
         for chunk in _chunks(batches, 1):
-            doc, pos, hash, home, home_pos = (chunk.column(i).to_numpy() for i in range(5))
+            doc, mark = (chunk.column(i).to_numpy() for i in range(2))
+            order = np.lexsort((mark, doc))
+            doc, pos, hash, home, home_pos = (chunk.column(i).to_numpy()[order] for i in range(5))
             pos = pos >> 2
             one = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
             doc, pos, hash, home, line = doc[one], pos[one], hash[one].view(np.uint64), home[one], (home_pos[one] >> 2) - pos[one]
@@ -247,13 +305,16 @@ def matches(docs: DataFrame, id: str, text: str, width: int = WIDTH, window: int
 
         return _gathered(pieces())
 
+    # Some cells a partition, but not so many that a task has few rows of each.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(parts, min(16 * parts, CELLS))
     found = (docs.where(docs[id].isNotNull()).select(docs[id].cast("long").alias("_id"), docs[text].alias("_text"))
-             .mapInArrow(gather, _KINDS))
+             .mapInArrow(_packed(gather, cells), _PACKED))
     homes = _homes(found)
     lengths = sorted({n for n in (-(-min_words * k // 20) for k in (10, 15, 18, 20)) if n > width})
     longer = (
         homes.where(f"mark & {NUMBERED} = 0").select("doc", "mark", "hash", "home", "home_mark").repartition("doc")
-        .sortWithinPartitions("doc", "mark").mapInArrow(_contexts(lengths, width, window), _KINDS))
+        .sortWithinPartitions("doc").mapInArrow(_packed(_contexts(lengths, width, window), cells), _PACKED))
     single = homes.where("doc <> home").selectExpr(
         "doc", "shiftright(mark, 2) as pos", "home", "shiftright(home_mark, 2) as home_pos")
     # Both ends of a context are seeds.
@@ -332,11 +393,13 @@ def _thinned(group: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> tup
 
 
 def _chained(width: int):
-    """Per (doc, home): the chains that have two seeds without common words, as runs on one diagonal."""
+    """Per (doc, home) of rows sorted by doc: the chains that have two seeds without common words, as runs on one diagonal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, 2):
-            doc, home, x, y = (chunk.column(i).to_numpy() for i in range(4))
+        for chunk in _chunks(batches, 1):
+            doc, home = (chunk.column(i).to_numpy() for i in range(2))
+            order = np.lexsort((home, doc))
+            doc, home, x, y = (chunk.column(i).to_numpy()[order] for i in range(4))
             new = np.r_[True, (doc[1:] != doc[:-1]) | (home[1:] != home[:-1])]
             doc, home = doc[new], home[new]
             group, x, y = _thinned(np.cumsum(new) - 1, x, y, width)
@@ -529,10 +592,12 @@ def passages(docs: DataFrame, id: str, text: str, min_words: int = MIN_WORDS, al
     found = matches(docs, id, text, width, window, min_words)
     linked = cut_lineage(
         found.select("doc", "home", "pos", "home_pos").repartition("doc", "home")
-        .sortWithinPartitions("doc", "home", "pos", "home_pos")
+        .sortWithinPartitions("doc")
         .mapInArrow(_chained(width), "doc bigint, home bigint, runs array<bigint>"))
-    texts = _texts(docs.select(docs[id].cast("long").alias("_id"), docs[text].alias("_text")),
-                   linked.select(F.col("doc").alias("_id")).union(linked.select("home")), 2 * linked.count())
+    # Only texts of such documents are dealt, once for both sides.
+    ids = linked.select(F.col("doc").alias("_id")).union(linked.select("home")).distinct()
+    texts = docs.select(docs[id].cast("long").alias("_id"), docs[text].alias("_text")).join(
+        F.broadcast(ids) if 2 * linked.count() <= BROADCAST_IDS else ids, "_id", "left_semi")
     own = texts.select(F.col("_id").alias("doc"), F.col("_text").alias("_one"))
     other = texts.select(F.col("_id").alias("home"), F.col("_text").alias("_two"))
     return (
