@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import selections as sel
+from touchline.operators import models, selections as sel
 from touchline.plans import carriers, markets, modeling
 
 
@@ -62,3 +62,27 @@ def test_a_total_passes_over_nulls(spark):
     out = sel.betting_package(spark.createDataFrame(rows, schema), sel.PackageRules(0.1, 3, True, max_cost=50)).first()
     assert out.average_option_ev == pytest.approx(0.25) and out.average_kelly is None
     assert out.selected_count == 3 and out.matches == 3
+
+
+def test_matches_are_split_before_they_are_joined(spark, small, monkeypatch):
+    """The search for the split's borders joins nothing, joins by the away side share a shuffle, and what is stored is what is fitted to."""
+    stored = []
+    monkeypatch.setattr(modeling, "cut_lineage", lambda df: stored.append(df) or df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        modeling._train.__wrapped__("application", small)
+        plan = stored[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert stored[0].columns == [*modeling.MODEL_FEATURES, "label", "home_score", "away_score"]
+    # Two lookups for two sides, each reading its own history: 36 joins when the borders were searched among joined rows.
+    assert plan.count("SortMergeJoin") <= 8
+
+
+def test_a_slice_that_is_fitted_to_stays_off_the_disk(spark, monkeypatch):
+    levels = []
+    monkeypatch.setattr(models, "at_once", lambda *_: levels.append([r.storageLevel for r in kept]) or [None])
+    kept, persist = [], type(spark.range(0)).persist
+    monkeypatch.setattr(type(spark.range(0)), "persist", lambda df, *level: kept.append(persist(df, *level)) or kept[-1])
+    models.fit_components(spark.createDataFrame([(0.0, 1)], "features double, label int"), parts=["rf"])
+    assert [x.useDisk for x in levels[0]] == [False]
